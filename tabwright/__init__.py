@@ -17,7 +17,7 @@ from tabwright.operators.models import (
 )
 from tabwright.operators.profile import (
     STANDARD, STRICT, audit_severity, column_metrics, constant_audit, correlation_matrix,
-    critical_audit, describe_data, feature_stats, full_audit, missing_audit, profile, scorecard,
+    critical_audit, describe_data, feature_stats, full_audit, measure, missing_audit, profile, scorecard,
     skew_audit, summary_data, type_split,
 )
 from tabwright.operators.relational import (

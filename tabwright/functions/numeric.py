@@ -29,13 +29,3 @@ def reciprocal(c: Column) -> Column:
     """``1 / x``, null for zero."""
     return F.try_divide(F.lit(1.0), c.cast("double"))
 
-
-def correlation(x: Column, y: Column) -> Column:
-    """Pearson over rows with both values; null for a constant column.
-
-    ``corr`` itself divides by zero there, which ANSI mode turns into an error.
-    """
-    both = x.isNotNull() & y.isNotNull()
-    a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
-    spread = F.stddev_pop(a) * F.stddev_pop(b)
-    return F.when(spread != 0, F.try_divide(F.covar_pop(a, b), spread))

@@ -14,7 +14,7 @@ from tabwright.functions.schema import (
     scalar_columns, type_of,
 )
 from tabwright.operators.relational import sample_n, value_counts
-from tabwright.plans.quantiles import exact_quantiles, grouped_quantiles
+from tabwright.plans.quantiles import counts_and_bounds, exact_quantiles, grouped_quantiles
 from tabwright.plans.storage import attach
 
 KDE_BINS = 4096
@@ -55,25 +55,21 @@ def _automatic_bins(n: int, low: float, high: float, quartile_range: float, whol
 
 def _histograms(df: DataFrame, names: list[str], bins: int | None) -> DataFrame:
     """(feature, bin, low, high, count) of several numeric columns, non-empty bins only."""
-    fits = df.agg(*[f(column(n).cast("double")).alias(f"{label}{i}")
-                    for i, n in enumerate(names)
-                    for label, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
-    counts = {n: fits[f"n{i}"] for i, n in enumerate(names)}
-    quartiles = {} if bins else exact_quantiles(df, names, [0.25, 0.75], counts)
+    known = counts_and_bounds(df, {n: column(n).cast("double") for n in names})
+    quartiles = {} if bins else exact_quantiles(df, names, [0.25, 0.75], known)
     cells = []
-    for i, n in enumerate(names):
-        low, high = fits[f"lo{i}"], fits[f"hi{i}"]
-        if not counts[n]:
+    for n in names:
+        count, low, high = known[n]
+        if not count:
             continue
-        if low == high:
-            # a single value gets one bin of width one around it, as histogram tools do
-            low, high = low - 0.5, high + 0.5
         if bins:
             number = bins
         else:
             q1, q3 = quartiles[n]
-            number = _automatic_bins(counts[n], fits[f"lo{i}"], fits[f"hi{i}"], q3 - q1,
-                                     not _has_fraction(df, n))
+            number = _automatic_bins(count, low, high, q3 - q1, not _has_fraction(df, n))
+        if low == high:
+            # a single value gets one bin of width one around it, as histogram tools do
+            low, high = low - 0.5, high + 0.5
         width = (high - low) / number
         place = F.least(F.floor((column(n).cast("double") - low) / F.lit(width)),
                         F.lit(number - 1)).cast("bigint")

@@ -14,7 +14,7 @@ from tabwright.functions.schema import (
     as_list, categorical_columns, column, columns, is_numeric, is_scalar,
     numeric_columns, require, type_of,
 )
-from tabwright.operators.profile import SKEW_LIMIT, column_metrics
+from tabwright.operators.profile import SKEW_LIMIT, measure
 from tabwright.operators.relational import modes
 from tabwright.plans.quantiles import exact_quantiles
 
@@ -206,8 +206,8 @@ def auto_clean(df: DataFrame, mask_pii: bool = False, max_levels: int = MAX_LEVE
     """
     if mask_pii:
         df = scrub_pii(df)
-    measured = {r["feature"]: r for r in column_metrics(df).collect()}
-    gaps = [n for n in df.columns if measured[n]["null_count"] and measured[n]["count"]]
+    measured = {m.feature: m for m in measure(df)}
+    gaps = [n for n, m in measured.items() if m.null_count and m.count]
     numbers = [n for n in gaps if is_numeric(type_of(df, n))]
     fills: dict[str, Column] = {}
     if accuracy and numbers:
@@ -215,8 +215,8 @@ def auto_clean(df: DataFrame, mask_pii: bool = False, max_levels: int = MAX_LEVE
                        for i, n in enumerate(numbers)]).first()
         medians = dict(zip(numbers, row))
     else:
-        counts = {n: measured[n]["count"] for n in numbers}
-        medians = {n: v[0] for n, v in exact_quantiles(df, numbers, [0.5], counts).items()}
+        known = {n: (measured[n].count, measured[n].min, measured[n].max) for n in numbers}
+        medians = {n: v[0] for n, v in exact_quantiles(df, numbers, [0.5], known).items()}
     for n in numbers:
         fills[n] = F.coalesce(column(n).cast("double"), F.lit(medians[n]))
     others = [n for n in gaps if is_scalar(type_of(df, n)) and n not in numbers]
@@ -226,13 +226,11 @@ def auto_clean(df: DataFrame, mask_pii: bool = False, max_levels: int = MAX_LEVE
             fills[n] = F.coalesce(column(n), F.lit(r["top"]).cast(type_of(df, n)))
     filled = df.withColumns(fills) if fills else df
 
-    shape = {n: (r["skew"], r["min"]) for n, r in measured.items()}
     if numbers:
-        again = {r["feature"]: r for r in column_metrics(filled, numbers).collect()}
-        shape.update({n: (r["skew"], r["min"]) for n, r in again.items()})
+        measured.update({m.feature: m for m in measure(filled, numbers)})
     logs = {}
     for n in numeric_columns(filled):
-        skew, low = shape[n]
+        skew, low = measured[n].skew, measured[n].min
         if skew is not None and abs(skew) > SKEW_LIMIT:
             logs[n] = numeric.log1p(column(n).cast("double"), F.lit(1.0 - low) if low <= 0 else None)
     logged = filled.withColumns(logs) if logs else filled

@@ -1,30 +1,33 @@
 """Profiling: statistics, quality audit, correlation.
 
-All per-column measures come from one aggregate over the table (a few when it
-is very wide), whose single row is then laid out as one row per column.
+One pass over the table measures every column: blocks of columns are aggregated
+at the same time and each column is read once. What comes back is a row per
+column, from which the (small) result tables are made. These operators run
+their aggregates when called.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import astuple, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabwright.functions import numeric
 from tabwright.functions.schema import (
     as_list, categorical_columns, column, is_floating, is_numeric, is_scalar, numeric_columns,
     present, require, scalar_columns, type_of,
 )
 from tabwright.operators.relational import modes
+from tabwright.plans.jobs import aggregate_blocks
 from tabwright.plans.quantiles import exact_quantiles
 
-COLUMNS_PER_PASS = 100
-PAIRS_PER_PASS = 300
-
+COLUMNS_PER_BLOCK = 5
 SKEW_LIMIT = 1.5
+ROUNDING = 1e-13
+QUARTILES = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
 
 
 @dataclass(frozen=True)
@@ -32,105 +35,121 @@ class AuditRules:
     """Thresholds and wording of an audit."""
 
     drop_above: float
-    null_decimals: int
-    null_fixed: bool
-    missing_action_high: str
-    missing_action_numeric: str
-    missing_action_other: str
-    skew_action: str
-    constant_action: str
-    report_constant: bool
+    percent_digits: int
+    keep_zeros: bool
+    missing_many: str
+    missing_numeric: str
+    missing_other: str
+    high_skew: str
 
 
 # Thresholds and texts of the two audits.
 STANDARD = AuditRules(
-    drop_above=40, null_decimals=1, null_fixed=True,
-    missing_action_high="Drop Column",
-    missing_action_numeric="Impute with Median/Mean",
-    missing_action_other="Impute with Mode",
-    skew_action="Log Transform/Cap",
-    constant_action="🗑️ Drop this column",
-    report_constant=True,
+    drop_above=40, percent_digits=1, keep_zeros=True,
+    missing_many="Drop Column",
+    missing_numeric="Impute with Median/Mean",
+    missing_other="Impute with Mode",
+    high_skew="Log Transform/Cap",
 )
 STRICT = AuditRules(
-    drop_above=20, null_decimals=2, null_fixed=False,
-    missing_action_high="⚠️ Consider dropping column or heavy imputation",
-    missing_action_numeric="💡 Fill with Mean/Median/Mode",
-    missing_action_other="💡 Fill with Mean/Median/Mode",
-    skew_action="💡 Apply Log/Sqrt Transform",
-    constant_action="🗑️ Drop this column",
-    report_constant=True,
+    drop_above=20, percent_digits=2, keep_zeros=False,
+    missing_many="⚠️ Consider dropping column or heavy imputation",
+    missing_numeric="💡 Fill with Mean/Median/Mode",
+    missing_other="💡 Fill with Mean/Median/Mode",
+    high_skew="💡 Apply Log/Sqrt Transform",
 )
+DROP_CONSTANT = "🗑️ Drop this column"
 MISSING, SKEW, CONSTANT = "Missing Values", "High Skew", "Constant/Zero Variance"
-CLEAN_ROW = ("All", "None", "Clean", "Ready")
+CLEAN = ("All", "None", "Clean", "Ready", None)
 
+_AUDIT_SCHEMA = "feature string, issue string, severity string, action string, metric double"
+_METRIC_SCHEMA = ("feature string, is_numeric boolean, rows bigint, count bigint, "
+                  "null_count bigint, nan_count bigint, mean double, std double, skew double, "
+                  "min double, max double, min_text string, max_text string, is_constant boolean")
 
-def column_metrics(df: DataFrame, names: Sequence[str] | None = None,
-                   nan_as_null: bool = False, adjusted_skew: bool = False) -> DataFrame:
-    """One row per column: counts, moments, bounds and whether it is constant."""
-    names = as_list(names) or df.columns
-    require(df, *names)
-    chunks = [names[i:i + COLUMNS_PER_PASS] for i in range(0, len(names), COLUMNS_PER_PASS)]
-    parts = [_metrics_pass(df, chunk, nan_as_null, adjusted_skew) for chunk in chunks]
-    return reduce(DataFrame.unionByName, parts)
 
+@dataclass(frozen=True)
+class Measured:
+    """What one pass finds out about a column. Numbers have min and max, the rest their texts."""
 
-def _metrics_pass(df: DataFrame, names: list[str], nan_as_null: bool,
-                  adjusted_skew: bool) -> DataFrame:
-    measures = [F.count(F.lit(1)).alias("rows")]
+    feature: str
+    is_numeric: bool
+    rows: int
+    count: int
+    null_count: int
+    nan_count: int
+    mean: float | None
+    std: float | None
+    skew: float | None
+    min: float | None
+    max: float | None
+    min_text: str | None
+    max_text: str | None
+    is_constant: bool
+
+    @property
+    def null_percent(self) -> float:
+        return self.null_count / self.rows * 100 if self.rows else 0.0
+
+
+def measure(df: DataFrame, names: Sequence[str] | None = None, nan_as_null: bool = False,
+            adjusted_skew: bool = False) -> list[Measured]:
+    """One ``Measured`` per column, in the order of the names."""
+    names = as_list(names) or df.columns
+    require(df, *names)
+    # min and max of text rule out hash aggregation, so text columns keep to blocks of their own
+    text = [n for n in names if isinstance(type_of(df, n), T.StringType)]
+    others = [n for n in names if n not in text]
+    blocks = [some[i:i + COLUMNS_PER_BLOCK] for some in (others, text)
+              for i in range(0, len(some), COLUMNS_PER_BLOCK)]
+    rows = aggregate_blocks(df, [_measures(df, block, nan_as_null) for block in blocks])
+    found = {name: _measured(df, name, i, row, adjusted_skew)
+             for block, row in zip(blocks, rows) for i, name in enumerate(block)}
+    return [found[n] for n in names]
+
+
+def _measures(df: DataFrame, names: Sequence[str], nan_as_null: bool) -> list[Column]:
+    exprs = [F.count(F.lit(1)).alias("rows")]
     for i, name in enumerate(names):
-        dtype, raw = type_of(df, name), column(name)
-        value = present(df, name, nan_as_null)
-        measures.append(F.count(value).alias(f"n{i}"))
-        if is_floating(dtype):
-            measures.append(F.count_if(F.isnan(raw)).alias(f"nan{i}"))
+        dtype, value = type_of(df, name), present(df, name, nan_as_null)
+        exprs.append(F.count(value).alias(f"n{i}"))
         if is_scalar(dtype):
-            measures += [F.min(value).alias(f"lo{i}"), F.max(value).alias(f"hi{i}")]
+            low, high = F.min(value), F.max(value)
+            shown = "double" if is_numeric(dtype) else "string"
+            exprs += [low.cast(shown).alias(f"low{i}"), high.cast(shown).alias(f"high{i}"),
+                      (low == high).alias(f"same{i}")]
+        if is_floating(dtype):
+            exprs.append(F.count_if(F.isnan(column(name))).alias(f"nan{i}"))
         if is_numeric(dtype):
             x = value.cast("double")
-            measures += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
-                         F.skewness(x).alias(f"skew{i}")]
-    wide = df.agg(*measures)
-    return wide.select(F.inline(F.array(*[
-        _metrics_row(i, name, type_of(df, name), adjusted_skew) for i, name in enumerate(names)])))
-
-
-def _metrics_row(i: int, name: str, dtype, adjusted_skew: bool) -> Column:
-    number, text = F.lit(None).cast("double"), F.lit(None).cast("string")
-    n, rows = F.col(f"n{i}"), F.col("rows")
-    mean = std = skew = low = high = number
-    low_text = high_text = text
-    constant = F.lit(False)
-    if is_scalar(dtype):
-        lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
-        # distinct values with null as one of them: at most one
-        constant = (n == 0) | ((n == rows) & F.coalesce(lo == hi, F.lit(True)))
-        if is_numeric(dtype):
-            low, high = lo.cast("double"), hi.cast("double")
-        else:
-            low_text, high_text = lo.cast("string"), hi.cast("string")
-    if is_numeric(dtype):
-        mean, std, skew = F.col(f"mean{i}"), F.col(f"std{i}"), F.col(f"skew{i}")
-        if adjusted_skew:
-            sized = n.cast("double")
-            skew = F.when(n > 2, skew * F.sqrt(sized * (sized - 1)) / F.when(n > 2, sized - 2))
-    nans = F.col(f"nan{i}") if is_floating(dtype) else F.lit(0).cast("bigint")
-    return F.struct(
-        F.lit(name).alias("feature"),
-        F.lit(is_numeric(dtype)).alias("is_numeric"),
-        rows.alias("rows"),
-        n.alias("count"),
-        (rows - n).alias("null_count"),
-        nans.alias("nan_count"),
-        mean.alias("mean"), std.alias("std"), skew.alias("skew"),
-        low.alias("min"), high.alias("max"),
-        low_text.alias("min_text"), high_text.alias("max_text"),
-        constant.alias("is_constant"),
-    )
+            exprs += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
+                      F.skewness(x).alias(f"skew{i}")]
+    return exprs
+
+
+def _measured(df: DataFrame, name: str, i: int, row, adjusted_skew: bool) -> Measured:
+    dtype, got = type_of(df, name), row.asDict()
+    numeric, n, rows = is_numeric(dtype), got[f"n{i}"], got["rows"]
+    low, high = got.get(f"low{i}"), got.get(f"high{i}")
+    skew = got.get(f"skew{i}")
+    if skew is not None and adjusted_skew:
+        skew = skew * math.sqrt(n * (n - 1)) / (n - 2) if n > 2 else None
+    # at most one distinct value, with null as one of them; only scalars are compared
+    constant = is_scalar(dtype) and (n == 0 or (n == rows and bool(got[f"same{i}"])))
+    bounds = (low, high, None, None) if numeric else (None, None, low, high)
+    return Measured(name, numeric, rows, n, rows - n, got.get(f"nan{i}", 0), got.get(f"mean{i}"),
+                    got.get(f"std{i}"), skew, *bounds, constant)
+
+
+def column_metrics(df: DataFrame, names: Sequence[str] | None = None, nan_as_null: bool = False,
+                   adjusted_skew: bool = False) -> DataFrame:
+    """``measure`` as a table, one row per column."""
+    found = measure(df, names, nan_as_null, adjusted_skew)
+    return df.sparkSession.createDataFrame([astuple(m) for m in found], _METRIC_SCHEMA)
 
 
 def type_split(df: DataFrame) -> DataFrame:
-    """(column, kind): numeric or categorical, and whether the encoders take it."""
+    """(column, kind, encodable): numeric or categorical, and whether the encoders take it."""
     encodable = set(categorical_columns(df, encodable_only=True))
     rows = [(f.name, "numeric" if is_numeric(f.dataType) else "categorical", f.name in encodable)
             for f in df.schema.fields]
@@ -142,48 +161,58 @@ def describe_data(df: DataFrame, names: Sequence[str] | None = None) -> DataFram
 
     ``value`` holds numbers, ``text`` the bounds of non-numeric columns.
     """
-    names = as_list(names) or scalar_columns(df)
-    return _long(column_metrics(df, names), [])
+    return _long(df, measure(df, as_list(names) or scalar_columns(df)), {})
 
 
 def summary_data(df: DataFrame, names: Sequence[str] | None = None,
                  accuracy: int | None = None) -> DataFrame:
     """As ``describe_data`` with 25 %, 50 % and 75 %, exact unless ``accuracy`` is given."""
-    names = as_list(names) or scalar_columns(df)
-    return _long(_with_quartiles(df, column_metrics(df, names), names, accuracy, False),
-                 ["25%", "50%", "75%"])
-
-
-def _long(metrics: DataFrame, quartiles: list[str]) -> DataFrame:
-    none = F.lit(None).cast("string")
-    cells = [("count", F.col("count").cast("double"), none), ("mean", F.col("mean"), none),
-             ("stddev", F.col("std"), none), ("min", F.col("min"), F.col("min_text"))]
-    cells += [(q, column(q), none) for q in quartiles]
-    cells.append(("max", F.col("max"), F.col("max_text")))
-    rows = [F.struct(F.col("feature"), F.lit(s).alias("statistic"), v.alias("value"),
-                     t.alias("text")) for s, v, t in cells]
-    return metrics.select(F.inline(F.array(*rows)))
-
-
-def _with_quartiles(df: DataFrame, metrics: DataFrame, names: Sequence[str],
-                    accuracy: int | None, nan_as_null: bool) -> DataFrame:
-    """Add the quartiles; the metrics are collected (one row per column) for the counts."""
-    rows = metrics.collect()
-    metrics = df.sparkSession.createDataFrame(rows, metrics.schema)
-    wanted = [n for n in names if is_numeric(type_of(df, n))]
-    probs = [0.25, 0.5, 0.75]
-    if accuracy and wanted:
-        one = df.agg(*[F.percentile_approx(present(df, n, nan_as_null).cast("double"), probs,
-                                           accuracy).alias(str(i))
-                       for i, n in enumerate(wanted)]).first()
-        found = {n: one[i] or [None] * 3 for i, n in enumerate(wanted)}
+    found = measure(df, as_list(names) or scalar_columns(df))
+    return _long(df, found, _quartiles(df, found, accuracy, False))
+
+
+Quartiles = dict[str, list[float | None]]
+
+
+def _quartiles(df: DataFrame, found: Sequence[Measured], accuracy: int | None,
+               nan_as_null: bool) -> Quartiles:
+    numbers = [m for m in found if m.is_numeric]
+    probs = list(QUARTILES.values())
+    if not accuracy:
+        known = {m.feature: (m.count, m.min, m.max) for m in numbers}
+        quartiles = exact_quantiles(df, list(known), probs, known, nan_as_null)
     else:
-        counts = {r["feature"]: r["count"] for r in rows}
-        found = exact_quantiles(df, wanted, probs, counts, nan_as_null)
-    table = df.sparkSession.createDataFrame(
-        [(n, *(found.get(n) or [None] * 3)) for n in names],
-        "feature string, `25%` double, `50%` double, `75%` double")
-    return metrics.join(table, "feature", "left")
+        blocks = [numbers[i:i + COLUMNS_PER_BLOCK]
+                  for i in range(0, len(numbers), COLUMNS_PER_BLOCK)]
+        rows = aggregate_blocks(df, [
+            [F.percentile_approx(present(df, m.feature, nan_as_null).cast("double"), probs,
+                                 accuracy).alias(str(i)) for i, m in enumerate(block)]
+            for block in blocks])
+        quartiles = {m.feature: row[i] or [None] * len(probs)
+                     for block, row in zip(blocks, rows) for i, m in enumerate(block)}
+    empty: list[float | None] = [None] * len(probs)
+    return {m.feature: quartiles.get(m.feature, empty) for m in found}
+
+
+def _long(df: DataFrame, found: Sequence[Measured], quartiles: Quartiles) -> DataFrame:
+    rows = []
+    for m in found:
+        rows += [(m.feature, "count", float(m.count), None), (m.feature, "mean", m.mean, None),
+                 (m.feature, "stddev", m.std, None), (m.feature, "min", m.min, m.min_text)]
+        rows += [(m.feature, label, value, None)
+                 for label, value in zip(QUARTILES, quartiles.get(m.feature, []))]
+        rows.append((m.feature, "max", m.max, m.max_text))
+    return df.sparkSession.createDataFrame(
+        rows, "feature string, statistic string, value double, text string")
+
+
+def _stats(df: DataFrame, found: Sequence[Measured], quartiles: Quartiles) -> DataFrame:
+    rows = [(m.feature, m.count, m.null_count, m.nan_count, m.mean, m.std, m.min,
+             *quartiles[m.feature], m.max, m.min_text, m.max_text) for m in found]
+    return df.sparkSession.createDataFrame(
+        rows, "feature string, count bigint, null_count bigint, nan_count bigint, mean double, "
+              "std double, min double, `25%` double, `50%` double, `75%` double, max double, "
+              "min_text string, max_text string")
 
 
 def feature_stats(df: DataFrame, top: bool = False, accuracy: int | None = None,
@@ -192,111 +221,82 @@ def feature_stats(df: DataFrame, top: bool = False, accuracy: int | None = None,
 
     unique, top and freq are given for non-numeric columns, as text.
     """
-    names = df.columns
-    stats = _with_quartiles(df, column_metrics(df, nan_as_null=nan_as_null), names, accuracy,
-                            nan_as_null)
-    result = stats.select("feature", "count", "null_count", "nan_count", "mean", "std", "min",
-                          "25%", "50%", "75%", "max", "min_text", "max_text")
-    if top:
-        others = [n for n in scalar_columns(df) if not is_numeric(type_of(df, n))]
-        if others:
-            result = result.join(modes(df, others), "feature", "left")
-        else:
-            result = result.select("*", F.lit(None).cast("bigint").alias("unique"),
-                                   F.lit(None).cast("string").alias("top"),
-                                   F.lit(None).cast("bigint").alias("freq"))
-    return result
-
-
-def _entry(feature: Column, issue: str, severity: Column, action: Column, metric: Column) -> Column:
-    return F.struct(feature.alias("feature"), F.lit(issue).alias("issue"),
-                    severity.alias("severity"), action.alias("action"),
-                    metric.cast("double").alias("metric"))
-
-
-def _null_percent() -> Column:
-    return F.try_divide(F.col("null_count") * F.lit(100.0), F.col("rows"))
-
-
-def _missing_entry(rules: AuditRules, drop_above: float) -> tuple[Column, Column]:
-    exact = _null_percent()
-    rounded = F.bround(exact, rules.null_decimals)
-    if rules.null_fixed:
-        found, compared = F.col("null_count") > 0, exact
-        severity = F.format_string(f"%.{rules.null_decimals}f%% Null", rounded)
+    found = measure(df, None, nan_as_null)
+    stats = _stats(df, found, _quartiles(df, found, accuracy, nan_as_null))
+    if not top:
+        return stats
+    others = [n for n in scalar_columns(df) if not is_numeric(type_of(df, n))]
+    if others:
+        return stats.join(modes(df, others), "feature", "left")
+    return stats.withColumns({"unique": F.lit(None).cast("bigint"),
+                              "top": F.lit(None).cast("string"),
+                              "freq": F.lit(None).cast("bigint")})
+
+
+def _missing_row(m: Measured, rules: AuditRules, drop_above: float) -> tuple | None:
+    percent = m.null_percent
+    shown = round(percent, rules.percent_digits)
+    if not (percent > 0 if rules.keep_zeros else shown > 0):
+        return None
+    text = f"{percent:.{rules.percent_digits}f}" if rules.keep_zeros else str(shown)
+    if (percent if rules.keep_zeros else shown) > drop_above:
+        action = rules.missing_many
     else:
-        found, compared = rounded > 0, rounded
-        severity = F.concat(rounded.cast("string"), F.lit("% Null"))
-    action = (F.when(compared > drop_above, rules.missing_action_high)
-              .when(F.col("is_numeric"), rules.missing_action_numeric)
-              .otherwise(rules.missing_action_other))
-    return found, _entry(F.col("feature"), MISSING, severity, action, exact)
+        action = rules.missing_numeric if m.is_numeric else rules.missing_other
+    return m.feature, MISSING, f"{text}% Null", action, percent
 
 
-def _skew_entry(rules: AuditRules) -> tuple[Column, Column]:
-    skew = F.col("skew")
-    found = skew.isNotNull() & ~F.isnan(skew) & (F.abs(skew) > SKEW_LIMIT)
-    rounded = F.bround(skew, 2)
-    shown = F.format_string("%.2f", rounded) if rules.null_fixed else rounded.cast("string")
-    severity = F.concat(F.lit("Skewness: "), shown)
-    return found, _entry(F.col("feature"), SKEW, severity, F.lit(rules.skew_action), skew)
+def _skew_row(m: Measured, rules: AuditRules) -> tuple | None:
+    if m.skew is None or math.isnan(m.skew) or abs(m.skew) <= SKEW_LIMIT:
+        return None
+    text = f"{m.skew:.2f}" if rules.keep_zeros else str(round(m.skew, 2))
+    return m.feature, SKEW, f"Skewness: {text}", rules.high_skew, m.skew
 
 
-def _constant_entry(rules: AuditRules) -> tuple[Column, Column]:
-    return F.col("is_constant"), _entry(F.col("feature"), CONSTANT, F.lit("Danger"),
-                                        F.lit(rules.constant_action), F.lit(1.0))
+def _constant_row(m: Measured) -> tuple | None:
+    return (m.feature, CONSTANT, "Danger", DROP_CONSTANT, 1.0) if m.is_constant else None
 
 
-def _audit(metrics: DataFrame, entries: Sequence[tuple[Column, Column]]) -> DataFrame:
+def _audit(df: DataFrame, candidates: Sequence[tuple | None]) -> DataFrame:
     """Audit rows, or the single clean row when there are none."""
-    found = F.filter(F.array(*[F.when(test, entry) for test, entry in entries]),
-                     lambda entry: entry.isNotNull())
-    # one element per column of the profiled table
-    collected = metrics.select(found.alias("found")).agg(
-        F.flatten(F.collect_list("found")).alias("found"))
-    clean = F.array(F.struct(
-        *[F.lit(v).alias(n) for n, v in zip(("feature", "issue", "severity", "action"), CLEAN_ROW)],
-        F.lit(None).cast("double").alias("metric")))
-    rows = F.when(F.size("found") > 0, F.col("found")).otherwise(clean)
-    return collected.select(F.inline(rows))
+    rows = [c for c in candidates if c is not None] or [CLEAN]
+    return df.sparkSession.createDataFrame(rows, _AUDIT_SCHEMA)
 
 
 def missing_audit(df: DataFrame, rules: AuditRules = STANDARD, drop_above: float | None = None,
                   nan_as_null: bool = False) -> DataFrame:
     """Columns with nulls, their share and what to do about it."""
-    metrics = column_metrics(df, nan_as_null=nan_as_null)
     limit = rules.drop_above if drop_above is None else drop_above
-    return _audit(metrics, [_missing_entry(rules, limit)])
+    return _audit(df, [_missing_row(m, rules, limit) for m in measure(df, None, nan_as_null)])
 
 
 def skew_audit(df: DataFrame, rules: AuditRules = STANDARD, nan_as_null: bool = False,
                adjusted: bool = False) -> DataFrame:
     """Numeric columns with |skewness| > 1.5; ``adjusted`` uses the sample-corrected form."""
-    return _audit(column_metrics(df, numeric_columns(df) or None, nan_as_null, adjusted),
-                  [_skew_entry(rules)])
+    names = numeric_columns(df)
+    found = measure(df, names, nan_as_null, adjusted) if names else []
+    return _audit(df, [_skew_row(m, rules) for m in found])
 
 
-def constant_audit(df: DataFrame, rules: AuditRules = STANDARD) -> DataFrame:
+def constant_audit(df: DataFrame) -> DataFrame:
     """Columns with at most one distinct value, null counted as one.
 
     Decided from count, min and max, so it needs no distinct count.
     """
-    return _audit(column_metrics(df), [_constant_entry(rules)])
+    return _audit(df, [_constant_row(m) for m in measure(df)])
 
 
 def full_audit(df: DataFrame, rules: AuditRules = STANDARD, drop_above: float | None = None,
                nan_as_null: bool = False, adjusted_skew: bool = False) -> DataFrame:
     """Missing values, skew and constant columns from a single pass over the table."""
-    return audit_of(column_metrics(df, None, nan_as_null, adjusted_skew), rules, drop_above)
+    return _full(df, measure(df, None, nan_as_null, adjusted_skew), rules, drop_above)
 
 
-def audit_of(metrics: DataFrame, rules: AuditRules = STANDARD,
-             drop_above: float | None = None) -> DataFrame:
+def _full(df: DataFrame, found: Sequence[Measured], rules: AuditRules,
+          drop_above: float | None = None) -> DataFrame:
     limit = rules.drop_above if drop_above is None else drop_above
-    entries = [_missing_entry(rules, limit), _skew_entry(rules)]
-    if rules.report_constant:
-        entries.append(_constant_entry(rules))
-    return _audit(metrics, entries)
+    return _audit(df, [row for m in found for row in (
+        _missing_row(m, rules, limit), _skew_row(m, rules), _constant_row(m))])
 
 
 def audit_severity(audit: DataFrame) -> DataFrame:
@@ -312,12 +312,12 @@ def audit_severity(audit: DataFrame) -> DataFrame:
 
 def scorecard(df: DataFrame, rules: AuditRules = STANDARD) -> DataFrame:
     """Rows, columns with missing values, columns with high skew."""
-    metrics = column_metrics(df)
-    missing, _ = _missing_entry(rules, rules.drop_above)
-    skewed, _ = _skew_entry(rules)
-    return metrics.agg(F.max("rows").alias("rows"),
-                       F.count_if(missing).alias("missing_features"),
-                       F.count_if(skewed).alias("skewed_features"))
+    found = measure(df)
+    row = (found[0].rows if found else 0,
+           sum(_missing_row(m, rules, rules.drop_above) is not None for m in found),
+           sum(_skew_row(m, rules) is not None for m in found))
+    return df.sparkSession.createDataFrame(
+        [row], "rows bigint, missing_features bigint, skewed_features bigint")
 
 
 def critical_audit(audit: DataFrame, limit: int = 15) -> DataFrame:
@@ -331,26 +331,72 @@ def correlation_matrix(df: DataFrame, names: Sequence[str] | None = None,
                        nan_as_null: bool = False) -> DataFrame:
     """Pearson for every pair of numeric columns over rows with both: (x, y, corr).
 
-    All pairs share one scan (one per ``PAIRS_PER_PASS`` pairs for wide tables).
+    A first aggregate finds means and nulls. With the means subtracted and
+    nulls as zero, every pair then needs only plain sums of products, shared
+    between pairs; only columns with nulls need further sums, over the rows
+    where the other column has a value. Null for a constant column.
     """
     names = as_list(names) or numeric_columns(df)
     require(df, *names)
     if len(names) < 2:
         raise ValueError("a correlation needs at least two numeric columns")
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start:start + PAIRS_PER_PASS]
-        wide = df.agg(*[
-            numeric.correlation(present(df, a, nan_as_null), present(df, b, nan_as_null))
-            .alias(str(i)) for i, (a, b) in enumerate(chunk)])
-        cells = []
-        for i, (a, b) in enumerate(chunk):
-            for x, y in {(a, b): 0, (b, a): 0}:
-                cells.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"),
-                                      F.col(str(i)).alias("corr")))
-        parts.append(wide.select(F.inline(F.array(*cells))))
-    return reduce(DataFrame.unionByName, parts)
+    raw = [present(df, n, nan_as_null).cast("double") for n in names]
+    fit = df.agg(F.count(F.lit(1)).alias("rows"), *[
+        f(raw[i]).alias(f"{label}{i}") for i in range(len(names))
+        for label, f in (("n", F.count), ("mean", F.avg), ("lo", F.min), ("hi", F.max))]).first()
+    partial = {i for i in range(len(names)) if fit[f"n{i}"] < fit["rows"]}
+    varying = {i for i in range(len(names)) if fit[f"lo{i}"] != fit[f"hi{i}"]}
+    centred = df.select(*[
+        c for i, x in enumerate(raw) for c in (
+            F.coalesce(x - F.lit(fit[f"mean{i}"]), F.lit(0.0)).alias(f"u{i}"),
+            x.isNotNull().cast("double").alias(f"m{i}"))])
+    blocks = [range(k, min(k + COLUMNS_PER_BLOCK, len(names)))
+              for k in range(0, len(names), COLUMNS_PER_BLOCK)]
+    jobs = [_products([(i, j) for i in first for j in second if i <= j and {i, j} <= varying], partial)
+            for k, first in enumerate(blocks) for second in blocks[k:]]
+    sums: dict[str, float] = {}
+    for row in aggregate_blocks(centred, [job for job in jobs if job]):
+        sums.update(row.asDict())
+    rows = []
+    for i in range(len(names)):
+        for j in range(i, len(names)):
+            value = _pearson(i, j, sums, partial, fit["rows"]) if {i, j} <= varying else None
+            rows += [(names[x], names[y], value) for x, y in dict.fromkeys([(i, j), (j, i)])]
+    return df.sparkSession.createDataFrame(rows, "x string, y string, corr double")
+
+
+def _keys(i: int, j: int, partial: set[int]) -> dict[str, tuple[str, ...]]:
+    """The factors of the sums a pair needs; presence flags only of columns with nulls."""
+    def seen(*places: int) -> tuple[str, ...]:
+        return tuple(f"m{p}" for p in dict.fromkeys(places) if p in partial)
+
+    of_i, of_j = (seen(j), seen(i)) if i != j else ((), ())
+    return {"n": seen(i, j), "xy": (f"u{i}", f"u{j}"),
+            "x": (f"u{i}", *of_i), "xx": (f"u{i}", f"u{i}", *of_i),
+            "y": (f"u{j}", *of_j), "yy": (f"u{j}", f"u{j}", *of_j)}
+
+
+def _products(pairs: Sequence[tuple[int, int]], partial: set[int]) -> list[Column]:
+    wanted = {key for i, j in pairs for key in _keys(i, j, partial).values() if key}
+    exprs = []
+    for key in sorted(wanted):
+        product = F.col(key[0])
+        for factor in key[1:]:
+            product = product * F.col(factor)
+        exprs.append(F.sum(product).alias("*".join(key)))
+    return exprs
+
+
+def _pearson(i: int, j: int, sums: dict[str, float], partial: set[int], rows: int) -> float | None:
+    s = {label: sums["*".join(key)] if key else float(rows)
+         for label, key in _keys(i, j, partial).items()}
+    if not s["n"]:
+        return None
+    spread_x, spread_y = s["xx"] - s["x"] ** 2 / s["n"], s["yy"] - s["y"] ** 2 / s["n"]
+    # below this share of the squares a spread is rounding: constant on these rows
+    if not (spread_x > ROUNDING * s["xx"] and spread_y > ROUNDING * s["yy"]):
+        return None
+    return (s["xy"] - s["x"] * s["y"] / s["n"]) / (math.sqrt(spread_x) * math.sqrt(spread_y))
 
 
 @dataclass(frozen=True)
@@ -368,11 +414,7 @@ class Profile:
 def profile(df: DataFrame, rules: AuditRules = STANDARD, accuracy: int | None = None,
             nan_as_null: bool = False) -> Profile:
     """Statistics, audit, column lists and shape from one shared pass (plus the quartiles)."""
-    metrics = column_metrics(df, nan_as_null=nan_as_null)
-    rows = metrics.collect()
-    metrics = df.sparkSession.createDataFrame(rows, metrics.schema)
-    stats = _with_quartiles(df, metrics, df.columns, accuracy, nan_as_null).select(
-        "feature", "count", "null_count", "nan_count", "mean", "std", "min",
-        "25%", "50%", "75%", "max", "min_text", "max_text")
-    return Profile(stats, audit_of(metrics, rules), numeric_columns(df), categorical_columns(df),
-                   rows[0]["rows"] if rows else 0, len(df.columns))
+    found = measure(df, None, nan_as_null)
+    stats = _stats(df, found, _quartiles(df, found, accuracy, nan_as_null))
+    return Profile(stats, _full(df, found, rules), numeric_columns(df), categorical_columns(df),
+                   found[0].rows if found else 0, len(df.columns))

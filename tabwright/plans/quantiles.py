@@ -1,12 +1,13 @@
 """Exact quantiles whose memory does not grow with the table.
 
-The built-in ``percentile`` keeps every distinct value in one buffer, so it is
-used only where the number of values is known to be small. Beyond that:
+The built-in ``percentile`` keeps every distinct value in one buffer. Instead:
 
-* whole columns: an approximate sketch brackets each wanted rank, the bracket
-  is verified by counting, and only values inside it are ranked;
-* groups: values are counted per group, ordered across many tasks, and the
-  wanted ranks are read off the running totals.
+* whole columns: values are counted in equal-width cells, the cells that hold
+  the wanted ranks are counted again more finely, and so on until each is down
+  to one value; each round is one grouped count over the table, usually two;
+* groups: the built-in where all groups are small; otherwise values are counted
+  per group, ordered across many tasks, and the wanted ranks are read off the
+  running totals.
 
 Quantiles interpolate linearly between the two neighbouring values.
 """
@@ -14,136 +15,146 @@ Quantiles interpolate linearly between the two neighbouring values.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.functions.schema import column, columns, present, same_key
 from tabwright.plans.ordering import RUNNING, number_rows
 from tabwright.plans.skew import find_hot_keys
 
-DIRECT_ROWS = 1_000_000
-SKETCH_ACCURACY = 10_000
+DIRECT_ROWS = 100_000
+CELLS = 4096
+HOT_GROUP_ROWS = 250_000
 MAX_HOT_GROUPS = 100_000
+_LARGEST = sys.float_info.max
 
 
 @dataclass
-class _Bracket:
-    """Closed value range known to hold both neighbours of one wanted rank."""
+class _Target:
+    """One wanted position and the closed value range [low, high] known to hold its value."""
 
     name: str
-    prob: float
-    rank: float
-    low: float | None = None
-    high: float | None = None
-    below: int = 0
-    inside: int = 0
-    slack: float = 2.0
-    value: float | None = None
+    position: int
+    low: float
+    high: float
+    below: int
+    inside: int
 
-    def holds(self, below: int, inside: int) -> bool:
-        return below <= math.floor(self.rank) and math.ceil(self.rank) < below + inside
+    @property
+    def place(self) -> int:
+        """The position among the values inside the range."""
+        return self.position - self.below
+
+    @property
+    def found(self) -> bool:
+        return self.low == self.high or math.isnan(self.low)
 
 
 def exact_quantiles(df: DataFrame, names: Sequence[str], probs: Sequence[float],
-                    counts: Mapping[str, int] | None = None, nan_as_null: bool = False,
+                    known: Mapping[str, tuple[int, float, float]] | None = None,
+                    nan_as_null: bool = False,
                     direct_rows: int = DIRECT_ROWS) -> dict[str, list[float | None]]:
     """Quantiles of each column as ``{name: [value per probability]}``; None without values.
 
-    ``counts`` (non-null values per column) spares the counting job when the
-    caller has them from a profile.
+    ``known`` gives (non-null count, min, max) per column and spares the job
+    that finds them, when the caller has them from a profile. NaN ranks last.
     """
-    values = {name: present(df, name, nan_as_null).cast("double") for name in names}
     if not names:
         return {}
-    if counts is None:
-        row = df.agg(*[F.count(values[n]).alias(str(i)) for i, n in enumerate(names)]).first()
-        counts = dict(zip(names, row))
-    result: dict[str, list[float | None]] = {n: [None] * len(probs) for n in names}
-
-    direct = [n for n in names if 0 < counts[n] <= direct_rows]
-    if direct:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(values[n], wanted).alias(str(i))
-                       for i, n in enumerate(direct)]).first()
-        result.update({n: list(row[i]) for i, n in enumerate(direct)})
-
-    large = [n for n in names if counts[n] > direct_rows]
-    brackets = [_Bracket(n, p, p * (counts[n] - 1), inside=counts[n]) for n in large for p in probs]
-    _resolve(df, values, brackets, direct_rows)
-    for bracket in brackets:
-        result[bracket.name][list(probs).index(bracket.prob)] = bracket.value
-    return result
-
-
-def _inside(bracket: _Bracket, value: Column) -> Column:
-    if bracket.low is None:
-        return value
-    return F.when((value >= F.lit(bracket.low)) & (value <= F.lit(bracket.high)), value)
-
-
-def _resolve(df: DataFrame, values: dict[str, Column], brackets: list[_Bracket],
-             direct_rows: int) -> None:
-    """Shrink all brackets together, two aggregates over the table per round."""
-    open_ones = list(brackets)
-    while open_ones:
-        small = [b for b in open_ones if b.inside <= direct_rows]
-        if small:
-            _finish(df, values, small)
-        open_ones = [b for b in open_ones if b.value is None]
-        if not open_ones:
-            return
-        candidates = _sketch(df, values, open_ones)
-        checks = []
-        for i, (b, (low, high)) in enumerate(zip(open_ones, candidates)):
-            value = values[b.name]
-            checks.append(F.count_if(value < F.lit(low)).alias(f"below{i}"))
-            checks.append(F.count_if((value >= F.lit(low)) & (value <= F.lit(high))).alias(f"in{i}"))
-        row = df.agg(*checks).first()
-        for i, (b, (low, high)) in enumerate(zip(open_ones, candidates)):
-            below, inside = row[f"below{i}"], row[f"in{i}"]
-            if not b.holds(below, inside):
-                b.slack *= 8
-            elif low == high:
-                b.value = low
-            else:
-                b.low, b.high, b.below, b.inside = low, high, below, inside
-        open_ones = [b for b in open_ones if b.value is None]
-
-
-def _sketch(df: DataFrame, values: dict[str, Column],
-            brackets: list[_Bracket]) -> list[tuple[float, float]]:
-    """Approximate values a little below and above each wanted rank."""
-    exprs = []
-    for i, b in enumerate(brackets):
-        width = max(1, b.inside - 1)
-        margin = b.slack / SKETCH_ACCURACY
-        low = max(0.0, (math.floor(b.rank) - b.below) / width - margin)
-        high = min(1.0, (math.ceil(b.rank) - b.below) / width + margin)
-        exprs.append(F.percentile_approx(_inside(b, values[b.name]), [low, high],
-                                         SKETCH_ACCURACY).alias(str(i)))
-    row = df.agg(*exprs).first()
-    return [tuple(row[i]) for i in range(len(brackets))]
-
-
-def _finish(df: DataFrame, values: dict[str, Column], brackets: list[_Bracket]) -> None:
-    """Rank the few values left inside each bracket."""
-    exprs = []
-    for i, b in enumerate(brackets):
-        width = max(1, b.inside - 1)
-        ends = [(math.floor(b.rank) - b.below) / width, (math.ceil(b.rank) - b.below) / width]
-        wanted = F.array(*[F.lit(min(1.0, e)) for e in ends])
-        exprs.append(F.percentile(_inside(b, values[b.name]), wanted).alias(str(i)))
-    row = df.agg(*exprs).first()
-    for i, b in enumerate(brackets):
-        low, high = row[i]
-        b.value = low + (b.rank - math.floor(b.rank)) * (high - low)
+    values = {name: present(df, name, nan_as_null).cast("double") for name in names}
+    if known is None:
+        known = counts_and_bounds(df, values)
+    ranks = {(n, p): p * (known[n][0] - 1) for n in names if known[n][0] for p in probs}
+    positions = {(n, end(rank)) for (n, _), rank in ranks.items() for end in (math.floor, math.ceil)}
+    targets = [_Target(n, position, known[n][1], known[n][2], 0, known[n][0])
+               for n, position in sorted(positions)]
+    waiting = [t for t in targets if not t.found]
+    while waiting:
+        _narrow(df, values, waiting, direct_rows)
+        waiting = [t for t in waiting if not t.found]
+    found = {(t.name, t.position): t.low for t in targets}
+
+    def quantile(name: str, prob: float) -> float | None:
+        if (name, prob) not in ranks:
+            return None
+        rank = ranks[name, prob]
+        low, high = found[name, math.floor(rank)], found[name, math.ceil(rank)]
+        return low if low == high else low + (rank - math.floor(rank)) * (high - low)
+
+    return {n: [quantile(n, p) for p in probs] for n in names}
+
+
+def counts_and_bounds(df: DataFrame,
+                      values: Mapping[str, Column]) -> dict[str, tuple[int, float, float]]:
+    names = list(values)
+    row = df.agg(*[f(values[n]).alias(f"{label}{i}") for i, n in enumerate(names)
+                   for label, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    return {n: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, n in enumerate(names)}
+
+
+def _within(value: Column, low: float | Column, high: float | Column) -> Column:
+    return (value >= low) & (value <= high)
+
+
+def _cell(value: Column, low: Column, high: Column) -> Column:
+    """Equal-width cell of a value; cells keep the values' order, infinities and NaN included."""
+    low = F.greatest(low, F.lit(-_LARGEST))
+    high = F.when(F.isnan(high), F.lit(_LARGEST)).otherwise(F.least(high, F.lit(_LARGEST)))
+    # halves, because the width itself may be beyond the largest double
+    share = (value * 0.5 - low * 0.5) / (high * 0.5 - low * 0.5)
+    return (F.when(F.isnan(value), CELLS + 1).when(value > high, CELLS).when(value < low, -1)
+            .otherwise(F.least(F.floor(share * CELLS), F.lit(CELLS - 1))).cast("bigint"))
+
+
+def _narrow(df: DataFrame, values: dict[str, Column], targets: list[_Target],
+            direct_rows: int) -> None:
+    """Shrink every range to the cell that holds the position: one job for all of them.
+
+    In a range with few rows each value is a cell of its own, which ends the search there.
+    """
+    ranges: dict[tuple[str, float, float], list[_Target]] = {}
+    for t in targets:
+        ranges.setdefault((t.name, t.low, t.high), []).append(t)
+    inside = [_within(values[n], low, high) for n, low, high in ranges]
+    spread = df.where(reduce(or_, inside)).select(
+        F.posexplode(F.array(*[values[n] for n, _, _ in ranges])).alias("range", "value"))
+
+    def per_range(entries: Sequence) -> Column:
+        return F.get(F.array(*[e if isinstance(e, Column) else F.lit(e) for e in entries]),
+                     F.col("range"))
+
+    low, high = per_range([k[1] for k in ranges]), per_range([k[2] for k in ranges])
+    few = per_range([same[0].inside <= direct_rows for same in ranges.values()])
+    value = F.col("value")
+    cell = F.when(few, value).otherwise(_cell(value, low, high).cast("double"))
+    cells = (spread.where(_within(value, low, high)).groupBy("range", cell.alias("cell"))
+             .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"),
+                  F.max("value").alias("high")))
+    # for each range at most CELLS + 3 rows, or direct_rows
+    upto = F.sum("n").over(Window.partitionBy("range").orderBy("cell"))
+    places = per_range([F.array(*[F.lit(t.place) for t in same]) for same in ranges.values()])
+    ranked = cells.withColumn("upto", upto)
+    hits = ranked.where(F.exists(
+        places, lambda p: (p < F.col("upto")) & (p >= F.col("upto") - F.col("n")))).collect()
+    for number, same in enumerate(ranges.values()):
+        for t in same:
+            hit = next(r for r in hits if r["range"] == number
+                       and r["upto"] - r["n"] <= t.place < r["upto"])
+            if hit["n"] == t.inside and hit["low"] != hit["high"]:
+                raise ArithmeticError(f"the values of {t.name} between {t.low} and {t.high} "
+                                      "are too close to separate")
+            t.below += hit["upto"] - hit["n"]
+            t.low, t.high, t.inside = hit["low"], hit["high"], hit["n"]
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], name: str, probs: Sequence[float],
-                      aliases: Sequence[str], hot_rows: int = DIRECT_ROWS) -> DataFrame:
+                      aliases: Sequence[str], hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
     """One row per group with exact quantiles of ``name``, in columns ``aliases``."""
     filled = df.where(column(name).isNotNull()).select(
         *columns(keys), column(name).cast("double").alias("__value"))
