@@ -26,4 +26,4 @@ def aggregate_blocks(df: DataFrame, blocks: Sequence[Sequence[Column]]) -> list[
         return df.agg(*block).first()
 
     with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
-        return list(pool.map(inheritable_thread_target(run), blocks))
+        return list(pool.map(inheritable_thread_target(df.sparkSession)(run), blocks))
