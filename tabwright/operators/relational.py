@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tabwright.functions.schema import (
     as_list, column, columns, is_hashable, require, row_hash, type_of,
 )
+from tabwright.plans.jobs import aggregate_blocks
 from tabwright.plans.skew import find_hot_keys
 
 # Accepted names and the suffix of the result column.
@@ -126,15 +127,13 @@ def unique_count(df: DataFrame, names: Sequence[str] | None = None,
     names = as_list(names) or [f.name for f in df.schema.fields if is_hashable(f.dataType)]
     require(df, *names)
     count = F.approx_count_distinct if approximate else F.count_distinct
-    pieces = [
-        (count(column(n)) + F.max(F.when(column(n).isNull(), 1).otherwise(0))).alias(str(i))
-        for i, n in enumerate(names)
-    ]
-    one_row = df.agg(*pieces)
-    rows = [F.struct(F.lit(n).alias("feature"),
-                     F.coalesce(F.col(str(i)), F.lit(0)).cast("bigint").alias("unique_count"))
-            for i, n in enumerate(names)]
-    return one_row.select(F.inline(F.array(*rows)))
+    # distinct counts of several columns in one aggregate would copy every row for each of them;
+    # on its own, each column is shuffled alone
+    rows = aggregate_blocks(df, [
+        [(count(column(n)) + F.max(F.when(column(n).isNull(), 1).otherwise(0))).alias("n")]
+        for n in names])
+    return df.sparkSession.createDataFrame(
+        [(n, row["n"] or 0) for n, row in zip(names, rows)], "feature string, unique_count bigint")
 
 
 def value_counts(df: DataFrame, name: str, top: int | None = 10) -> DataFrame:

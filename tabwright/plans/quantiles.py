@@ -102,14 +102,19 @@ def _within(value: Column, low: float | Column, high: float | Column) -> Column:
     return (value >= low) & (value <= high)
 
 
-def _cell(value: Column, low: Column, high: Column) -> Column:
+def _cell_scale(low: float, high: float) -> tuple[float, float]:
+    """Start and factor that take a range to 0 ... CELLS; halves, as its width may overflow."""
+    low = min(max(low, -_LARGEST), _LARGEST)
+    high = _LARGEST if math.isnan(high) else min(max(high, -_LARGEST), _LARGEST)
+    width = high / 2 - low / 2
+    return low / 2, min(CELLS / width, _LARGEST) if width > 0 else 1.0
+
+
+def _cell(value: Column, start: Column, factor: Column) -> Column:
     """Equal-width cell of a value; cells keep the values' order, infinities and NaN included."""
-    low = F.greatest(low, F.lit(-_LARGEST))
-    high = F.when(F.isnan(high), F.lit(_LARGEST)).otherwise(F.least(high, F.lit(_LARGEST)))
-    # halves, because the width itself may be beyond the largest double
-    share = (value * 0.5 - low * 0.5) / (high * 0.5 - low * 0.5)
-    return (F.when(F.isnan(value), CELLS + 1).when(value > high, CELLS).when(value < low, -1)
-            .otherwise(F.least(F.floor(share * CELLS), F.lit(CELLS - 1))).cast("bigint"))
+    place = F.greatest((value * 0.5 - start) * factor, F.lit(-1.0))
+    place = F.least(place, F.when(value < math.inf, CELLS - 1.0).otherwise(float(CELLS)))
+    return F.when(F.isnan(value), CELLS + 1).otherwise(F.floor(place)).cast("double")
 
 
 def _narrow(df: DataFrame, values: dict[str, Column], targets: list[_Target],
@@ -130,9 +135,12 @@ def _narrow(df: DataFrame, values: dict[str, Column], targets: list[_Target],
                      F.col("range"))
 
     low, high = per_range([k[1] for k in ranges]), per_range([k[2] for k in ranges])
-    few = per_range([same[0].inside <= direct_rows for same in ranges.values()])
+    scales = [_cell_scale(low, high) for _, low, high in ranges]
+    few = [same[0].inside <= direct_rows for same in ranges.values()]
     value = F.col("value")
-    cell = F.when(few, value).otherwise(_cell(value, low, high).cast("double"))
+    cell = _cell(value, *[per_range(part) for part in zip(*scales)])
+    if any(few):
+        cell = value if all(few) else F.when(per_range(few), value).otherwise(cell)
     cells = (spread.where(_within(value, low, high)).groupBy("range", cell.alias("cell"))
              .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"),
                   F.max("value").alias("high")))
