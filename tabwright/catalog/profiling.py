@@ -30,12 +30,12 @@ def _metrics(table: str, numeric: tuple[str, ...], other: tuple[str, ...]) -> st
 
 
 _MISSING = """SELECT feature, 'Missing Values' AS issue,
-    printf('%.1f%% Null', round_even(100.0 * nulls / n, 1)) AS severity,
+    printf('%.1f%% Null', nulls / n * 100) AS severity,
     CASE WHEN 100.0 * nulls / n > 40 THEN 'Drop Column' WHEN is_numeric
          THEN 'Impute with Median/Mean' ELSE 'Impute with Mode' END AS action,
     round(100.0 * nulls / n, 6) AS metric FROM metrics WHERE nulls > 0"""
 _HIGH_SKEW = """SELECT feature, 'High Skew' AS issue,
-    printf('Skewness: %.2f', round_even(skew, 2)) AS severity, 'Log Transform/Cap' AS action,
+    printf('Skewness: %.2f', skew) AS severity, 'Log Transform/Cap' AS action,
     round(skew, 6) AS metric FROM metrics WHERE abs(skew) > 1.5"""
 _CONSTANT = """SELECT feature, 'Constant/Zero Variance' AS issue, 'Danger' AS severity,
     '🗑️ Drop this column' AS action, 1.0 AS metric FROM metrics WHERE is_constant"""
@@ -167,7 +167,7 @@ def skew_audit(t):
 
 
 @QUERIES.add("d6_skew_audit_adjusted", """
-    SELECT feature, 'High Skew' AS issue, printf('Skewness: %.2f', round_even(skew, 2)) AS severity,
+    SELECT feature, 'High Skew' AS issue, printf('Skewness: %.2f', skew) AS severity,
            'Log Transform/Cap' AS action, round(skew, 6) AS metric FROM (
       SELECT 'quality' AS feature, skewness(quality) AS skew FROM labels
       UNION ALL SELECT 'toxic', skewness(toxic) FROM labels

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.functions.schema import (
-    as_list, column, columns, is_numeric, numeric_columns, require,
+    as_list, column, columns, is_numeric, numeric_columns, present, require,
     scalar_columns, type_of,
 )
+from tabwright.operators.columns import drop_nulls
 from tabwright.operators.relational import sample_n, value_counts
 from tabwright.plans.quantiles import counts_and_bounds, exact_quantiles, grouped_quantiles
 from tabwright.plans.storage import attach
@@ -34,11 +35,9 @@ def _numeric(df: DataFrame, *names: str) -> None:
 
 
 def _without_nulls(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The named columns of the rows where all have a value; NaN is none in a chart."""
     require(df, *names)
-    kept = df.select(*columns(dict.fromkeys(names)))
-    for name in dict.fromkeys(names):
-        kept = kept.where(column(name).isNotNull())
-    return kept
+    return drop_nulls(df.select(*columns(dict.fromkeys(names))), nan_as_null=True)
 
 
 def _automatic_bins(n: int, low: float, high: float, quartile_range: float, whole: bool) -> int:
@@ -55,8 +54,9 @@ def _automatic_bins(n: int, low: float, high: float, quartile_range: float, whol
 
 def _histograms(df: DataFrame, names: list[str], bins: int | None) -> DataFrame:
     """(feature, bin, low, high, count) of several numeric columns, non-empty bins only."""
-    known = counts_and_bounds(df, {n: column(n).cast("double") for n in names})
-    quartiles = {} if bins else exact_quantiles(df, names, [0.25, 0.75], known)
+    values = {n: present(df, n, nan_as_null=True).cast("double") for n in names}
+    known = counts_and_bounds(df, values)
+    quartiles = {} if bins else exact_quantiles(df, names, [0.25, 0.75], known, True)
     cells = []
     for n in names:
         count, low, high = known[n]
@@ -71,7 +71,7 @@ def _histograms(df: DataFrame, names: list[str], bins: int | None) -> DataFrame:
             # a single value gets one bin of width one around it, as histogram tools do
             low, high = low - 0.5, high + 0.5
         width = (high - low) / number
-        place = F.least(F.floor((column(n).cast("double") - low) / F.lit(width)),
+        place = F.least(F.floor((values[n] - low) / F.lit(width)),
                         F.lit(number - 1)).cast("bigint")
         cells.append(F.struct(F.lit(n).alias("feature"), place.alias("bin"),
                               F.lit(low).alias("start"), F.lit(width).alias("width")))
@@ -183,10 +183,7 @@ def scatter(df: DataFrame, x: str, y: str, key: str | Sequence[str], hue: str |
     ``key`` identifies a row and decides the sample.
     """
     wanted = [n for n in (x, y, hue) if n]
-    kept = df
-    require(df, *wanted)
-    for name in wanted:
-        kept = kept.where(column(name).isNotNull())
+    kept = drop_nulls(df, wanted, nan_as_null=True)
     names = list(dict.fromkeys([*as_list(key), *wanted]))
     return sample_n(kept.select(*columns(names)), rows, key, seed).select(*columns(dict.fromkeys(wanted)))
 

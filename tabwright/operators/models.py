@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tabwright.functions.schema import (
     as_list, column, columns, is_numeric, numeric_columns, require, type_of,
 )
+from tabwright.operators.columns import drop_nulls
 
 # The baseline's settings.
 TREES = 100
@@ -46,9 +47,7 @@ class Components:
 
 
 def _complete(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    for n in dict.fromkeys(names):
-        df = df.where(column(n).isNotNull())
-    return df
+    return drop_nulls(df, list(dict.fromkeys(names)), nan_as_null=True)
 
 
 def fit_pca(df: DataFrame, names: Sequence[str] | None = None, hue: str | None = None,

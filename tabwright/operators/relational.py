@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.functions.schema import (
-    as_list, column, columns, is_hashable, require, row_hash, type_of,
+    as_list, column, columns, is_hashable, present, require, row_hash, type_of,
 )
-from tabwright.plans.jobs import aggregate_blocks
+from tabwright.plans.jobs import aggregate_blocks, run_together
 from tabwright.plans.skew import find_hot_keys
 
 # Accepted names and the suffix of the result column.
@@ -156,22 +156,27 @@ def mode(df: DataFrame, name: str) -> DataFrame:
 
 
 def modes(df: DataFrame, names: Sequence[str], nan_as_null: bool = False) -> DataFrame:
-    """Distinct count, mode and its frequency for several scalar columns in one scan.
+    """Distinct count, mode and its frequency of several scalar columns.
 
-    (feature, unique, top, freq) with the value as text; ties go to the lowest text.
+    (feature, unique, top, freq) with the value as text, ties to the lowest
+    value; no row for a column without values. Each column is counted alone.
     """
     if not names:
         raise ValueError("no columns given")
-    cells = [F.struct(F.lit(n).alias("feature"), column(n).cast("string").alias("value"))
-             for n in names]
-    counts = (df.select(F.inline(F.array(*cells)))
-              .where(F.col("value").isNotNull())
-              .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
-    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("value").alias("value")))
-    return counts.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("unique"), best.alias("best"),
-    ).select("feature", "unique", F.col("best.value").alias("top"),
-             (-F.col("best.n")).alias("freq"))
+
+    def one(name: str) -> tuple[str, int, str | None, int | None]:
+        value = present(df, name, nan_as_null)
+        counts = (df.where(value.isNotNull()).groupBy(value.alias("value"))
+                  .agg(F.count(F.lit(1)).alias("n")))
+        best = F.min(F.struct((-F.col("n")).alias("n"), F.col("value")))
+        row = counts.agg(F.count(F.lit(1)).alias("unique"), best.alias("best")).select(
+            "unique", F.col("best.value").cast("string").alias("top"),
+            (-F.col("best.n")).alias("freq")).first()
+        return (name, *row)
+
+    rows = run_together(df.sparkSession, one, list(names))
+    return df.sparkSession.createDataFrame(
+        [r for r in rows if r[1]], "feature string, unique bigint, top string, freq bigint")
 
 
 def _sort_columns(df: DataFrame, by: str | Sequence[str],

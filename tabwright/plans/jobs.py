@@ -1,14 +1,26 @@
-"""Several aggregates over one table at the same time."""
+"""Independent jobs over one table, run at the same time."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 
 JOBS_AT_ONCE = 4
+Item = TypeVar("Item")
+Result = TypeVar("Result")
+
+
+def run_together(spark: SparkSession, work: Callable[[Item], Result],
+                 items: Sequence[Item]) -> list[Result]:
+    """``work(item)`` for each item, a few at a time; each call runs Spark jobs of its own."""
+    if len(items) == 1:
+        return [work(items[0])]
+    with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(work), items))
 
 
 def aggregate_blocks(df: DataFrame, blocks: Sequence[Sequence[Column]]) -> list[Row]:
@@ -19,11 +31,4 @@ def aggregate_blocks(df: DataFrame, blocks: Sequence[Sequence[Column]]) -> list[
     to machine code: nine columns in one block take six times as long as two
     blocks of five.
     """
-    if len(blocks) == 1:
-        return [df.agg(*blocks[0]).first()]
-
-    def run(block: Sequence[Column]) -> Row:
-        return df.agg(*block).first()
-
-    with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
-        return list(pool.map(inheritable_thread_target(df.sparkSession)(run), blocks))
+    return run_together(df.sparkSession, lambda block: df.agg(*block).first(), blocks)

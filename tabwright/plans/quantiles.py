@@ -4,7 +4,7 @@ The built-in ``percentile`` keeps every distinct value in one buffer. Instead:
 
 * whole columns: values are counted in equal-width cells, the cells that hold
   the wanted ranks are counted again more finely, and so on until each is down
-  to one value; each round is one grouped count over the table, usually two;
+  to one value; each round is one grouped count of the column, usually two;
 * groups: the built-in where all groups are small; otherwise values are counted
   per group, ordered across many tasks, and the wanted ranks are read off the
   running totals.
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.functions.schema import column, columns, present, same_key
+from tabwright.plans.jobs import run_together
 from tabwright.plans.ordering import RUNNING, number_rows
 from tabwright.plans.skew import find_hot_keys
 
@@ -74,10 +75,13 @@ def exact_quantiles(df: DataFrame, names: Sequence[str], probs: Sequence[float],
     positions = {(n, end(rank)) for (n, _), rank in ranks.items() for end in (math.floor, math.ceil)}
     targets = [_Target(n, position, known[n][1], known[n][2], 0, known[n][0])
                for n, position in sorted(positions)]
-    waiting = [t for t in targets if not t.found]
-    while waiting:
-        _narrow(df, values, waiting, direct_rows)
-        waiting = [t for t in waiting if not t.found]
+    by_name = {n: [t for t in targets if t.name == n] for n in names}
+
+    def search(name: str) -> None:
+        while waiting := [t for t in by_name[name] if not t.found]:
+            _narrow(df.select(values[name].alias("value")), waiting, direct_rows)
+
+    run_together(df.sparkSession, search, names)
     found = {(t.name, t.position): t.low for t in targets}
 
     def quantile(name: str, prob: float) -> float | None:
@@ -117,38 +121,38 @@ def _cell(value: Column, start: Column, factor: Column) -> Column:
     return F.when(F.isnan(value), CELLS + 1).otherwise(F.floor(place)).cast("double")
 
 
-def _narrow(df: DataFrame, values: dict[str, Column], targets: list[_Target],
-            direct_rows: int) -> None:
-    """Shrink every range to the cell that holds the position: one job for all of them.
+def _narrow(df: DataFrame, targets: list[_Target], direct_rows: int) -> None:
+    """Shrink every range of one column to the cell that holds the position, in one job.
 
     In a range with few rows each value is a cell of its own, which ends the search there.
     """
-    ranges: dict[tuple[str, float, float], list[_Target]] = {}
+    ranges: dict[tuple[float, float], list[_Target]] = {}
     for t in targets:
-        ranges.setdefault((t.name, t.low, t.high), []).append(t)
-    inside = [_within(values[n], low, high) for n, low, high in ranges]
-    spread = df.where(reduce(or_, inside)).select(
-        F.posexplode(F.array(*[values[n] for n, _, _ in ranges])).alias("range", "value"))
+        ranges.setdefault((t.low, t.high), []).append(t)
+    value = F.col("value")
 
     def per_range(entries: Sequence) -> Column:
         return F.get(F.array(*[e if isinstance(e, Column) else F.lit(e) for e in entries]),
                      F.col("range"))
 
-    low, high = per_range([k[1] for k in ranges]), per_range([k[2] for k in ranges])
-    scales = [_cell_scale(low, high) for _, low, high in ranges]
+    # ranges are cells of earlier rounds, so no two of them overlap
+    number = reduce(lambda found, entry: found.when(_within(value, *entry[1]), entry[0]),
+                    enumerate(ranges), F.when(value.isNull(), None))
+    rows = df.where(reduce(or_, [_within(value, *ends) for ends in ranges])).select(
+        number.cast("int").alias("range"), "value")
     few = [same[0].inside <= direct_rows for same in ranges.values()]
-    value = F.col("value")
-    cell = _cell(value, *[per_range(part) for part in zip(*scales)])
-    if any(few):
-        cell = value if all(few) else F.when(per_range(few), value).otherwise(cell)
-    cells = (spread.where(_within(value, low, high)).groupBy("range", cell.alias("cell"))
-             .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"),
-                  F.max("value").alias("high")))
-    # for each range at most CELLS + 3 rows, or direct_rows
+    scales = [_cell_scale(*ends) for ends in ranges]
+    if len(ranges) == 1:
+        cell = value if few[0] else _cell(value, *[F.lit(part) for part in scales[0]])
+    else:
+        cell = F.when(per_range(few), value).otherwise(
+            _cell(value, *[per_range(part) for part in zip(*scales)]))
+    cells = rows.groupBy("range", cell.alias("cell")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    # for each range at most CELLS + 2 rows, or direct_rows
     upto = F.sum("n").over(Window.partitionBy("range").orderBy("cell"))
     places = per_range([F.array(*[F.lit(t.place) for t in same]) for same in ranges.values()])
-    ranked = cells.withColumn("upto", upto)
-    hits = ranked.where(F.exists(
+    hits = cells.withColumn("upto", upto).where(F.exists(
         places, lambda p: (p < F.col("upto")) & (p >= F.col("upto") - F.col("n")))).collect()
     for number, same in enumerate(ranges.values()):
         for t in same:
