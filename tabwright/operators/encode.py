@@ -14,8 +14,9 @@ from tabwright.functions.schema import (
     as_list, categorical_columns, column, columns, is_numeric, is_scalar,
     numeric_columns, require, type_of,
 )
-from tabwright.operators.profile import SKEW_LIMIT, measure
+from tabwright.operators.profile import SKEW_LIMIT, Measured, measure
 from tabwright.operators.relational import modes
+from tabwright.plans.jobs import run_together
 from tabwright.plans.quantiles import exact_quantiles
 
 # Name parts that mark personal data, the masks, the share of "@" and the log texts.
@@ -195,6 +196,16 @@ def encoded_preview(df: DataFrame, order_by: str | Sequence[str], n: int = 5,
     return encoded.orderBy(*columns(as_list(order_by))).limit(n)
 
 
+def _medians(df: DataFrame, measured: Mapping[str, Measured],
+             accuracy: int | None) -> dict[str, float]:
+    if accuracy and measured:
+        row = df.agg(*[F.percentile_approx(column(n).cast("double"), 0.5, accuracy).alias(str(i))
+                       for i, n in enumerate(measured)]).first()
+        return dict(zip(measured, row))
+    known = {n: (m.count, m.min, m.max) for n, m in measured.items()}
+    return {n: v[0] for n, v in exact_quantiles(df, list(known), [0.5], known).items()}
+
+
 def auto_clean(df: DataFrame, mask_pii: bool = False, max_levels: int = MAX_LEVELS,
                accuracy: int | None = None) -> DataFrame:
     """A table ready for model training.
@@ -209,21 +220,15 @@ def auto_clean(df: DataFrame, mask_pii: bool = False, max_levels: int = MAX_LEVE
     measured = {m.feature: m for m in measure(df)}
     gaps = [n for n, m in measured.items() if m.null_count and m.count]
     numbers = [n for n in gaps if is_numeric(type_of(df, n))]
-    fills: dict[str, Column] = {}
-    if accuracy and numbers:
-        row = df.agg(*[F.percentile_approx(column(n).cast("double"), 0.5, accuracy).alias(str(i))
-                       for i, n in enumerate(numbers)]).first()
-        medians = dict(zip(numbers, row))
-    else:
-        known = {n: (measured[n].count, measured[n].min, measured[n].max) for n in numbers}
-        medians = {n: v[0] for n, v in exact_quantiles(df, numbers, [0.5], known).items()}
-    for n in numbers:
-        fills[n] = F.coalesce(column(n).cast("double"), F.lit(medians[n]))
     others = [n for n in gaps if is_scalar(type_of(df, n)) and n not in numbers]
-    if others:
-        for r in modes(df, others).collect():
-            n = r["feature"]
-            fills[n] = F.coalesce(column(n), F.lit(r["top"]).cast(type_of(df, n)))
+    names = [n for n in categorical_columns(df) if is_scalar(type_of(df, n))]
+    medians, tops, levels = run_together(df.sparkSession, lambda fit: fit(), [
+        lambda: _medians(df, {n: measured[n] for n in numbers}, accuracy),
+        lambda: {r["feature"]: r["top"] for r in modes(df, others).collect()} if others else {},
+        lambda: levels_of(df, names, max_levels),
+    ])
+    fills = {n: F.coalesce(column(n).cast("double"), F.lit(v)) for n, v in medians.items()}
+    fills |= {n: F.coalesce(column(n), F.lit(v).cast(type_of(df, n))) for n, v in tops.items()}
     filled = df.withColumns(fills) if fills else df
 
     if numbers:
@@ -235,8 +240,6 @@ def auto_clean(df: DataFrame, mask_pii: bool = False, max_levels: int = MAX_LEVE
             logs[n] = numeric.log1p(column(n).cast("double"), F.lit(1.0 - low) if low <= 0 else None)
     logged = filled.withColumns(logs) if logs else filled
 
-    names = [n for n in categorical_columns(df) if is_scalar(type_of(df, n))]
-    levels = levels_of(df, names, max_levels)
     pairs = {n: tuple(v) for n, v in levels.items() if v is not None and len(v) == 2}
     rest = [n for n in names if n not in pairs and isinstance(type_of(df, n), T.StringType)]
     wide = [n for n in rest if levels[n] is None]

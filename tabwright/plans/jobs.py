@@ -9,7 +9,7 @@ from typing import TypeVar
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 
-JOBS_AT_ONCE = 4
+JOBS_AT_ONCE = 8
 Item = TypeVar("Item")
 Result = TypeVar("Result")
 
