@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwright.llm import language
+from tabwright.llm import decontaminate, language, similar
 from tabwright.llm.rows import remainder
 
 
@@ -18,8 +18,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir), remainder(3) == 1)
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.similarity_classes(documents(spark, sf_dir)).drop("key")
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.contained_items(documents(spark, sf_dir), items)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id,)}
+    return {f.__name__: f for f in (
+        op1_language_id, op3_ngram_jaccard_join, op5_benchmark_decontamination,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
