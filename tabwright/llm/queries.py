@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwright.llm import decontaminate, language, quality, similar
+from tabwright.llm import decontaminate, language, privacy, quality, similar
 from tabwright.llm.rows import remainder
 
 
@@ -31,10 +31,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.find(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_language_id, op3_ngram_jaccard_join, op5_benchmark_decontamination,
-        op7_quality_rules,
+        op6_personal_data, op7_quality_rules,
     )}
 
 
