@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwright.llm import decontaminate, language, privacy, quality, similar
+from tabwright.llm import decontaminate, language, lm, privacy, quality, similar
 from tabwright.llm.rows import remainder
 
 
@@ -18,6 +18,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir), remainder(3) == 1)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(documents(spark, sf_dir), remainder(7) == 2)
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.similarity_classes(documents(spark, sf_dir)).drop("key")
 
@@ -37,7 +41,7 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_language_id, op3_ngram_jaccard_join, op5_benchmark_decontamination,
+        op1_language_id, op2_lm_scoring, op3_ngram_jaccard_join, op5_benchmark_decontamination,
         op6_personal_data, op7_quality_rules,
     )}
 
