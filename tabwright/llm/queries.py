@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwright.llm import decontaminate, language, lm, privacy, quality, similar
+from tabwright.llm import decontaminate, fmindex, language, lm, privacy, quality, similar
 from tabwright.llm.rows import remainder
 
 
@@ -39,10 +39,14 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.find(documents(spark, sf_dir))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.without_earlier_passages(documents(spark, sf_dir)).drop("kept_text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_language_id, op2_lm_scoring, op3_ngram_jaccard_join, op5_benchmark_decontamination,
-        op6_personal_data, op7_quality_rules,
+        op6_personal_data, op7_quality_rules, op8_substring_dedup,
     )}
 
 
