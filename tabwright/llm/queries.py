@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwright.llm import decontaminate, fmindex, language, lm, privacy, quality, similar
+from tabwright.llm import decontaminate, esais, fmindex, language, lm, privacy, quality, similar
 from tabwright.llm.rows import remainder
 
 
@@ -43,10 +43,14 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.without_earlier_passages(documents(spark, sf_dir)).drop("kept_text")
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return esais.without_repeated_bytes(documents(spark, sf_dir)).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_language_id, op2_lm_scoring, op3_ngram_jaccard_join, op5_benchmark_decontamination,
-        op6_personal_data, op7_quality_rules, op8_substring_dedup,
+        op6_personal_data, op7_quality_rules, op8_substring_dedup, op9_suffix_array_dedup,
     )}
 
 

@@ -43,7 +43,8 @@ Shard = tuple[np.ndarray, np.ndarray, np.ndarray]
 class Method:
     """How texts become codes, what repeats are, and the index that finds them in a shard.
 
-    ``search`` gets a shard and gives (segment, first window, last window) for the shared windows.
+    ``search`` gets a shard and gives (segment, first window, last window) for the shared windows. A shard
+    holds codes, or bytes if ``stored`` gives these.
     """
 
     codes: Callable[[Texts], tuple[np.ndarray, np.ndarray]]
@@ -51,6 +52,7 @@ class Method:
     window: int
     gram: int
     kind: str
+    stored: Callable[[Texts], np.ndarray] | None = None  # what a shard gets in place of the codes
 
 
 def gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
@@ -181,7 +183,8 @@ def _cut(docs: DataFrame, method: Method, wanted: DataFrame, windows: bool) -> D
                 low = of["start"] + first[row]
                 if not windows:
                     ends = low + of["windows"] + method.window - 1
-                    content = pa.array([codes[a:b].tobytes() for a, b in zip(low, ends)], pa.binary())
+                    whole = method.stored(texts) if method.stored else codes
+                    content = pa.array([whole[a:b].tobytes() for a, b in zip(low, ends)], pa.binary())
                     yield pa.RecordBatch.from_arrays(
                         [*(pa.array(of[n]) for n in ("anchor", "segment", "order")), content], schema=schema)
                     continue
@@ -204,6 +207,8 @@ FOUND = {"segment": "bigint", "anchor": "bigint", "low": "bigint", "high": "bigi
 def _shards(contents: DataFrame, method: Method) -> DataFrame:
     """anchor, segment and the runs of windows that the shard's index found."""
     schema = arrow_schema(FOUND)
+    kind = np.uint8 if method.stored else np.uint64
+    width = np.dtype(kind).itemsize
 
     def chunks(batches) -> Iterator[pa.Table]:
         """Rows sorted by anchor, cut between anchors after about SHARD_CODES codes."""
@@ -211,7 +216,7 @@ def _shards(contents: DataFrame, method: Method) -> DataFrame:
         for batch in batches:
             held.append(batch)
             size += batch.column("content").nbytes
-            if size >= 8 * SHARD_CODES:
+            if size >= width * SHARD_CODES:
                 table = pa.Table.from_batches(held)
                 anchor = table["anchor"].to_numpy()
                 last = int(np.searchsorted(anchor, anchor[-1]))
@@ -225,8 +230,8 @@ def _shards(contents: DataFrame, method: Method) -> DataFrame:
     def find(batches):
         for table in chunks(batches):
             raw = table["content"].to_pylist()
-            codes = np.frombuffer(b"".join(raw), np.uint64)
-            begins = np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw])]).astype(np.int64)
+            codes = np.frombuffer(b"".join(raw), kind)
+            begins = np.concatenate([[0], np.cumsum([len(x) // width for x in raw])]).astype(np.int64)
             found = method.search(codes, begins, table["order"].to_numpy())
             at, low, high = (np.array(x, np.int64) for x in (zip(*found) if found else ((), (), ())))
             yield pa.RecordBatch.from_arrays(
