@@ -35,7 +35,7 @@ SIZE = BANDS * ROWS
 STEP = 32
 TOLERANCE = 1e-6
 THRESHOLD = (4, 5)
-BLOCK = 128
+BLOCK = 512
 BROADCAST_ROWS = 1_000_000
 
 
