@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwright.llm import decontaminate, esais, fmindex, language, lm, privacy, quality, similar
+from tabwright.llm import decontaminate, esais, fmindex, language, lm, pieces, privacy, quality, similar, tokenfile
 from tabwright.llm.rows import remainder
 
 
+BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -26,6 +35,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.similarity_classes(documents(spark, sf_dir)).drop("key")
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(documents(spark, sf_dir), tokenizer_path(BYTE_BPE))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.contained_items(documents(spark, sf_dir), items)
@@ -47,10 +60,15 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return esais.without_repeated_bytes(documents(spark, sf_dir)).drop("kept")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(documents(spark, sf_dir), tokenizer_path(PIECES), {"doc_id": "bigint"})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_language_id, op2_lm_scoring, op3_ngram_jaccard_join, op5_benchmark_decontamination,
+        op1_language_id, op2_lm_scoring, op3_ngram_jaccard_join, op4_token_ids, op5_benchmark_decontamination,
         op6_personal_data, op7_quality_rules, op8_substring_dedup, op9_suffix_array_dedup,
+        op10_sentencepiece,
     )}
 
 
