@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.llm.arrays import Texts, Words, byte_codes, grams, lower_ascii, range_hashes, slices, words_of
-from tabwright.llm.rows import map_texts
+from tabwright.llm.rows import extend_texts, free_name, map_texts
 from tabwright.llm.shingles import WORDS, seeds
 
 HASHES = 64
@@ -142,6 +142,28 @@ def blocks_of(items: DataFrame):
             yield [(r["item_id"], r["text"]) for r in found]
 
 
+def uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with their columns, that hold no item."""
+    names = docs.columns
+    flag = free_name(docs, "contaminated")
+    kept = docs
+    for block in blocks_of(items):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def start(shared=shared):
+            index = Index(shared.value)
+
+            def search(texts, _):
+                codes, words = _codes(texts)
+                found = np.zeros(texts.rows, bool)
+                found[[row for row, _, _ in index.search(codes, words.first)]] = True
+                return [pa.array(found)]
+            return search
+
+        kept = extend_texts(kept, {flag: "boolean"}, start).where(~F.col(flag)).select(*names)
+    return kept
+
+
 def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """A row for each document and item of which at least the share CONTAINMENT is in the document."""
     spark = docs.sparkSession

@@ -21,7 +21,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwright.llm.rows import map_texts
+from tabwright.llm.rows import extend_texts, free_name, map_texts
+from tabwright.plans import storage
 
 SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 4_096, 1 << 17
 CHUNK_BYTES = 1 << 11
@@ -44,12 +45,17 @@ def learn(labelled: DataFrame) -> dict[str, bytes]:
     digest = F.xxhash64("text")
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     distinct = known.groupBy("lang", digest.alias("digest")).agg(F.min("doc_id").alias("doc_id"))
+    distinct = storage.written(distinct, "texts")
+    # a frequent language is thinned by hash to about twice the sample before its texts are ranked
+    sizes = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return {}
+    thin = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, max(1, n // (2 * SAMPLE_TEXTS)))))
+    few = distinct.where(F.pmod("digest", F.try_element_at(thin, "lang")) == 0)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("digest"))
-    chosen = distinct.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_TEXTS)
+    chosen = few.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_TEXTS)
     ids = {(r["lang"], r["digest"]): r["doc_id"] for r in chosen.collect()}
-    if not ids:
-        return {}
-    sample = known.where(F.col("doc_id").isin(sorted(set(ids.values())))).select(
+    sample = known.where(F.col("doc_id").isin(sorted({i for i in ids.values() if i is not None}))).select(
         "lang", digest.alias("digest"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct()
     parts: dict[str, bytearray] = {lang: bytearray() for lang, _ in ids}
     for row in sorted((r for r in sample.collect() if (r["lang"], r["digest"]) in ids),
@@ -59,41 +65,60 @@ def learn(labelled: DataFrame) -> dict[str, bytes]:
     return {lang: bytes(part[:DICTIONARY_BYTES]) for lang, part in sorted(parts.items())}
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], columns: dict[str, str]) -> DataFrame:
-    """The named columns of ``docs`` (name: type) with lang_pred, score and rejected.
-
-    ``score`` is how much smaller the best total is than the next one, as a share of the latter.
-    """
+def judging(dictionaries: dict[str, bytes]):
+    """For ``map_texts``: the predicted language, the score and whether it is rejected."""
     names = list(dictionaries)
 
     def start():
         coders = [zstandard.ZstdCompressor(level=LEVEL, dict_data=_prepared(content), write_content_size=False)
                   for content in dictionaries.values()]
 
-        def judge(texts, rows):
-            lettered = rows.column("has_letter").to_pylist()
+        def judge(texts, _):
             found, scores = [], []
             for row in range(texts.rows):
-                if not lettered[row] or not names:
+                text = texts.text(row).decode()
+                if not names or not any(map(str.isalpha, text)):
                     found.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                text = letters(texts.text(row).decode())
-                chunks = [text[at:at + CHUNK_BYTES] for at in range(0, len(text), CHUNK_BYTES)]
+                plain = letters(text)
+                chunks = [plain[at:at + CHUNK_BYTES] for at in range(0, len(plain), CHUNK_BYTES)]
                 sizes = [sum(len(coder.compress(chunk)) for chunk in chunks) for coder in coders]
                 best = min(range(len(names)), key=sizes.__getitem__)
                 rest = min((s for i, s in enumerate(sizes) if i != best), default=None)
                 found.append(names[best])
                 scores.append(1.0 if rest is None else (rest - sizes[best]) / rest)
             rejected = [name == UNKNOWN or score < MIN_MARGIN for name, score in zip(found, scores)]
-            kept = [rows.column(c) for c in columns]
-            return [*kept, pa.array(found), pa.array(scores, pa.float64()), pa.array(rejected)]
+            return [pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
 
         return judge
 
-    outcome = {"lang_pred": "string", "score": "double", "rejected": "boolean"}
-    has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter")
-    return map_texts(docs.select(*dict.fromkeys([*columns, "text"]), has_letter), columns | outcome, start)
+    return start
+
+
+OUTCOME = {"lang_pred": "string", "score": "double", "rejected": "boolean"}
+
+
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], columns: dict[str, str]) -> DataFrame:
+    """The named columns of ``docs`` (name: type) with lang_pred, score and rejected.
+
+    ``score`` is how much smaller the best total is than the next one, as a share of the latter.
+    """
+    start = judging(dictionaries)
+
+    def with_columns():
+        judge = start()
+        return lambda texts, rows: [*(rows.column(c) for c in columns), *judge(texts, rows)]
+
+    return map_texts(docs.select(*dict.fromkeys([*columns, "text"])), columns | OUTCOME, with_columns)
+
+
+def recognised(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
+    """The rows of ``docs`` whose language isn't rejected, with their columns."""
+    names = docs.columns
+    added = {free_name(docs, n): kind for n, kind in OUTCOME.items()}
+    judged = extend_texts(docs, added, judging(dictionaries))
+    return judged.where(~F.col(list(added)[2])).select(*names)
 
 
 def _prepared(content: bytes) -> zstandard.ZstdCompressionDict:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from tabwright.llm import chunks
 from tabwright.llm.arrays import slices
-from tabwright.llm.rows import arrow_schema, ddl
+from tabwright.llm.rows import arrow_schema, ddl, extended, free_name
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -136,11 +136,8 @@ class PieceModel:
 RESULT = {"n_pieces": "bigint", "ids_crc32": "bigint", "parity": "boolean", "round_trip": "boolean"}
 
 
-def encode(docs: DataFrame, model_path: str, columns: dict[str, str], with_ids: bool = False) -> DataFrame:
-    """The named columns (name: type) with n_pieces, ids_crc32 (of the ids as little-endian unsigned 32-bit
-    integers), parity and round_trip, and the ids themselves if wanted (``piece_ids``)."""
-    result = columns | RESULT | ({"piece_ids": "array<int>"} if with_ids else {})
-    schema = arrow_schema(result)
+def _encoding(model_path: str, with_ids: bool):
+    """For ``mapInArrow``: the columns of each batch but the text, then those of RESULT, then the ids."""
 
     def run(batches):
         import sentencepiece
@@ -174,15 +171,43 @@ def encode(docs: DataFrame, model_path: str, columns: dict[str, str], with_ids:
                 plain_ids = ids.astype("<u4")
                 sums = [zlib.crc32(plain_ids[a:b].tobytes()) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist())]
                 rows = batch.slice(texts.first, texts.rows)
-                found = [*(rows.column(c) for c in columns), pa.array(np.diff(begins)), pa.array(sums, pa.int64()),
+                found = [pa.array(np.diff(begins)), pa.array(sums, pa.int64()),
                          *(pa.array(m[1:] == m[:-1]) for m in marks)]
                 if with_ids:
                     found.append(pa.ListArray.from_arrays(begins.astype(np.int32), ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(found, schema=schema)
+                yield rows, found
+
+    return run
+
+
+IDS = {"piece_ids": "array<int>"}
+
+
+def encode(docs: DataFrame, model_path: str, columns: dict[str, str], with_ids: bool = False) -> DataFrame:
+    """The named columns (name: type) with n_pieces, ids_crc32 (of the ids as little-endian unsigned 32-bit
+    integers), parity and round_trip, and the ids themselves if wanted (``piece_ids``)."""
+    result = columns | RESULT | (IDS if with_ids else {})
+    schema, work = arrow_schema(result), _encoding(model_path, with_ids)
+
+    def run(batches):
+        for rows, found in work(batches):
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), *found], schema=schema)
 
     return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, ddl(result))
 
 
+def encode_all_columns(docs: DataFrame, model_path: str) -> DataFrame:
+    """All columns of ``docs``, then piece_ids and those of ``encode``, under other names where these are taken."""
+    added = {free_name(docs, n): kind for n, kind in (RESULT | IDS).items()}
+    extra, work = list(arrow_schema(added)), _encoding(model_path, True)
+
+    def run(batches):
+        for rows, found in work(batches):
+            yield pa.RecordBatch.from_arrays([*rows.columns, *found], schema=pa.schema([*rows.schema, *extra]))
+
+    return docs.mapInArrow(run, extended(docs, added))
+
+
 def decode(encoded: DataFrame, model_path: str, columns: dict[str, str]) -> DataFrame:
     """The named columns with ``decoded``, the text of ``piece_ids``."""
     result = columns | {"decoded": "string"}

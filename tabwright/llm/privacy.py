@@ -258,10 +258,12 @@ def redact(docs: DataFrame) -> DataFrame:
     Overlapping spans are replaced as one, named after the one that begins first. ``n_chars`` follows the
     new text where there is such a column; texts without a span, null ones too, stay as they are.
     """
-    models = train(annotated(docs.select("text"), []).select(F.explode("pii_votes").alias("v")).select("v.*"))
     names = docs.columns
-    marked = decided(annotated(docs, names), models)
-    by_start = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"))))
+    plain = docs.select(*(F.col(n).alias(f"c{i}") for i, n in enumerate(names)), "text")
+    models = train(annotated(docs.select("text"), []).select(F.explode("pii_votes").alias("v")).select("v.*"))
+    marked = decided(annotated(plain, plain.columns), models)
+    by_start = F.array_sort(F.transform("pii_spans", lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"))))
     labels = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
     pieces = F.aggregate(by_start, begin, lambda held, s: F.struct(
@@ -269,10 +271,16 @@ def redact(docs: DataFrame) -> DataFrame:
         F.when(s["start"] < held["at"], held["out"]).otherwise(F.concat(held["out"], F.array(
             F.substr(F.col("pii_text"), (held["at"] + 1).cast("int"), (s["start"] - held["at"]).cast("int")),
             F.get(labels, s["rank"])))).alias("out")))
-    text = F.when(F.size("pii_spans") > 0, F.concat(
-        F.array_join(pieces["out"], ""), F.substr(F.col("pii_text"), (pieces["at"] + 1).cast("int"), F.length("pii_text")),
-    )).otherwise(F.col("text"))
-    fixed = marked.withColumn("text", text)
-    if "n_chars" in names:
-        fixed = fixed.withColumn("n_chars", F.when(F.size("pii_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return fixed.select(*names)
+    some = F.size("pii_spans") > 0
+    fixed = marked.withColumn("pii_new", F.when(some, F.concat(
+        F.array_join(pieces["out"], ""),
+        F.substr(F.col("pii_text"), (pieces["at"] + 1).cast("int"), F.length("pii_text")))).otherwise(F.col("text")))
+
+    def column(i: int, name: str) -> Column:
+        if name == "text":
+            return F.col("pii_new")
+        if name == "n_chars":
+            return F.when(some, F.length("pii_new").cast(docs.schema[name].dataType)).otherwise(F.col(f"c{i}"))
+        return F.col(f"c{i}")
+
+    return fixed.select(*(column(i, n).alias(n) for i, n in enumerate(names)))

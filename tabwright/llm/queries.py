@@ -32,7 +32,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar.similarity_classes(documents(spark, sf_dir)).drop("key")
+    return similar.similarity_classes(documents(spark, sf_dir)).drop("key", "root")
 
 
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabwright.llm.arrays import Texts, slices
 
@@ -46,6 +47,35 @@ def map_texts(df: DataFrame, columns: dict[str, str],
     return df.mapInArrow(run, ddl(columns))
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name that ``df`` doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def extended(df: DataFrame, added: dict[str, str]) -> T.StructType:
+    return T.StructType(df.schema.fields + [T.StructField(n, T.DataType.fromDDL(k)) for n, k in added.items()])
+
+
+def extend_texts(df: DataFrame, added: dict[str, str],
+                 start: Callable[[], Callable[[Texts, pa.RecordBatch], list]]) -> DataFrame:
+    """All columns of ``df`` as they are, and the added ones, made as in ``map_texts``."""
+    extra = list(arrow_schema(added))
+
+    def run(batches):
+        work = start()
+        for batch in batches:
+            for texts in slices(batch.column("text")):
+                rows = batch.slice(texts.first, texts.rows)
+                found = [x if isinstance(x, pa.Array) else pa.array(x, kind.type)
+                         for x, kind in zip(work(texts, rows), extra, strict=True)]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *found], schema=pa.schema([*rows.schema, *extra]))
+
+    return df.mapInArrow(run, extended(df, added))
+
+
 def text_key() -> Column:
     """64 bits that tell texts of one document id apart; null counts as empty."""
     return F.xxhash64(F.coalesce("text", F.lit("")))

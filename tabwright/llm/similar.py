@@ -234,10 +234,11 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def similarity_classes(docs: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, key (of its text), class_id, n_links and n_similar_texts.
+    """One row for each document: doc_id, key (of its text), class_id, n_links, n_similar_texts and root.
 
     ``n_links`` counts the other documents whose similarity is 0.8 or more, copies included;
-    ``n_similar_texts`` counts the different shingle sets among them.
+    ``n_similar_texts`` counts the different shingle sets among them, ``root`` tells classes apart and is
+    null without words.
     """
     signed = storage.written(signatures(docs), "signatures")
     nodes = storage.written(
@@ -257,9 +258,37 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     known = known.withColumn("root", F.coalesce("root", "node"))
     classes = known.groupBy("root").agg(F.min("least_id").alias("class_id"))
     per_node = storage.written(known.join(classes, "root").select(
-        "node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        "node", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("texts", F.lit(0)).alias("n_similar_texts")), "classes")
     return signed.select("doc_id", "key", "node").join(per_node, "node", "left").select(
         "doc_id", "key", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.coalesce("n_similar_texts", F.lit(0)).alias("n_similar_texts"))
+        F.coalesce("n_similar_texts", F.lit(0)).alias("n_similar_texts"), "root")
+
+
+def _matching(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join on (doc_id, key), with a broadcast of at most ``BROADCAST_ROWS`` ids."""
+    other = rows.select(F.col("doc_id").alias("__id"), F.col("key").alias("__id_key"))
+    if rows.count() <= BROADCAST_ROWS:
+        other = F.broadcast(other)
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (text_key() == F.col("__id_key"))
+    return docs.join(other, same, how)
+
+
+def one_of_each_class(docs: DataFrame) -> DataFrame:
+    """The row of the least doc_id (then text hash) of each class, with its columns; null ids come last.
+
+    Documents without words all stay.
+    """
+    names = docs.columns
+    rows = storage.written(similarity_classes(docs).where("root is not null").groupBy("root", "doc_id", "key").agg(
+        F.count("*").alias("times")), "class-rows")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")).alias("best"))
+    ranked = rows.join(best, "root").withColumn(
+        "wins", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key")))
+    ranked = storage.written(ranked.select("doc_id", "key", "wins", "times"), "class-winners")
+    plain = docs.select(*(F.col(n).alias(f"c{i}") for i, n in enumerate(names)), "doc_id", "text")
+    kept = _matching(plain, ranked.where(~F.col("wins")), "left_anti")
+    repeated = ranked.where("wins and times > 1")
+    once = _matching(kept, repeated, "left_semi").withColumn("key", text_key()).dropDuplicates(["doc_id", "key"]).drop("key")
+    return _matching(kept, repeated, "left_anti").union(once).select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
