@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import tabwright as tw
 from tabwright.catalog.registry import Registry, rounded
-from tabwright.operators.charts import KDE_BINS, KDE_GRID, NORMAL_95, VIOLIN_CUT, VIOLIN_GRID
+from tabwright.operators.charts import KDE_GRID, NORMAL_95, VIOLIN_CUT, VIOLIN_GRID
 
 QUERIES = Registry()
 
@@ -32,22 +32,18 @@ def _histogram_sql(table: str, column: str, whole: bool, feature: str = "") -> s
     GROUP BY bin, lo, w"""
 
 
-def _kde_sql(table: str, column: str, keys: tuple[str, ...], grid: int, cut: float) -> str:
+def _kde_sql(table: str, column: str, keys: tuple[str, ...], grid: int, cut: float, digits: int = 7) -> str:
     by = "".join(f"{k}, " for k in keys)
     using = f"JOIN fit USING ({', '.join(keys)})" if keys else "CROSS JOIN fit"
     return f"""
     WITH fit AS (SELECT {by}count({column}) AS n, min({column}) AS lo, max({column}) AS hi,
                         stddev_samp({column}) * pow(count({column}), -0.2) AS h
                  FROM {table} GROUP BY {by + '()' if not keys else ', '.join(keys)}),
-    cells AS (SELECT {by}n, lo, hi, h, count(*) AS w, avg({column}) AS m
-              FROM {table} {using}
-              GROUP BY {by}n, lo, hi, h,
-                       least(floor(({column} - lo) / (hi - lo) * {KDE_BINS}), {KDE_BINS - 1}))
     SELECT {by}CAST(point AS INTEGER) AS point, round(x, 6) AS x,
-           round(sum(w * exp(-0.5 * pow((x - m) / h, 2)))
-                 / (any_value(n) * any_value(h) * {math.sqrt(2 * math.pi)!r}), 8) AS density
-    FROM (SELECT *, lo - {cut} * h + point * ((hi - lo + 2 * {cut} * h) / {grid - 1}) AS x
-          FROM cells, range({grid}) AS g(point))
+           round(sum(exp(-0.5 * pow((x - v) / h, 2))) / (any_value(n) * any_value(h) * {math.sqrt(2 * math.pi)!r}), {digits})
+             AS density
+    FROM (SELECT *, {column} AS v, lo - {cut} * h + point * ((hi - lo + 2 * {cut} * h) / {grid - 1}) AS x
+          FROM {table} {using}, range({grid}) AS g(point))
     GROUP BY {by}point, x"""
 
 
@@ -68,7 +64,7 @@ def histogram_fixed(t):
 
 @QUERIES.add("v2_kde", _kde_sql("events", "value", (), KDE_GRID, 0.0))
 def kde(t):
-    return rounded(tw.kde(t.events, "value"), x=6, density=8)
+    return rounded(tw.kde(t.events, "value"), x=6, density=7)
 
 
 @QUERIES.add("v3_category_bars", """
@@ -80,10 +76,9 @@ def category_bars(t):
 
 @QUERIES.add("v4_scatter", """
     SELECT o_totalprice, o_custkey, o_orderstatus FROM orders
-    WHERE o_totalprice IS NOT NULL AND o_custkey IS NOT NULL AND o_orderstatus IS NOT NULL
-    ORDER BY md5(CAST(o_orderkey AS VARCHAR) || ':42'), o_orderkey LIMIT 10000""")
+    WHERE o_totalprice IS NOT NULL AND o_custkey IS NOT NULL AND o_orderstatus IS NOT NULL""")
 def scatter(t):
-    return tw.scatter(t.orders, "o_totalprice", "o_custkey", "o_orderkey", "o_orderstatus")
+    return tw.scatter(t.orders, "o_totalprice", "o_custkey", "o_orderstatus")
 
 
 @QUERIES.add("v5_regression", """
@@ -134,11 +129,11 @@ def box(t):
     SELECT *, CASE WHEN l_linestatus = (SELECT min(l_linestatus) FROM lineitem) THEN 'left'
               ELSE 'right' END AS side
     FROM ({_kde_sql("lineitem", "l_extendedprice", ("l_returnflag", "l_linestatus"),
-                    VIOLIN_GRID, VIOLIN_CUT).replace("8) AS density", "12) AS density")
+                    VIOLIN_GRID, VIOLIN_CUT, 10)
            .replace("round(x, 6)", "round(x, 4)")})""")
 def violin(t):
     result = tw.violin(t.lineitem, "l_returnflag", "l_extendedprice", "l_linestatus")
-    return rounded(result, x=4, density=12)
+    return rounded(result, x=4, density=10)
 
 
 def _all_sql() -> str:

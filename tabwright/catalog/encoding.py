@@ -32,8 +32,9 @@ def pii_density(t):
 
 @QUERIES.add("c2_pii_cells", f"""
     WITH {CUSTOMER_PII} SELECT c_custkey, '[REDACTED]' AS c_name, c_nationkey, c_acctbal, c_mktsegment,
-      regexp_replace(contact, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\\.[a-zA-Z0-9-.]+',
-                     '[REDACTED_EMAIL]', 'g') AS contact FROM customer_pii""")
+      regexp_replace(contact,
+        '(?i)\\b[a-z0-9][\\w.+%-]*@(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\\.)+[a-z]{{2,24}}\\b',
+        '[REDACTED_EMAIL]', 'g') AS contact FROM customer_pii""")
 def pii_cells(t):
     return tw.scrub_pii(t.customer_pii, mode="cell")
 

@@ -1,9 +1,11 @@
 """Principal components, random forests, measures of a prediction."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import tabwright as tw
 from tabwright.catalog.registry import Registry, rounded
+from tabwright.plans import storage
 
 QUERIES = Registry()
 
@@ -40,18 +42,31 @@ def pca_many(t):
     return tw.pca(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 
 
-@QUERIES.add("m2_train_classifier")
-def train_classifier(t):
-    table = t.labels.join(t.documents.drop("text"), "doc_id")
-    predicted = tw.train_baseline(table, "quality", "doc_id", "classification")
-    return tw.classification_report(predicted, "label", "prediction")
+_TEST = """('0x' || substr(md5(CAST({} AS VARCHAR) || ':42'), 1, 8))::UBIGINT % 1000000 < 200000"""
 
 
-@QUERIES.add("m2_train_regressor")
+@QUERIES.add("m2_train_classifier", f"""
+    SELECT conv_id, role AS label, CAST(count(*) OVER (PARTITION BY role) AS BIGINT) AS support, TRUE AS beats_constant
+    FROM conversations WHERE role IS NOT NULL AND {_TEST.format("conv_id")}""")
+def train_classifier(t):
+    """The test rows, and whether the forest is right more often on average over the classes than a constant."""
+    predicted = storage.written(tw.train_baseline(
+        t.conversations, "role", "conv_id", "classification"), "predicted")
+    recall = predicted.groupBy("label").agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("r"))
+    row = recall.agg(F.avg("r"), F.count("*")).first()
+    support = F.count("*").over(Window.partitionBy("label"))
+    return predicted.select("conv_id", "label", support.alias("support"), F.lit(row[0] > 1 / row[1]).alias("beats_constant"))
+
+
+@QUERIES.add("m2_train_regressor", f"""
+    SELECT p_name, round(CAST(p_retailprice AS DOUBLE), 4) AS label, TRUE AS beats_constant
+    FROM part WHERE {_TEST.format("p_name")}""")
 def train_regressor(t):
-    table = tw.select_columns(t.part, ["p_partkey", "p_size", "p_retailprice"])
-    predicted = tw.train_baseline(table, "p_retailprice", "p_partkey", "regression")
-    return tw.mse(predicted, "label", "prediction")
+    """The test rows, and whether the forest's error is below the variance of the labels."""
+    predicted = storage.written(tw.train_baseline(t.part, "p_retailprice", "p_name", "regression"), "predicted")
+    error = tw.mse(predicted, "label", "prediction").first()[0]
+    spread = predicted.agg(F.var_pop("label")).first()[0]
+    return rounded(predicted, label=4).select("p_name", "label", F.lit(error < spread).alias("beats_constant"))
 
 
 def _predicted(t):

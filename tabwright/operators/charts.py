@@ -1,4 +1,4 @@
-"""The tables behind the charts. No drawing; every operator but the scatter sample uses all rows."""
+"""The tables behind the charts. No drawing; every operator uses all rows unless a sample is asked for."""
 
 from __future__ import annotations
 
@@ -16,14 +16,14 @@ from tabwright.functions.schema import (
 from tabwright.operators.columns import drop_nulls
 from tabwright.operators.relational import sample_n, value_counts
 from tabwright.plans.quantiles import counts_and_bounds, exact_quantiles, grouped_quantiles
-from tabwright.plans.storage import attach
+from tabwright.plans.storage import attach, written
 
-KDE_BINS = 4096
+#: The density counts rows in cells of this share of the bandwidth and follows each cell so many bandwidths.
+CELLS_PER_BANDWIDTH, REACH = 64, 8.5
 # The defaults of the plots whose data this is.
 KDE_GRID = 200
 VIOLIN_GRID = 100
 VIOLIN_CUT = 2.0
-SCATTER_ROWS = 10_000
 TOP_VALUES = 10
 NORMAL_95 = 1.959963984540054
 
@@ -98,42 +98,51 @@ def histogram(df: DataFrame, name: str, bins: int | None = None) -> DataFrame:
 
 
 def kde(df: DataFrame, name: str, by: str | Sequence[str] | None = None, grid: int = KDE_GRID,
-        cut: float = 0.0, bins: int = KDE_BINS) -> DataFrame:
+        cut: float = 0.0) -> DataFrame:
     """Gaussian density curve with Scott's bandwidth: (keys, point, x, density).
 
-    Rows are first counted in ``bins`` fine cells per group, each represented by
-    the mean of its values, so the curve costs cells x grid whatever the number
-    of rows. ``cut`` extends the grid by that many bandwidths.
+    Rows are first counted in cells whose width is a fixed part of the group's
+    bandwidth, so the error does not depend on the spread or the number of rows.
+    A cell stands at the mean of its values, corrected by their variance, and
+    only meets the grid points within ``REACH`` bandwidths; a group costs at most
+    about ``2 * REACH * CELLS_PER_BANDWIDTH * grid`` rows. ``cut`` extends the
+    grid by that many bandwidths.
     """
     keys = as_list(by)
     _numeric(df, name)
     base = _without_nulls(df, [*keys, name]).select(
         *columns(keys), column(name).cast("double").alias("__v"))
+    spread = F.col("__sd") * F.pow(F.col("__n").cast("double"), F.lit(-0.2))
     fit = base.groupBy(*columns(keys)).agg(
         F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"),
         F.stddev_samp("__v").alias("__sd"),
-    ).where((F.col("__n") > 1) & (F.col("__sd") > 0))
+    ).where((F.col("__n") > 1) & (F.col("__sd") > 0)).withColumn("__h", spread).drop("__sd")
+    params = ["__n", "__lo", "__hi", "__h"]
     if keys:
+        fit = written(fit, "density-fit")
         fitted = attach(base, fit, keys).where(F.col("__n").isNotNull())
     else:
         row = fit.first()
         if row is None:
             return df.sparkSession.createDataFrame([], "point int, x double, density double")
-        fitted = base.select("*", *[F.lit(row[c]).alias(c) for c in ("__n", "__lo", "__hi", "__sd")])
-    cell = F.least(F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins),
-                   F.lit(bins - 1))
-    params = ["__n", "__lo", "__hi", "__sd"]
+        fit = df.sparkSession.range(1).select(*[F.lit(row[c]).alias(c) for c in params])
+        fitted = base.select("*", *[F.lit(row[c]).alias(c) for c in params])
+    cell = F.floor((F.col("__v") - F.col("__lo")) / F.col("__h") * CELLS_PER_BANDWIDTH)
     cells = fitted.groupBy(*columns(keys), *params, cell.alias("__cell")).agg(
-        F.count(F.lit(1)).alias("__w"), F.avg("__v").alias("__m"))
-    width = F.col("__sd") * F.pow(F.col("__n").cast("double"), F.lit(-0.2))
+        F.count(F.lit(1)).alias("__w"), F.avg("__v").alias("__m"), F.var_pop("__v").alias("__s"))
     start = F.col("__lo") - F.lit(float(cut)) * F.col("__h")
     step = (F.col("__hi") - F.col("__lo") + 2 * F.lit(float(cut)) * F.col("__h")) / (grid - 1)
-    curve = (cells.withColumn("__h", width)
-             .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
-             .withColumn("x", start + F.col("point") * step))
-    kernel = F.col("__w") * F.exp(F.lit(-0.5) * F.pow((F.col("x") - F.col("__m")) / F.col("__h"), 2))
-    total = F.sum(kernel) / (F.first("__n") * F.first("__h") * F.lit(math.sqrt(2 * math.pi)))
-    return curve.groupBy(*columns(keys), "point", "x").agg(total.alias("density"))
+    first = F.greatest(F.ceil((F.col("__m") - REACH * F.col("__h") - start) / step), F.lit(0))
+    last = F.least(F.floor((F.col("__m") + REACH * F.col("__h") - start) / step), F.lit(grid - 1))
+    near = F.when(first <= last, F.sequence(first.cast("int"), last.cast("int")))
+    square = F.pow((start + F.col("point") * step - F.col("__m")) / F.col("__h"), 2)
+    bent = 1 + 0.5 * (square - 1) * F.col("__s") / (F.col("__h") * F.col("__h"))
+    met = cells.withColumn("point", F.explode(near)).select(
+        *columns(keys), *params, "point", (F.col("__w") * F.exp(-0.5 * square) * bent).alias("__k"))
+    every = fit.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn("__k", F.lit(0.0))
+    total = F.sum("__k") / (F.col("__n") * F.col("__h") * F.lit(math.sqrt(2 * math.pi)))
+    summed = met.unionByName(every).groupBy(*columns(keys), *params, "point").agg(total.alias("density"))
+    return summed.select(*columns(keys), "point", (start + F.col("point") * step).alias("x"), "density")
 
 
 def category_bars(df: DataFrame, name: str, top: int = TOP_VALUES) -> DataFrame:
@@ -176,16 +185,21 @@ def all_distributions(df: DataFrame, bins: int | None = None, top: int = TOP_VAL
     return reduce(DataFrame.unionByName, parts)
 
 
-def scatter(df: DataFrame, x: str, y: str, key: str | Sequence[str], hue: str | None = None,
-            rows: int = SCATTER_ROWS, seed: int = 42) -> DataFrame:
-    """Points for a scatter plot: all rows without nulls, or a repeatable sample of ``rows``.
+def scatter(df: DataFrame, x: str, y: str, hue: str | None = None, rows: int | None = None,
+            key: str | Sequence[str] | None = None, seed: int = 42) -> DataFrame:
+    """Points for a scatter plot: all rows without nulls.
 
-    ``key`` identifies a row and decides the sample.
+    Only when the caller names a number of ``rows`` it is a repeatable sample,
+    which the ``key`` of a row decides.
     """
-    wanted = [n for n in (x, y, hue) if n]
+    wanted = list(dict.fromkeys(n for n in (x, y, hue) if n))
     kept = drop_nulls(df, wanted, nan_as_null=True)
+    if rows is None:
+        return kept.select(*columns(wanted))
+    if key is None:
+        raise ValueError("a sample needs key=, the columns that identify a row")
     names = list(dict.fromkeys([*as_list(key), *wanted]))
-    return sample_n(kept.select(*columns(names)), rows, key, seed).select(*columns(dict.fromkeys(wanted)))
+    return sample_n(kept.select(*columns(names)), rows, key, seed).select(*columns(wanted))
 
 
 def regression_line(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -239,10 +253,10 @@ def box(df: DataFrame, x: str, y: str, hue: str | None = None) -> DataFrame:
 
 
 def violin(df: DataFrame, x: str, y: str, hue: str | None = None, grid: int = VIOLIN_GRID,
-           cut: float = VIOLIN_CUT, bins: int = KDE_BINS) -> DataFrame:
+           cut: float = VIOLIN_CUT) -> DataFrame:
     """Density per x (and hue); with exactly two hues, ``side`` says which half each one takes."""
     keys = list(dict.fromkeys(n for n in (x, hue) if n))
-    curves = kde(df, y, keys, grid, cut, bins)
+    curves = kde(df, y, keys, grid, cut)
     if not hue:
         return curves.withColumn("side", F.lit("both"))
     ends = _without_nulls(df, [*keys, y]).agg(
@@ -253,16 +267,11 @@ def violin(df: DataFrame, x: str, y: str, hue: str | None = None, grid: int = VI
     return curves.withColumn("side", F.when(column(hue) == F.lit(low), "left").otherwise("right"))
 
 
-CHARTS = {"line": line, "bar": bar, "box": box, "violin": violin}
+CHARTS = {"scatter": scatter, "line": line, "bar": bar, "box": box, "violin": violin}
 
 
-def chart(df: DataFrame, kind: str, x: str, y: str, hue: str | None = None,
-          key: str | Sequence[str] | None = None) -> DataFrame:
-    """The data of one chart by name; scatter needs the row key for its sample."""
-    if kind == "scatter":
-        if key is None:
-            raise ValueError("scatter needs key=, the columns that identify a row")
-        return scatter(df, x, y, key, hue)
+def chart(df: DataFrame, kind: str, x: str, y: str, hue: str | None = None) -> DataFrame:
+    """The data of one chart by name."""
     if kind not in CHARTS:
-        raise ValueError(f"unknown chart {kind!r}; use scatter, {', '.join(CHARTS)}")
+        raise ValueError(f"unknown chart {kind!r}; use {', '.join(CHARTS)}")
     return CHARTS[kind](df, x, y, hue)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import operator
 from collections.abc import Sequence
+from datetime import date, datetime
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -78,10 +80,13 @@ def conditional_column(df: DataFrame, new_name: str, name: str, threshold: Any,
 
 
 def replace_values(df: DataFrame, name: str, old: Any, new: Any) -> DataFrame:
-    """Replace exact matches; ``new`` may be None. A null is matched by ``old=None``."""
+    """Replace exact matches; ``new`` may be None. A null is matched by ``old=None``.
+
+    Both values are read by the column's type; one that does not fit raises ``ValueError``.
+    """
     value = column(name)
-    matched = value.eqNullSafe(F.lit(old))
-    replacement = F.lit(new).cast(type_of(df, name)) if new is None else F.lit(new)
+    matched = value.eqNullSafe(typed_literal(df, name, old))
+    replacement = F.lit(None).cast(type_of(df, name)) if new is None else typed_literal(df, name, new)
     return df.withColumn(name, F.when(matched, replacement).otherwise(value))
 
 
@@ -106,18 +111,50 @@ def contains_at(df: DataFrame, name: str, output: str | None = None) -> DataFram
 
 
 def typed_literal(df: DataFrame, name: str, value: Any) -> Column:
-    """A literal of the column's own kind; text that is no number raises for a numeric column."""
+    """A literal of the column's own kind; a value that is none raises ``ValueError`` before any job.
+
+    The literal is converted, never the column. A number for a text column becomes its text.
+    """
     dtype = type_of(df, name)
-    if not isinstance(value, str) or isinstance(dtype, T.StringType):
+    number = isinstance(value, (int, float, Decimal)) and not isinstance(value, bool)
+    if value is None or isinstance(value, Column):
         return F.lit(value)
+    if isinstance(dtype, T.StringType):
+        return F.lit(str(value))
+    if isinstance(dtype, T.BooleanType):
+        text_value = str(value).strip().lower()
+        if text_value not in _TRUTH:
+            raise ValueError(f"{value!r} is no truth value, but column {name} is boolean")
+        return F.lit(_TRUTH[text_value])
     if not is_numeric(dtype):
-        return F.lit(value).cast(dtype)
+        if number or isinstance(value, bool):
+            raise ValueError(f"{value!r} does not fit column {name} of type {dtype.simpleString()}")
+        if isinstance(value, str):
+            return _parsed(value, name, dtype)
+        return F.lit(value)
+    if isinstance(value, bool) or number:
+        return F.lit(int(value) if isinstance(value, bool) else value)
+    if not isinstance(value, str):
+        raise ValueError(f"{value!r} is no number, but column {name} is numeric")
     try:
         return F.lit(int(value)) if value.strip().lstrip("+-").isdigit() else F.lit(float(value))
     except ValueError:
         raise ValueError(f"{value!r} is no number, but column {name} is numeric") from None
 
 
+_TRUTH = {"true": True, "1": True, "false": False, "0": False}
+
+
+def _parsed(value: str, name: str, dtype: T.DataType) -> Column:
+    """Text as a date or time of the column's type."""
+    forms = {T.DateType: date, T.TimestampType: datetime, T.TimestampNTZType: datetime}
+    form = forms.get(type(dtype))
+    try:
+        return F.lit(form.fromisoformat(value.strip())).cast(dtype) if form else F.lit(value).cast(dtype)
+    except ValueError:
+        raise ValueError(f"{value!r} does not fit column {name} of type {dtype.simpleString()}") from None
+
+
 def filter_rows(df: DataFrame, name: str, comparison: str, value: Any) -> DataFrame:
     """Keep rows where ``column <comparison> value``; null never passes.
 

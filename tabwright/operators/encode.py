@@ -16,6 +16,7 @@ from tabwright.functions.schema import (
 )
 from tabwright.operators.profile import SKEW_LIMIT, Measured, measure
 from tabwright.operators.relational import modes
+from tabwright.operators.transforms import attach_codes, label_codes
 from tabwright.plans.jobs import run_together
 from tabwright.plans.quantiles import exact_quantiles
 
@@ -28,6 +29,7 @@ NAME_LOG = "Masked entire column '{}' due to PII keyword match."
 EMAIL_LOG = "Masked column '{}' due to high email density."
 BINARY_LOG = "Binary Encoded '{}': '{}'->0, '{}'->1"
 ONE_HOT_LOG = "One-Hot Encoded: {}"
+CODES_LOG = "Label-encoded for its number of levels: {}"
 NOTHING_LOG = "No categorical columns required encoding."
 
 MAX_LEVELS = 1000
@@ -111,9 +113,12 @@ class Encoding:
 
     binary: Mapping[str, tuple[str, str]] = field(default_factory=dict)
     one_hot: Mapping[str, Sequence[str]] = field(default_factory=dict)
+    coded: Mapping[str, DataFrame] = field(default_factory=dict)
 
     def apply(self, df: DataFrame) -> DataFrame:
-        require(df, *self.binary, *self.one_hot)
+        require(df, *self.binary, *self.one_hot, *self.coded)
+        for n, lookup in self.coded.items():
+            df = attach_codes(df.withColumn(n, column(n).cast("string")), n, lookup, n)
         kept = []
         for n in df.columns:
             if n in self.binary:
@@ -136,17 +141,23 @@ class Encoding:
                               for n, pair in self.binary.items()]
         if self.one_hot:
             rows.append((None, "one_hot", ONE_HOT_LOG.format(", ".join(self.one_hot))))
+        if self.coded:
+            rows.append((None, "codes", CODES_LOG.format(", ".join(self.coded))))
         return rows
 
 
-def _too_many(names: Sequence[str], max_levels: int) -> ValueError:
-    return ValueError(f"more than {max_levels} levels in {', '.join(names)}: raise max_levels, "
-                      "drop the column or label-encode it")
+def _codes(df: DataFrame, names: Sequence[str]) -> dict[str, DataFrame]:
+    """Codes of the sorted levels of columns that have too many for one column each."""
+    return {n: label_codes(df.select(column(n).cast("string").alias(n)), n) for n in names}
 
 
 def fit_encoding(df: DataFrame, names: Sequence[str] | None = None, binary: bool = True,
                  one_hot: bool = True, max_levels: int = MAX_LEVELS) -> Encoding:
-    """Two-level columns become 0/1 (lower value 0), the others one column per further level."""
+    """Two-level columns become 0/1 (lower value 0), the others one column per further level.
+
+    A column with more than ``max_levels`` levels becomes one column of label codes instead, however
+    many there are; ``max_levels`` says where a table would get too wide.
+    """
     names = as_list(names) or categorical_columns(df, encodable_only=True)
     require(df, *names)
     levels = levels_of(df, names, max_levels)
@@ -155,9 +166,7 @@ def fit_encoding(df: DataFrame, names: Sequence[str] | None = None, binary: bool
     if not one_hot:
         return Encoding(pairs)
     wide = [n for n, v in rest.items() if v is None]
-    if wide:
-        raise _too_many(wide, max_levels)
-    return Encoding(pairs, rest)
+    return Encoding(pairs, {n: v for n, v in rest.items() if v is not None}, _codes(df, wide))
 
 
 def binary_encode(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
@@ -207,21 +216,24 @@ def _medians(df: DataFrame, measured: Mapping[str, Measured],
 
 
 def auto_clean(df: DataFrame, mask_pii: bool = False, max_levels: int = MAX_LEVELS,
-               accuracy: int | None = None) -> DataFrame:
+               accuracy: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """A table ready for model training.
 
     Numeric nulls become the median and other nulls the mode; numeric columns
     with |skewness| > 1.5 after that get the shifted log; two-level columns
-    become 0/1 and other text columns one-hot. Small aggregates fit the
-    parameters, then one projection over the table applies them all.
+    become 0/1 and other text columns one-hot, or label codes beyond
+    ``max_levels``. Columns in ``keep`` stay as they are. Small aggregates fit
+    the parameters, then one projection over the table applies them all.
     """
+    require(df, *keep)
     if mask_pii:
         df = scrub_pii(df)
-    measured = {m.feature: m for m in measure(df)}
+    worked = df.drop(*keep)
+    measured = {m.feature: m for m in measure(worked)}
     gaps = [n for n, m in measured.items() if m.null_count and m.count]
     numbers = [n for n in gaps if is_numeric(type_of(df, n))]
     others = [n for n in gaps if is_scalar(type_of(df, n)) and n not in numbers]
-    names = [n for n in categorical_columns(df) if is_scalar(type_of(df, n))]
+    names = [n for n in categorical_columns(worked) if is_scalar(type_of(df, n))]
     medians, tops, levels = run_together(df.sparkSession, lambda fit: fit(), [
         lambda: _medians(df, {n: measured[n] for n in numbers}, accuracy),
         lambda: {r["feature"]: r["top"] for r in modes(df, others).collect()} if others else {},
@@ -234,7 +246,7 @@ def auto_clean(df: DataFrame, mask_pii: bool = False, max_levels: int = MAX_LEVE
     if numbers:
         measured.update({m.feature: m for m in measure(filled, numbers)})
     logs = {}
-    for n in numeric_columns(filled):
+    for n in (n for n in numeric_columns(filled) if n not in keep):
         skew, low = measured[n].skew, measured[n].min
         if skew is not None and abs(skew) > SKEW_LIMIT:
             logs[n] = numeric.log1p(column(n).cast("double"), F.lit(1.0 - low) if low <= 0 else None)
@@ -242,7 +254,5 @@ def auto_clean(df: DataFrame, mask_pii: bool = False, max_levels: int = MAX_LEVE
 
     pairs = {n: tuple(v) for n, v in levels.items() if v is not None and len(v) == 2}
     rest = [n for n in names if n not in pairs and isinstance(type_of(df, n), T.StringType)]
-    wide = [n for n in rest if levels[n] is None]
-    if wide:
-        raise _too_many(wide, max_levels)
-    return Encoding(pairs, {n: levels[n] for n in rest}).apply(logged)
+    listed = {n: levels[n] for n in rest if levels[n] is not None}
+    return Encoding(pairs, listed, _codes(logged, [n for n in rest if n not in listed])).apply(logged)

@@ -18,12 +18,13 @@ from tabwright.functions.schema import (
     as_list, column, columns, is_numeric, numeric_columns, require, type_of,
 )
 from tabwright.operators.columns import drop_nulls
+from tabwright.operators.encode import auto_clean
+from tabwright.plans.storage import written
 
 # The baseline's settings.
 TREES = 100
 SEED = 42
 TEST_SHARE = 0.2
-MAX_CLASSES = 10_000
 
 
 @dataclass(frozen=True)
@@ -59,13 +60,13 @@ def fit_pca(df: DataFrame, names: Sequence[str] | None = None, hue: str | None =
     names = as_list(names) or numeric_columns(df)
     require(df, *names, *([hue] if hue else []))
     if len(names) < 2:
-        raise ValueError("Need at least 2 numerical columns for PCA.")
+        raise ValueError(f"components need two numeric columns or more, got {len(names)}")
     complete = _complete(df, [*names, *([hue] if hue else [])])
     row = complete.agg(F.count(F.lit(1)).alias("n"), *[
         f(column(n).cast("double")).alias(f"{label}{i}") for i, n in enumerate(names)
         for label, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     if not row["n"]:
-        raise ValueError("Not enough clean data.")
+        raise ValueError("no row has a value in every column")
     means = [row[f"m{i}"] for i in range(len(names))]
     deviations = [row[f"s{i}"] for i in range(len(names))]
     scaled = [(column(n).cast("double") - F.lit(m)) / F.lit(d or 1.0)
@@ -98,10 +99,11 @@ def pca_summary(df: DataFrame, names: Sequence[str] | None = None, hue: str | No
 
 def split_by_key(df: DataFrame, key: str | Sequence[str], test_share: float = TEST_SHARE,
                  seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Training and test rows by a hash of the key: the same rows on every run and layout."""
+    """Training and test rows by the md5 of the key: the same rows on every run and layout."""
     keys = as_list(key)
     require(df, *keys)
-    draw = F.pmod(F.xxhash64(*columns(keys), F.lit(seed)), F.lit(1_000_000))
+    text = F.concat_ws(":", *[F.coalesce(column(k).cast("string"), F.lit("")) for k in keys], F.lit(str(seed)))
+    draw = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint") % 1_000_000
     bound = int(round(test_share * 1_000_000))
     return df.where(draw >= bound), df.where(draw < bound)
 
@@ -109,25 +111,29 @@ def split_by_key(df: DataFrame, key: str | Sequence[str], test_share: float = TE
 def train_baseline(df: DataFrame, target: str, key: str | Sequence[str],
                    kind: str = "classification", trees: int = TREES, max_depth: int = 10,
                    test_share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
-    """Train a random forest on the numeric columns; test rows as (key, label, prediction).
+    """Train a random forest on the cleaned table; test rows as (key, label, prediction).
 
-    Spark trees have a depth limit (at most 30); rows with a null are left out.
+    All columns but target and key are features, imputed and encoded by ``auto_clean``; those of other
+    types than numbers, text and booleans are no features. Only rows without a target are left out.
+    Spark trees have a depth limit (at most 30).
     """
     keys = as_list(key)
     require(df, target, *keys)
     if kind not in ("classification", "regression"):
         raise ValueError(f"unknown kind {kind!r}; use classification or regression")
-    features = [n for n in numeric_columns(df) if n != target and n not in keys]
+    kept = list(dict.fromkeys([target, *keys]))
+    cleaned = written(auto_clean(_complete(df, [target]), keep=kept), "cleaned")
+    features = [n for n in numeric_columns(cleaned) if n not in kept]
     if not features:
-        raise ValueError("no numeric feature column")
-    complete = _complete(df, [target, *features])
-    train, test = split_by_key(complete, keys, test_share, seed)
+        raise ValueError("no feature column")
+    train, test = split_by_key(cleaned, keys, test_share, seed)
+    # a column without any value stays null; it counts as 0 then
     assembler = VectorAssembler(inputCols=[f"f{i}" for i in range(len(features))], outputCol="features")
 
     def assembled(part: DataFrame) -> DataFrame:
         return assembler.transform(part.select(
             *columns(keys), column(target).alias("label_value"),
-            *[column(n).cast("double").alias(f"f{i}") for i, n in enumerate(features)]))
+            *[F.coalesce(column(n).cast("double"), F.lit(0.0)).alias(f"f{i}") for i, n in enumerate(features)]))
 
     settings = dict(numTrees=trees, seed=seed, maxDepth=max_depth, featuresCol="features",
                     predictionCol="predicted")
@@ -139,9 +145,6 @@ def train_baseline(df: DataFrame, target: str, key: str | Sequence[str],
         return model.transform(assembled(test)).select(
             *columns(keys), F.col("label_value").cast("double").alias("label"),
             F.col("predicted").alias("prediction"))
-    classes = complete.select(column(target)).distinct().limit(MAX_CLASSES + 1).count()
-    if classes > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes in {target}; use kind='regression'")
     named = assembled(train).withColumn("label_text", F.col("label_value").cast("string"))
     indexer = StringIndexer(inputCol="label_text", outputCol="label_index",
                             stringOrderType="alphabetAsc").fit(named)

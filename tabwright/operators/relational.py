@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.functions.schema import (
-    as_list, column, columns, is_hashable, present, require, row_hash, type_of,
+    as_list, column, columns, is_hashable, present, require, type_of,
 )
 from tabwright.plans.jobs import aggregate_blocks, run_together
 from tabwright.plans.skew import find_hot_keys
@@ -59,20 +61,22 @@ def join_dataframes(left: DataFrame, right: DataFrame, on: str | Sequence[str],
         # distinct keys combine on the map side and reuse the join's own partitioning
         return left.join(right.select(*columns(keys)).distinct(), keys, f"left_{kind}")
     sides = {"left": [right], "right": [left], "outer": [left, right]}[kind]
-    matchable = [side.select(*columns(keys)).dropna() for side in sides]
-    if all(find_hot_keys(side, keys, hot_rows) is None for side in matchable):
+    if all(find_hot_keys(side.select(*columns(keys)), keys, hot_rows) is None for side in sides):
         return left.join(right, keys, kind)
     # both sides may use one name for a non-key column: join under other names, rename at the end
     names = keys + [n for side in (left, right) for n in side.columns if n not in keys]
     right = right.withColumnsRenamed(
         {n: f"__right_{i}" for i, n in enumerate(right.columns) if n not in keys})
-    result = left.join(right, keys, "inner")
+    # rows without a key match nothing, so they stay out of the shuffles
+    missing = reduce(or_, [column(k).isNull() for k in keys])
+    known_left, known_right = left.where(~missing), right.where(~missing)
+    result = known_left.join(known_right, keys, "inner")
     if kind in ("left", "outer"):
-        result = result.unionByName(
-            join_dataframes(left, right, keys, "anti"), allowMissingColumns=True)
+        for rest in (join_dataframes(known_left, known_right, keys, "anti"), left.where(missing)):
+            result = result.unionByName(rest, allowMissingColumns=True)
     if kind in ("right", "outer"):
-        result = result.unionByName(
-            join_dataframes(right, left, keys, "anti"), allowMissingColumns=True)
+        for rest in (join_dataframes(known_right, known_left, keys, "anti"), right.where(missing)):
+            result = result.unionByName(rest, allowMissingColumns=True)
     return result.toDF(*names)
 
 
@@ -195,11 +199,11 @@ def sort_data(df: DataFrame, by: str | Sequence[str],
               ascending: bool | Sequence[bool] = True, split_ties: bool = True) -> DataFrame:
     """Global sort: ascending puts nulls first, descending last.
 
-    A sort key shared by many rows would land in one range partition; a hash of
-    the row as last key spreads such ties, whose order is free anyway.
+    A sort key shared by many rows would land in one range partition; a random
+    number as last key spreads such ties, equal rows too, and reads no column.
     """
     keys = _sort_columns(df, by, ascending)
-    return df.orderBy(*keys, row_hash(df)) if split_ties else df.orderBy(*keys)
+    return df.orderBy(*keys, F.rand(11)) if split_ties else df.orderBy(*keys)
 
 
 def top_n(df: DataFrame, by: str | Sequence[str], n: int = 15,

@@ -41,7 +41,7 @@ class Fitted:
         require(df, self.name)
         output = output or self.name
         if self.lookup is not None:
-            return _attach_codes(df, self.name, self.lookup, output)
+            return attach_codes(df, self.name, self.lookup, output)
         value = present(df, self.name, self.options.get("nan_as_null", False))
         result = _KINDS[self.kind].apply(value, self.params, self.options)
         return df.withColumn(output, result)
@@ -237,10 +237,9 @@ def label_codes(df: DataFrame, name: str, small: int = BROADCAST_ROWS) -> DataFr
     return written(numbered.select("value", (F.col(POSITION) - 1).alias("code")), "codes")
 
 
-def _attach_codes(df: DataFrame, name: str, lookup: DataFrame, output: str) -> DataFrame:
+def attach_codes(df: DataFrame, name: str, lookup: DataFrame, output: str) -> DataFrame:
+    # Catalyst and adaptive execution know the size in bytes, which a row count says little about
     codes = lookup.select(F.col("value").alias("__value"), F.col("code").alias(_CODE))
-    if codes.count() <= BROADCAST_ROWS:
-        codes = F.broadcast(codes)
     joined = df.join(codes, df[quoted(name)] == codes["__value"], "left")
     kept = [n for n in df.columns if n != output]
     if output in df.columns:

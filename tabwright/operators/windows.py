@@ -40,15 +40,19 @@ def _checked(df: DataFrame, partition_by: Names, order_by: Names, *others: str):
 
 def _numbered(df: DataFrame, keys: list[str], order: list[str], hot: HotKeys,
               weight: Column | None = None) -> DataFrame:
-    # the row hash separates equal order keys, which one task would otherwise take whole
-    return number_rows(df, keys, columns(order) + [row_hash(df)], hot.rows, weight)
+    return number_rows(df, keys, _ordered(df, order), hot.rows, weight)
+
+
+def _ordered(df: DataFrame, order: list[str]) -> list[Column]:
+    """The order of every window here: ties go by the hash of the row, however many rows a key has."""
+    return columns(order) + [row_hash(df)]
 
 
 def add_row_number(df: DataFrame, partition_by: Names, order_by: Names,
                    output: str = "row_number", hot_rows: int | None = None) -> DataFrame:
     """1, 2, 3, ... along ascending order (bigint: a hot key may pass two billion rows)."""
     keys, order = _checked(df, partition_by, order_by)
-    window = Window.partitionBy(*columns(keys)).orderBy(*columns(order))
+    window = Window.partitionBy(*columns(keys)).orderBy(*_ordered(df, order))
 
     def large(rows: DataFrame, hot: HotKeys) -> DataFrame:
         placed = _numbered(rows, keys, order, hot)
@@ -97,7 +101,7 @@ def add_lag_lead(df: DataFrame, partition_by: Names, order_by: Names, target: st
     if kind not in functions:
         raise ValueError(f"unknown function {kind!r}; use lag or lead")
     output = f"{target}_{kind}_{offset}"
-    window = Window.partitionBy(*columns(keys)).orderBy(*columns(order))
+    window = Window.partitionBy(*columns(keys)).orderBy(*_ordered(df, order))
 
     def large(rows: DataFrame, hot: HotKeys) -> DataFrame:
         # written once: both sides of the join must see the same positions
@@ -122,7 +126,7 @@ def add_running_total(df: DataFrame, partition_by: Names, order_by: Names, targe
     """Cumulative sum up to the current row, in ``{target}_cumsum``."""
     keys, order = _checked(df, partition_by, order_by, target)
     output = f"{target}_cumsum"
-    window = (Window.partitionBy(*columns(keys)).orderBy(*columns(order))
+    window = (Window.partitionBy(*columns(keys)).orderBy(*_ordered(df, order))
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
     def plain(rows: DataFrame) -> DataFrame:

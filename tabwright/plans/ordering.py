@@ -17,7 +17,7 @@ from tabwright.functions.schema import column, columns, same_key
 from tabwright.plans.storage import written
 
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 20_000
+BROADCAST_ROWS = 100_000
 
 POSITION = "__position"
 RUNNING = "__running"
@@ -26,6 +26,7 @@ _RANGE = "__range"
 _FIRST = "__first"
 _ROWS = "__rows"
 _SUM = "__sum"
+_SALT = "__salt"
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list[Column], rows: int,
@@ -34,17 +35,21 @@ def number_rows(df: DataFrame, keys: list[str], order: list[Column], rows: int,
 
     ``rows`` is the row count of ``df``. The table is written once after range
     partitioning, so that range numbers stay what they were when read again.
-    The broadcast table has one row per (key, range) pair; ranges are
-    contiguous, so there are at most ``number of keys + number of ranges``:
-    callers pass only hot keys (at most ``MAX_HOT_KEYS``) or no key at all.
+    The table of totals has one row per (key, range) pair; ranges are
+    contiguous, so there are at most ``number of keys + number of ranges``. It
+    is broadcast while that is at most ``BROADCAST_ROWS``; callers pass only
+    hot keys or no key at all. Rows equal in keys and order are spread by a
+    random number, so that many of them don't share a range.
     """
     per_range = ROWS_PER_RANGE if rows_per_range is None else rows_per_range
-    ranges = min(MAX_RANGES, max(2, math.ceil(rows / per_range)))
-    sort_keys = columns(keys) + order
+    ranges = max(2, math.ceil(rows / per_range))
+    sort_keys = columns(keys) + order + [F.col(_SALT)]
     # monotonically_increasing_id is (partition number << 33) + row number in the partition
     sorted_rows = (
-        df.repartitionByRange(ranges, *sort_keys)
+        df.withColumn(_SALT, F.rand(11))
+        .repartitionByRange(ranges, *sort_keys)
         .sortWithinPartitions(*sort_keys)
+        .drop(_SALT)
         .withColumn(_ID, F.monotonically_increasing_id())
     )
     placed = written(sorted_rows, "ranges").withColumn(_RANGE, F.shiftright(_ID, 33))
@@ -63,7 +68,8 @@ def number_rows(df: DataFrame, keys: list[str], order: list[Column], rows: int,
         F.coalesce(F.sum(_ROWS).over(before), F.lit(0)).alias("__rows_before"),
         *([F.sum(_SUM).over(before).alias("__sum_before")] if weight is not None else []),
     )
-    offsets = F.broadcast(offsets)
+    if 2 * ranges <= BROADCAST_ROWS:  # a hot key fills most of a range at least
+        offsets = F.broadcast(offsets)
     joined = placed.join(
         offsets,
         same_key(placed, offsets, list(aliases.items()))

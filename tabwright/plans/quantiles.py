@@ -32,7 +32,6 @@ from tabwright.plans.skew import find_hot_keys
 DIRECT_ROWS = 100_000
 CELLS = 4096
 HOT_GROUP_ROWS = 250_000
-MAX_HOT_GROUPS = 100_000
 _LARGEST = sys.float_info.max
 
 
@@ -170,7 +169,7 @@ def grouped_quantiles(df: DataFrame, keys: list[str], name: str, probs: Sequence
     """One row per group with exact quantiles of ``name``, in columns ``aliases``."""
     filled = df.where(column(name).isNotNull()).select(
         *columns(keys), column(name).cast("double").alias("__value"))
-    hot = find_hot_keys(filled, keys, hot_rows, MAX_HOT_GROUPS)
+    hot = find_hot_keys(filled, keys, hot_rows)
     if hot is None:
         return _direct_groups(filled, keys, probs, aliases)
     large = _ranked_groups(hot.rows_of(filled), keys, hot, probs, aliases)
@@ -189,7 +188,7 @@ def _ranked_groups(df, keys, hot, probs, aliases) -> DataFrame:
     counted = df.groupBy(*columns(keys), F.col("__value")).agg(F.count(F.lit(1)).alias("__n"))
     ranked = number_rows(counted, keys, [F.col("__value")], hot.rows, weight=F.col("__n"))
     renamed = {key: f"__hot_{i}" for i, key in enumerate(keys)}
-    totals = F.broadcast(hot.table.withColumnsRenamed(renamed).withColumnRenamed("__rows", "__all"))
+    totals = hot.hinted(hot.table.withColumnsRenamed(renamed).withColumnRenamed("__rows", "__all"))
     joined = ranked.join(totals, same_key(ranked, totals, list(renamed.items())))
 
     picks, results = [], []

@@ -8,24 +8,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions.schema import column, columns, same_key
+from tabwright.plans import storage
 
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 20_000
 _COUNT = "__rows"
 
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Keys above the threshold, with their row counts; at most ``MAX_HOT_KEYS``."""
+    """A written table of the keys above the threshold, with their row counts."""
 
     keys: list[str]
     table: DataFrame
     rows: int
     covers_all: bool
+    small: bool
+
+    def hinted(self, table: DataFrame) -> DataFrame:
+        """A table with a row for each hot key, marked for a broadcast where its size allows it."""
+        return F.broadcast(table) if self.small else table
 
     def _joined(self, df: DataFrame, how: str) -> DataFrame:
         aliases = {key: f"__hot_{i}" for i, key in enumerate(self.keys)}
-        marks = F.broadcast(self.table.select([column(k).alias(a) for k, a in aliases.items()]))
+        marks = self.hinted(self.table.select([column(k).alias(a) for k, a in aliases.items()]))
         return df.join(marks, same_key(df, marks, list(aliases.items())), how)
 
     def rows_of(self, df: DataFrame) -> DataFrame:
@@ -35,23 +40,17 @@ class HotKeys:
         return self._joined(df, "left_anti")
 
 
-def find_hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None,
-                  max_keys: int = MAX_HOT_KEYS) -> HotKeys | None:
-    """Keys with more than ``hot_rows`` rows (and more than 1/max_keys of the table), or None.
+def find_hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> HotKeys | None:
+    """Keys with more than ``hot_rows`` rows, or None.
 
-    Counting combines on the map side, so a hot key costs its final task one
-    row per input task. Each reported key holds more than 1/max_keys of all
-    rows, which bounds the list whatever the table's size.
+    Counting combines on the map side, so a hot key costs its final task one row per input task. The
+    threshold doesn't grow with the table; the keys are kept in a written table, however many there are.
     """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     sizes = df.groupBy(*columns(keys)).agg(F.count(F.lit(1)).alias(_COUNT))
-    total, largest = sizes.agg(F.sum(_COUNT), F.max(_COUNT)).first()
-    if largest is None or largest <= hot_rows:
-        return None
-    threshold = max(hot_rows, total // max_keys)
-    found = sizes.where(F.col(_COUNT) > threshold).collect()
-    if not found:
+    table, path = storage.written_at(sizes.where(F.col(_COUNT) > hot_rows), "hot-keys")
+    number, rows = table.agg(F.count(F.lit(1)), F.sum(_COUNT)).first()
+    if not number:
         return None
-    table = df.sparkSession.createDataFrame(found, sizes.schema)
-    rows = sum(row[_COUNT] for row in found)
-    return HotKeys(list(keys), table, rows, rows == total)
+    small = storage.may_broadcast(df.sparkSession, path, number)
+    return HotKeys(list(keys), table, rows, rows == df.count(), small)

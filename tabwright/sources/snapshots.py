@@ -1,14 +1,17 @@
 """Versioned tables with their profile.
 
-Each version has its own folder, and a version counts only once its row in the
-``versions`` table is written, after data and profile. Nothing that may be in
-use is overwritten, so a table derived from a version can be stored next to it.
+Each writer fills folders of its own, then claims the next free number by
+creating a file that must not exist yet, and only then adds its row to the
+``versions`` table. So writers at the same time get different versions, and
+nothing is overwritten: a table derived from a version can be stored next to it.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +19,10 @@ from pyspark.sql import functions as F
 from tabwright.operators.encode import scrub_pii
 from tabwright.operators.profile import AuditRules, STANDARD, profile
 from tabwright.operators.transforms import transform
+from tabwright.plans.storage import file_system as _file_system
 
 _VERSION_SCHEMA = ("version bigint, context string, row_count bigint, column_count bigint, "
-                   "numeric array<string>, categorical array<string>")
+                   "numeric array<string>, categorical array<string>, folder string")
 
 
 @dataclass(frozen=True)
@@ -44,18 +48,40 @@ def latest_version(spark: SparkSession, path: str) -> int | None:
     return None if table is None else table.agg(F.max("version")).first()[0]
 
 
+def _claimed(spark: SparkSession, path: str) -> bool:
+    """Create an empty file unless it is there; False if it was."""
+    files, target = _file_system(spark, path)
+    try:
+        if files.getUri().getScheme() == "file":
+            place = spark._jvm.java.nio.file.Paths.get(files.makeQualified(target).toUri())
+            spark._jvm.java.nio.file.Files.createFile(place, spark.sparkContext._gateway.new_array(
+                spark._jvm.java.nio.file.attribute.FileAttribute, 0))
+        else:
+            files.create(target, False).close()
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
 def save_snapshot(df: DataFrame, path: str, context: str = "", mask_pii: bool = False,
                   rules: AuditRules = STANDARD) -> int:
     """Store the table and its profile as the next version; returns its number."""
     spark = df.sparkSession
-    version = (latest_version(spark, path) or 0) + 1
+    folder = uuid.uuid4().hex
     table = scrub_pii(df) if mask_pii else df
-    table.write.mode("overwrite").parquet(f"{path}/data/v={version}")
-    stored = spark.read.schema(table.schema).parquet(f"{path}/data/v={version}")
+    table.write.parquet(f"{path}/data/{folder}")
+    stored = spark.read.schema(table.schema).parquet(f"{path}/data/{folder}")
     found = profile(stored, rules)
-    found.stats.write.mode("overwrite").parquet(f"{path}/stats/v={version}")
-    found.audit.write.mode("overwrite").parquet(f"{path}/audit/v={version}")
-    row = [(version, context, found.rows, found.columns, found.numeric, found.categorical)]
+    found.stats.write.parquet(f"{path}/stats/{folder}")
+    found.audit.write.parquet(f"{path}/audit/{folder}")
+    files, claims = _file_system(spark, f"{path}/claims")
+    files.mkdirs(claims)
+    version = (latest_version(spark, path) or 0) + 1
+    while not _claimed(spark, f"{path}/claims/{version}"):
+        version += 1
+    row = [(version, context, found.rows, found.columns, found.numeric, found.categorical, folder)]
     spark.createDataFrame(row, _VERSION_SCHEMA).write.mode("append").parquet(f"{path}/versions")
     return version
 
@@ -65,11 +91,12 @@ def load_snapshot(spark: SparkSession, path: str, version: int | None = None) ->
     table = _versions(spark, path)
     if table is None:
         raise ValueError(f"no snapshot at {path}")
-    version = version or table.agg(F.max("version")).first()[0]
+    if version is None:
+        version = table.agg(F.max("version")).first()[0]
     row = table.where(F.col("version") == version).first()
     if row is None:
         raise ValueError(f"no version {version} at {path}")
-    data, stats, audit = (spark.read.parquet(f"{path}/{part}/v={version}")
+    data, stats, audit = (spark.read.parquet(f"{path}/{part}/{row['folder']}")
                           for part in ("data", "stats", "audit"))
     return Snapshot(version, data, stats, audit, row.asDict())
 
