@@ -84,7 +84,8 @@ class FMIndex:
         self.below = np.concatenate([[0], np.cumsum(np.bincount(joined, minlength=len(alphabet)))])
         self.leaf = self.matrix.descend(alphabet, np.zeros(len(alphabet), np.int64))
         owner = np.repeat(np.arange(len(counts)), counts + 1)
-        table = [order[owner][suffixes]]
+        self.orders, place = np.unique(order, return_inverse=True)
+        table = [place.astype(np.int32)[owner][suffixes]]
         while 2 << len(table) - 1 <= size:
             half = 1 << len(table) - 1
             table.append(np.minimum(table[-1][:-half], table[-1][half:]))
@@ -99,12 +100,12 @@ class FMIndex:
     def least_order(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The least order of the texts in each non-empty range."""
         width = (np.frexp((high - low).astype(float))[1] - 1).astype(np.int64)
-        found = np.empty(len(low), np.int64)
+        found = np.empty(len(low), np.int32)
         for level in np.unique(width):
             here = width == level
             table = self.least[level]
             found[here] = np.minimum(table[low[here]], table[high[here] - (1 << int(level))])
-        return found
+        return self.orders[found]
 
 
 def earlier_windows(codes: np.ndarray, begins: np.ndarray, order: np.ndarray) -> list[tuple[int, int, int]]:

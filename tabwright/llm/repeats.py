@@ -31,7 +31,7 @@ from tabwright.llm.rows import arrow_schema, ddl, map_texts, text_key
 from tabwright.plans import storage
 
 HOT = 64
-SHARD_CODES = 1 << 19
+SHARD_CODES = 1 << 18
 BROADCAST_ROWS = 1_000_000
 LAST = (1 << 63) - 1
 
