@@ -36,7 +36,7 @@ class Snapshot:
 
 def _versions(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.schema(_VERSION_SCHEMA).parquet(f"{path}/versions")
+        return spark.read.schema(_VERSION_SCHEMA).parquet(f"{path}/versions").drop("claim")
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -82,7 +82,8 @@ def save_snapshot(df: DataFrame, path: str, context: str = "", mask_pii: bool =
     while not _claimed(spark, f"{path}/claims/{version}"):
         version += 1
     row = [(version, context, found.rows, found.columns, found.numeric, found.categorical, folder)]
-    spark.createDataFrame(row, _VERSION_SCHEMA).write.mode("append").parquet(f"{path}/versions")
+    # a folder for each version: writers of one folder would clear each other's unfinished files
+    spark.createDataFrame(row, _VERSION_SCHEMA).coalesce(1).write.parquet(f"{path}/versions/claim={version}")
     return version
 
 
