@@ -1,5 +1,8 @@
 """Principal components, random forests, measures of a prediction."""
 
+from functools import reduce
+from operator import add, and_
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -37,9 +40,17 @@ def pca_summary(t):
     return rounded(tw.pca_summary(t.lineitem, ["l_quantity", "l_extendedprice"]), explained=6)
 
 
-@QUERIES.add("m1_pca_many")
+@QUERIES.add("m1_pca_many", """
+    SELECT count(*) AS n, 4.0::DOUBLE AS total_variance, TRUE AS uncorrelated, TRUE AS falling FROM lineitem
+    WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL AND l_discount IS NOT NULL AND l_tax IS NOT NULL""")
 def pca_many(t):
-    return tw.pca(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    """All four components of four columns: they keep the whole variance, uncorrelated and in falling order."""
+    scores = tw.pca(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], k=4)
+    names = [f"PCA{i}" for i in range(1, 5)]
+    pairs = [F.abs(F.corr(a, b)) < 1e-6 for i, a in enumerate(names) for b in names[i + 1:]]
+    falling = [F.var_pop(a) >= F.var_pop(b) - 1e-9 for a, b in zip(names, names[1:])]
+    return scores.agg(F.count(F.lit(1)).alias("n"), F.round(reduce(add, [F.var_pop(c) for c in names]), 6).alias("total_variance"),
+                      reduce(and_, pairs).alias("uncorrelated"), reduce(and_, falling).alias("falling"))
 
 
 _TEST = """('0x' || substr(md5(CAST({} AS VARCHAR) || ':42'), 1, 8))::UBIGINT % 1000000 < 200000"""

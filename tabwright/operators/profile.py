@@ -21,10 +21,9 @@ from tabwright.functions.schema import (
     present, require, scalar_columns, type_of,
 )
 from tabwright.operators.relational import modes
-from tabwright.plans.jobs import aggregate_blocks
+from tabwright.plans.jobs import run_together
 from tabwright.plans.quantiles import exact_quantiles
 
-COLUMNS_PER_BLOCK = 5
 SKEW_LIMIT = 1.5
 ROUNDING = 1e-13
 QUARTILES = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
@@ -97,48 +96,62 @@ def measure(df: DataFrame, names: Sequence[str] | None = None, nan_as_null: bool
     """One ``Measured`` per column, in the order of the names."""
     names = as_list(names) or df.columns
     require(df, *names)
-    # min and max of text rule out hash aggregation, so text columns keep to blocks of their own
-    text = [n for n in names if isinstance(type_of(df, n), T.StringType)]
-    others = [n for n in names if n not in text]
-    blocks = [some[i:i + COLUMNS_PER_BLOCK] for some in (others, text)
-              for i in range(0, len(some), COLUMNS_PER_BLOCK)]
-    rows = aggregate_blocks(df, [_measures(df, block, nan_as_null) for block in blocks])
-    found = {name: _measured(df, name, i, row, adjusted_skew)
-             for block, row in zip(blocks, rows) for i, name in enumerate(block)}
-    return [found[n] for n in names]
-
-
-def _measures(df: DataFrame, names: Sequence[str], nan_as_null: bool) -> list[Column]:
-    exprs = [F.count(F.lit(1)).alias("rows")]
+    numbers = [n for n in names if is_numeric(type_of(df, n))]
+    others = [n for n in names if n not in numbers]
+    parts = run_together(df.sparkSession, lambda work: work(), [
+        *([lambda: _number_measures(df, numbers, nan_as_null)] if numbers else []),
+        *([lambda: _other_measures(df, others)] if others else [])])
+    got = {name: row for part in parts for name, row in part.items()}
+    return [_measured(df, n, got[n], adjusted_skew) for n in names]
+
+
+def _number_measures(df: DataFrame, names: Sequence[str], nan_as_null: bool) -> dict[str, dict]:
+    """The measures of all numeric columns from one scan: cells turned into rows, one grouped aggregate.
+
+    Its expressions are the same few however many columns there are, and combine in the map tasks.
+    """
+    cells = []
     for i, name in enumerate(names):
         dtype, value = type_of(df, name), present(df, name, nan_as_null)
+        nan = F.isnan(column(name)) if is_floating(dtype) else F.lit(False)
+        whole = value.cast("bigint") if isinstance(dtype, T.IntegralType) else F.lit(None).cast("bigint")
+        cells.append(F.struct(F.lit(i).alias("i"), value.cast("double").alias("x"), whole.alias("w"), nan.alias("nan")))
+    x = F.col("x")
+    found = df.select(F.inline(F.array(*cells))).groupBy("i").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(x).alias("n"), F.min(x).alias("low"), F.max(x).alias("high"),
+        F.coalesce(F.min("w") == F.max("w"), F.min(x) == F.max(x)).alias("same"),
+        F.count_if("nan").alias("nan"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+        F.skewness(x).alias("skew")).collect()
+    got = {names[r["i"]]: r.asDict() for r in found}
+    return {n: got.get(n, {"rows": 0, "n": 0, "same": None}) for n in names}
+
+
+def _other_measures(df: DataFrame, names: Sequence[str]) -> dict[str, dict]:
+    """The measures of the other columns from one scan."""
+    exprs = [F.count(F.lit(1)).alias("rows")]
+    for i, name in enumerate(names):
+        value = column(name)
         exprs.append(F.count(value).alias(f"n{i}"))
-        if is_scalar(dtype):
+        if is_scalar(type_of(df, name)):
             low, high = F.min(value), F.max(value)
-            shown = "double" if is_numeric(dtype) else "string"
-            exprs += [low.cast(shown).alias(f"low{i}"), high.cast(shown).alias(f"high{i}"),
+            exprs += [low.cast("string").alias(f"low{i}"), high.cast("string").alias(f"high{i}"),
                       (low == high).alias(f"same{i}")]
-        if is_floating(dtype):
-            exprs.append(F.count_if(F.isnan(column(name))).alias(f"nan{i}"))
-        if is_numeric(dtype):
-            x = value.cast("double")
-            exprs += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
-                      F.skewness(x).alias(f"skew{i}")]
-    return exprs
-
-
-def _measured(df: DataFrame, name: str, i: int, row, adjusted_skew: bool) -> Measured:
-    dtype, got = type_of(df, name), row.asDict()
-    numeric, n, rows = is_numeric(dtype), got[f"n{i}"], got["rows"]
-    low, high = got.get(f"low{i}"), got.get(f"high{i}")
-    skew = got.get(f"skew{i}")
+    row = df.agg(*exprs).first().asDict()
+    return {name: {"rows": row["rows"], "n": row[f"n{i}"], "low": row.get(f"low{i}"),
+                   "high": row.get(f"high{i}"), "same": row.get(f"same{i}")} for i, name in enumerate(names)}
+
+
+def _measured(df: DataFrame, name: str, got: dict, adjusted_skew: bool) -> Measured:
+    dtype = type_of(df, name)
+    numeric, n, rows = is_numeric(dtype), got["n"], got["rows"]
+    low, high, skew = got.get("low"), got.get("high"), got.get("skew")
     if skew is not None and adjusted_skew:
         skew = skew * math.sqrt(n * (n - 1)) / (n - 2) if n > 2 else None
     # at most one distinct value, with null as one of them; only scalars are compared
-    constant = is_scalar(dtype) and (n == 0 or (n == rows and bool(got[f"same{i}"])))
+    constant = is_scalar(dtype) and (n == 0 or (n == rows and bool(got["same"])))
     bounds = (low, high, None, None) if numeric else (None, None, low, high)
-    return Measured(name, numeric, rows, n, rows - n, got.get(f"nan{i}", 0), got.get(f"mean{i}"),
-                    got.get(f"std{i}"), skew, *bounds, constant)
+    return Measured(name, numeric, rows, n, rows - n, got.get("nan", 0), got.get("mean"),
+                    got.get("std"), skew, *bounds, constant)
 
 
 def column_metrics(df: DataFrame, names: Sequence[str] | None = None, nan_as_null: bool = False,
@@ -182,14 +195,10 @@ def _quartiles(df: DataFrame, found: Sequence[Measured], accuracy: int | None,
         known = {m.feature: (m.count, m.min, m.max) for m in numbers}
         quartiles = exact_quantiles(df, list(known), probs, known, nan_as_null)
     else:
-        blocks = [numbers[i:i + COLUMNS_PER_BLOCK]
-                  for i in range(0, len(numbers), COLUMNS_PER_BLOCK)]
-        rows = aggregate_blocks(df, [
-            [F.percentile_approx(present(df, m.feature, nan_as_null).cast("double"), probs,
-                                 accuracy).alias(str(i)) for i, m in enumerate(block)]
-            for block in blocks])
-        quartiles = {m.feature: row[i] or [None] * len(probs)
-                     for block, row in zip(blocks, rows) for i, m in enumerate(block)}
+        row = df.agg(F.count(F.lit(1)), *[
+            F.percentile_approx(present(df, m.feature, nan_as_null).cast("double"), probs, accuracy).alias(str(i))
+            for i, m in enumerate(numbers)]).first()
+        quartiles = {m.feature: row[str(i)] or [None] * len(probs) for i, m in enumerate(numbers)}
     empty: list[float | None] = [None] * len(probs)
     return {m.feature: quartiles.get(m.feature, empty) for m in found}
 
@@ -350,13 +359,8 @@ def correlation_matrix(df: DataFrame, names: Sequence[str] | None = None,
         c for i, x in enumerate(raw) for c in (
             F.coalesce(x - F.lit(fit[f"mean{i}"]), F.lit(0.0)).alias(f"u{i}"),
             x.isNotNull().cast("double").alias(f"m{i}"))])
-    blocks = [range(k, min(k + COLUMNS_PER_BLOCK, len(names)))
-              for k in range(0, len(names), COLUMNS_PER_BLOCK)]
-    jobs = [_products([(i, j) for i in first for j in second if i <= j and {i, j} <= varying], partial)
-            for k, first in enumerate(blocks) for second in blocks[k:]]
-    sums: dict[str, float] = {}
-    for row in aggregate_blocks(centred, [job for job in jobs if job]):
-        sums.update(row.asDict())
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names)) if {i, j} <= varying]
+    sums = _sums_of_products(centred, pairs, partial)
     rows = []
     for i in range(len(names)):
         for j in range(i, len(names)):
@@ -376,15 +380,20 @@ def _keys(i: int, j: int, partial: set[int]) -> dict[str, tuple[str, ...]]:
             "y": (f"u{j}", *of_j), "yy": (f"u{j}", f"u{j}", *of_j)}
 
 
-def _products(pairs: Sequence[tuple[int, int]], partial: set[int]) -> list[Column]:
-    wanted = {key for i, j in pairs for key in _keys(i, j, partial).values() if key}
-    exprs = []
-    for key in sorted(wanted):
+def _sums_of_products(df: DataFrame, pairs: Sequence[tuple[int, int]], partial: set[int]) -> dict[str, float]:
+    """All sums from one scan: the products of a row become rows, which the map tasks add up by number."""
+    wanted = sorted({key for i, j in pairs for key in _keys(i, j, partial).values() if key})
+    if not wanted:
+        return {}
+    products = []
+    for key in wanted:
         product = F.col(key[0])
         for factor in key[1:]:
             product = product * F.col(factor)
-        exprs.append(F.sum(product).alias("*".join(key)))
-    return exprs
+        products.append(product)
+    found = df.select(F.posexplode(F.array(*products)).alias("i", "p")).groupBy("i").agg(F.sum("p").alias("s")).collect()
+    sums = {r["i"]: r["s"] for r in found}
+    return {"*".join(key): sums.get(i) for i, key in enumerate(wanted)}
 
 
 def _pearson(i: int, j: int, sums: dict[str, float], partial: set[int], rows: int) -> float | None:

@@ -2,9 +2,11 @@
 
 The built-in ``percentile`` keeps every distinct value in one buffer. Instead:
 
-* whole columns: values are counted in equal-width cells, the cells that hold
-  the wanted ranks are counted again more finely, and so on until each is down
-  to one value; each round is one grouped count of the column, usually two;
+* whole columns, all together: one aggregate of sketches puts every wanted rank
+  between two values, one grouped aggregate counts the rows around them, which
+  leaves a few ten-thousandths of the rows, and so on; what is left of all
+  columns is ranked in one last job. The number of rounds follows from the
+  number of rows alone, not from the values;
 * groups: the built-in where all groups are small; otherwise values are counted
   per group, ordered across many tasks, and the wanted ranks are read off the
   running totals.
@@ -15,45 +17,42 @@ Quantiles interpolate linearly between the two neighbouring values.
 from __future__ import annotations
 
 import math
-import sys
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.functions.schema import column, columns, present, same_key
-from tabwright.plans.jobs import run_together
 from tabwright.plans.ordering import RUNNING, number_rows
 from tabwright.plans.skew import find_hot_keys
 
 DIRECT_ROWS = 100_000
-CELLS = 4096
+ACCURACY = 10_000
 HOT_GROUP_ROWS = 250_000
-_LARGEST = sys.float_info.max
 
 
 @dataclass
-class _Target:
-    """One wanted position and the closed value range [low, high] known to hold its value."""
+class _Range:
+    """A closed range of values of a column, the rows below and inside it, and the positions wanted in it."""
 
     name: str
-    position: int
     low: float
     high: float
     below: int
     inside: int
+    positions: list[int]
 
     @property
-    def place(self) -> int:
-        """The position among the values inside the range."""
-        return self.position - self.below
-
-    @property
-    def found(self) -> bool:
-        return self.low == self.high or math.isnan(self.low)
+    def clusters(self) -> list[tuple[int, int]]:
+        """First and last of the positions that are neighbours, counted from the start of the range."""
+        found: list[list[int]] = []
+        for position in sorted(self.positions):
+            if found and position <= found[-1][1] + 1:
+                found[-1][1] = position
+            else:
+                found.append([position, position])
+        return [(first - self.below, last - self.below) for first, last in found]
 
 
 def exact_quantiles(df: DataFrame, names: Sequence[str], probs: Sequence[float],
@@ -71,17 +70,22 @@ def exact_quantiles(df: DataFrame, names: Sequence[str], probs: Sequence[float],
     if known is None:
         known = counts_and_bounds(df, values)
     ranks = {(n, p): p * (known[n][0] - 1) for n in names if known[n][0] for p in probs}
-    positions = {(n, end(rank)) for (n, _), rank in ranks.items() for end in (math.floor, math.ceil)}
-    targets = [_Target(n, position, known[n][1], known[n][2], 0, known[n][0])
-               for n, position in sorted(positions)]
-    by_name = {n: [t for t in targets if t.name == n] for n in names}
-
-    def search(name: str) -> None:
-        while waiting := [t for t in by_name[name] if not t.found]:
-            _narrow(df.select(values[name].alias("value")), waiting, direct_rows)
-
-    run_together(df.sparkSession, search, names)
-    found = {(t.name, t.position): t.low for t in targets}
+    positions: dict[str, set[int]] = {}
+    for (n, _), rank in ranks.items():
+        positions.setdefault(n, set()).update((math.floor(rank), math.ceil(rank)))
+    waiting = [_Range(n, float(known[n][1]), float(known[n][2]), 0, known[n][0], sorted(wanted))
+               for n, wanted in positions.items()]
+    found: dict[tuple[str, int], float] = {}
+    while waiting:
+        for r in waiting:
+            if r.low == r.high or math.isnan(r.low):
+                found.update({(r.name, p): r.low for p in r.positions})
+        open_ranges = [r for r in waiting if not (r.low == r.high or math.isnan(r.low))]
+        small = [r for r in open_ranges if r.inside <= direct_rows]
+        if small:
+            found.update(_looked_up(df, values, small))
+        large = [r for r in open_ranges if r.inside > direct_rows]
+        waiting = _narrowed(df, values, large, found) if large else []
 
     def quantile(name: str, prob: float) -> float | None:
         if (name, prob) not in ranks:
@@ -105,63 +109,72 @@ def _within(value: Column, low: float | Column, high: float | Column) -> Column:
     return (value >= low) & (value <= high)
 
 
-def _cell_scale(low: float, high: float) -> tuple[float, float]:
-    """Start and factor that take a range to 0 ... CELLS; halves, as its width may overflow."""
-    low = min(max(low, -_LARGEST), _LARGEST)
-    high = _LARGEST if math.isnan(high) else min(max(high, -_LARGEST), _LARGEST)
-    width = high / 2 - low / 2
-    return low / 2, min(CELLS / width, _LARGEST) if width > 0 else 1.0
-
+def _members(df: DataFrame, values: Mapping[str, Column], ranges: list[_Range]) -> DataFrame:
+    """(range, value) for each value in one of the ranges, which don't overlap within a column."""
+    cells = [F.struct(F.lit(i).alias("range"), F.when(
+        _within(values[r.name], r.low, r.high), values[r.name]).alias("value")) for i, r in enumerate(ranges)]
+    return df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull())
 
-def _cell(value: Column, start: Column, factor: Column) -> Column:
-    """Equal-width cell of a value; cells keep the values' order, infinities and NaN included."""
-    place = F.greatest((value * 0.5 - start) * factor, F.lit(-1.0))
-    place = F.least(place, F.when(value < math.inf, CELLS - 1.0).otherwise(float(CELLS)))
-    return F.when(F.isnan(value), CELLS + 1).otherwise(F.floor(place)).cast("double")
 
+def _per_range(entries: Sequence) -> Column:
+    """The entry of the row's range, each a number or a list of numbers."""
+    parts = [F.array(*[F.lit(x) for x in e]) if isinstance(e, list) else F.lit(e) for e in entries]
+    return F.get(F.array(*parts), F.col("range"))
 
-def _narrow(df: DataFrame, targets: list[_Target], direct_rows: int) -> None:
-    """Shrink every range of one column to the cell that holds the position, in one job.
 
-    In a range with few rows each value is a cell of its own, which ends the search there.
-    """
-    ranges: dict[tuple[float, float], list[_Target]] = {}
-    for t in targets:
-        ranges.setdefault((t.low, t.high), []).append(t)
-    value = F.col("value")
-
-    def per_range(entries: Sequence) -> Column:
-        return F.get(F.array(*[e if isinstance(e, Column) else F.lit(e) for e in entries]),
-                     F.col("range"))
-
-    # ranges are cells of earlier rounds, so no two of them overlap
-    number = reduce(lambda found, entry: found.when(_within(value, *entry[1]), entry[0]),
-                    enumerate(ranges), F.when(value.isNull(), None))
-    rows = df.where(reduce(or_, [_within(value, *ends) for ends in ranges])).select(
-        number.cast("int").alias("range"), "value")
-    few = [same[0].inside <= direct_rows for same in ranges.values()]
-    scales = [_cell_scale(*ends) for ends in ranges]
-    if len(ranges) == 1:
-        cell = value if few[0] else _cell(value, *[F.lit(part) for part in scales[0]])
-    else:
-        cell = F.when(per_range(few), value).otherwise(
-            _cell(value, *[per_range(part) for part in zip(*scales)]))
-    cells = rows.groupBy("range", cell.alias("cell")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-    # for each range at most CELLS + 2 rows, or direct_rows
-    upto = F.sum("n").over(Window.partitionBy("range").orderBy("cell"))
-    places = per_range([F.array(*[F.lit(t.place) for t in same]) for same in ranges.values()])
+def _looked_up(df, values, ranges: list[_Range]) -> dict[tuple[str, int], float]:
+    """The values at the positions of ranges of at most ``direct_rows`` rows, in one job."""
+    cells = _members(df, values, ranges).groupBy("range", "value").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("range").orderBy("value"))
+    places = _per_range([[p - r.below for p in r.positions] for r in ranges])
     hits = cells.withColumn("upto", upto).where(F.exists(
         places, lambda p: (p < F.col("upto")) & (p >= F.col("upto") - F.col("n")))).collect()
-    for number, same in enumerate(ranges.values()):
-        for t in same:
-            hit = next(r for r in hits if r["range"] == number
-                       and r["upto"] - r["n"] <= t.place < r["upto"])
-            if hit["n"] == t.inside and hit["low"] != hit["high"]:
-                raise ArithmeticError(f"the values of {t.name} between {t.low} and {t.high} "
-                                      "are too close to separate")
-            t.below += hit["upto"] - hit["n"]
-            t.low, t.high, t.inside = hit["low"], hit["high"], hit["n"]
+    return {(ranges[h["range"]].name, p): h["value"] for h in hits for p in ranges[h["range"]].positions
+            if h["upto"] - h["n"] <= p - ranges[h["range"]].below < h["upto"]}
+
+
+def _narrowed(df, values, ranges: list[_Range], found: dict[tuple[str, int], float]) -> list[_Range]:
+    """Smaller ranges for the positions of large ones, in two jobs; positions settled by them go to ``found``."""
+    slack = 2 / ACCURACY
+    sketches = []
+    for i, r in enumerate(ranges):
+        shares = [share for first, last in r.clusters for share in (
+            max(0.0, first / r.inside - slack), min(1.0, (last + 1) / r.inside + slack))]
+        value = F.when(_within(values[r.name], r.low, r.high), values[r.name])
+        sketches.append(F.percentile_approx(value, F.array(*[F.lit(s) for s in shares]), ACCURACY).alias(str(i)))
+    row = df.agg(*sketches).first()
+    ends = [list(row[i]) for i in range(len(ranges))]
+    widest = max(len(e) for e in ends)
+    x, exprs = F.col("value"), []
+    for k in range(widest):  # ranges with fewer ends repeat their last one
+        end = _per_range([e[min(k, len(e) - 1)] for e in ends])
+        exprs += [F.count_if(x < end).alias(f"less{k}"), F.count_if(x <= end).alias(f"upto{k}"),
+                  F.max(F.when(x < end, x)).alias(f"before{k}"), F.min(F.when(x > end, x)).alias(f"after{k}")]
+    rows = {c["range"]: c for c in _members(df, values, ranges).groupBy("range").agg(*exprs).collect()}
+    smaller = []
+    for i, r in enumerate(ranges):
+        c = rows[i]
+        # the ends in order cut the range into stretches: before, at and between them, and after
+        cuts = sorted({(c[f"less{k}"], c[f"upto{k}"], ends[i][k], c[f"before{k}"], c[f"after{k}"])
+                       for k in range(len(ends[i]))}, key=lambda cut: cut[:2])
+        start, low = 0, r.low
+        stretches: dict[tuple[int, int], _Range] = {}
+        for less, upto, value, before, after in cuts:
+            if less > start:
+                stretches[start, less] = _Range(r.name, low, before, r.below + start, less - start, [])
+            stretches[less, upto] = _Range(r.name, value, value, r.below + less, upto - less, [])
+            start, low = upto, after
+        if r.inside > start:
+            stretches[start, r.inside] = _Range(r.name, low, r.high, r.below + start, r.inside - start, [])
+        for position in r.positions:
+            place = position - r.below
+            part = next(part for (a, b), part in stretches.items() if a <= place < b)
+            if part.low == part.high or math.isnan(part.low):
+                found[r.name, position] = part.low
+            else:
+                part.positions.append(position)
+        smaller += [part for part in stretches.values() if part.positions]
+    return smaller
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], name: str, probs: Sequence[float],

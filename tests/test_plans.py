@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tabwright.operators import relational, transforms, windows
+from tabwright.operators import profile, relational, transforms, windows
 from tabwright.plans.ordering import POSITION, RUNNING, number_rows
 from tabwright.plans.quantiles import exact_quantiles, grouped_quantiles
 from tabwright.plans.skew import find_hot_keys
@@ -198,3 +198,30 @@ def test_first_row_per_key_is_limited_before_the_shuffle(spark):
 def test_top_n_does_not_sort_the_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     assert "TakeOrderedAndProject" in plan_of(relational.top_n(df, "o_totalprice"))
+
+
+def test_quantile_rounds_follow_from_the_number_of_rows(spark, monkeypatch):
+    from tabwright.plans import quantiles
+
+    rounds = []
+    narrowed = quantiles._narrowed
+    monkeypatch.setattr(quantiles, "_narrowed", lambda *a: rounds.append(1) or narrowed(*a))
+    values = np.exp(np.linspace(-300, 300, 200_000))
+    df = spark.createDataFrame([(float(v), -float(v)) for v in values], "x double, y double").repartition(4)
+    found = exact_quantiles(df, ["x", "y"], [0.25, 0.5, 0.75], direct_rows=100)
+    assert found["x"] == pytest.approx(np.quantile(values, [0.25, 0.5, 0.75]).tolist(), rel=1e-12)
+    assert found["y"] == pytest.approx(np.quantile(-values, [0.25, 0.5, 0.75]).tolist(), rel=1e-12)
+    assert len(rounds) <= 2
+
+
+def test_wide_tables_are_measured_in_two_scans(spark):
+    wide = spark.range(50).select("id", *[(F.col("id") * i).alias(f"n{i}") for i in range(60)], F.lit("a").alias("s"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("measure", "")
+    profile.measure(wide)
+    jobs = tracker.getJobIdsForGroup("measure")
+    spark.sparkContext.setJobGroup("correlate", "")
+    profile.correlation_matrix(wide.drop("s"))
+    more = tracker.getJobIdsForGroup("correlate")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 6 and len(more) <= 6
