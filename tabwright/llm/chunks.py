@@ -1,25 +1,31 @@
-"""Encoding whole texts with the tokenizers library, each different chunk of a batch once.
+"""Encoding whole texts with the tokenizers library, each different chunk about once.
 
 A chunk is white space and the run after it. Where a tokenizer never joins characters across the start of
-such a chunk, the ids of a text are those of its chunks one after the other, and a batch has far fewer
+such a chunk, the ids of a text are those of its chunks one after the other, and there are far fewer
 different chunks than chunks.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-from tabwright.llm.arrays import ragged
+from tabwright.llm.arrays import byte_codes, ragged, range_hashes, text_bytes
 
-SLICE_BYTES = 1 << 23
+SLICE_BYTES, BATCH, REMEMBERED = 1 << 21, 1 << 12, 1 << 20
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def limit_threads(number: int = 2) -> None:
+    """Threads of the library in this worker; each one keeps memory of its own. Only the first call counts."""
+    os.environ.setdefault("RAYON_NUM_THREADS", str(number))
+
+
 def white_space_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where ASCII white space follows a character that is no white space, also in Unicode."""
     white = _WHITE[data]
@@ -42,24 +48,82 @@ def space_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.union1d(np.flatnonzero(found), offsets[:-1][np.diff(offsets) > 0])
 
 
-def split(data: np.ndarray, starts: np.ndarray) -> tuple[list[str], np.ndarray]:
+def split(data: np.ndarray, starts: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
     """The different chunks, and the number of each chunk in that list."""
     if len(data) >= 1 << 31:
         raise ValueError("a text of 2 GB or more")
     bounds = pa.py_buffer(np.append(starts, len(data)).astype(np.int32))
     coded = pa.StringArray.from_buffers(len(starts), bounds, pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy()
-
-
-def encode(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray,
-           encoder: Callable[[list[str]], list[list[int]]]) -> tuple[np.ndarray, np.ndarray, list[str], list[list[int]], np.ndarray]:
-    """Ids of all texts, where each text's begin, the different chunks, their ids, and the number of each chunk."""
-    different, chunk = split(data, starts)
-    lists = encoder(different)
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
-    begins = np.cumsum(sizes) - sizes
-    counts = sizes[chunk]
-    ids = flat[ragged(begins[chunk], counts)]
-    ends = np.concatenate([[0], np.cumsum(counts)])
-    return ids, ends[np.searchsorted(starts, offsets)], different, lists, chunk
+    return coded.dictionary, coded.indices.to_numpy()
+
+
+class Encoder:
+    """Encodes texts chunk by chunk and remembers up to ``REMEMBERED`` chunks by their 64-bit hash.
+
+    ``check`` gives a table (checks, chunks) of what went wrong with some chunks. Chunks go through the
+    tokenizer in small batches, since what it returns for each takes much memory. Workers keep an encoder for
+    the next task; when it is full it starts anew, which costs time but changes nothing.
+    """
+
+    def __init__(self, tokenize: Callable[[list[str]], list[list[int]]],
+                 check: Callable[[list[str], list[list[int]]], np.ndarray] | None = None, checks: int = 0):
+        self.tokenize, self.check, self.checks = tokenize, check, checks
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.begins, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat, self.wrong = np.zeros(0, np.int32), np.zeros((self.checks, 0), bool)
+
+    def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
+        sizes, flat, wrong = [self.sizes], [self.flat], [self.wrong]
+        for at in range(0, len(chunks), BATCH):
+            part = chunks[at:at + BATCH]
+            lists = self.tokenize(part)
+            sizes.append(np.fromiter(map(len, lists), np.int32, len(lists)))
+            flat.append(np.fromiter(chain.from_iterable(lists), np.int32, int(sizes[-1].sum())))
+            if self.check:
+                wrong.append(self.check(part, lists))
+        known = len(self.sizes)
+        self.sizes, self.flat, self.wrong = np.concatenate(sizes), np.concatenate(flat), np.hstack(wrong)
+        self.begins = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.keys, hashes[order])
+        self.keys = np.insert(self.keys, at, hashes[order])
+        self.place = np.insert(self.place, at, known + order)
+
+    def _missing(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.arange(len(hashes))
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.flatnonzero(self.keys[at] != hashes)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray):
+        """Ids of all texts, where each text's begin, and for each text how many chunks fail each check."""
+        different, chunk = split(data, starts)
+        letters, bounds = text_bytes(different)
+        hashes = range_hashes(byte_codes(letters), bounds[:-1], bounds[1:])
+        missing = self._missing(hashes)
+        if len(self.keys) + len(missing) > REMEMBERED:
+            self._forget()
+            missing = np.arange(len(hashes))
+        if len(missing):
+            self._learn(hashes[missing], different.take(pa.array(missing)).to_pylist())
+        place = self.place[np.searchsorted(self.keys, hashes)][chunk] if len(chunk) else np.zeros(0, np.int64)
+        counts = self.sizes[place].astype(np.int64)
+        ids = self.flat[ragged(self.begins[place], counts)]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        first = np.searchsorted(starts, offsets)
+        failed = [np.diff(np.concatenate([[0], np.cumsum(w[place])])[first]) for w in self.wrong]
+        return ids, ends[first], failed
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def kept_encoder(name: str, make: Callable[[], Encoder]) -> Encoder:
+    """The worker's encoder of that name."""
+    if name not in _encoders:
+        _encoders.clear()
+        _encoders[name] = make()
+    return _encoders[name]

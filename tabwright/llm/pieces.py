@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from tabwright.llm import chunks
 from tabwright.llm.arrays import slices
-from tabwright.llm.rows import arrow_schema, ddl, extended, free_name
+from tabwright.llm.rows import arrow_schema, ddl, extended, free_name, lean
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -136,20 +136,38 @@ class PieceModel:
 RESULT = {"n_pieces": "bigint", "ids_crc32": "bigint", "parity": "boolean", "round_trip": "boolean"}
 
 
-def _encoding(model_path: str, with_ids: bool):
-    """For ``mapInArrow``: the columns of each batch but the text, then those of RESULT, then the ids."""
+def _encoder(model_path: str) -> chunks.Encoder:
+    """An encoder with two checks: parity with the other library, and decoding to the same text."""
+    import sentencepiece
 
-    def run(batches):
-        import sentencepiece
+    chunks.limit_threads()
+    with open(model_path, "rb") as file:
+        model = PieceModel.parse(file.read())
+    tokenizer = model.tokenizer(prefix=not model.cuttable)
+    other = sentencepiece.SentencePieceProcessor(model_file=model_path)
 
-        with open(model_path, "rb") as file:
-            model = PieceModel.parse(file.read())
-        tokenizer = model.tokenizer(prefix=not model.cuttable)
-        other = sentencepiece.SentencePieceProcessor(model_file=model_path)
+    def tokenize(texts):
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def check(texts, lists):
+        # the other library adds the prefix itself, but not to an empty text: a lone space is a lone mark
+        plain = [t[1:] for t in texts] if model.cuttable else texts
+        expected = [ids or [other.piece_to_id(MARK)] for ids in other.encode(plain, num_threads=1)]
+        back = tokenizer.decode_batch(lists, skip_special_tokens=False)
+        return np.array([[a != b for a, b in zip(lists, expected)],
+                         [a != b.replace(MARK, " ") for a, b in zip(back, texts)]], bool)
 
-        def encoder(texts):
-            return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    made = chunks.Encoder(tokenize, check, checks=2)
+    made.model = model
+    return made
 
+
+def _encoding(model_path: str, with_ids: bool):
+    """For ``mapInArrow``: the columns of each batch but the text, then those of RESULT, then the ids."""
+
+    def run(batches):
+        kept = chunks.kept_encoder(model_path, lambda: _encoder(model_path))
+        model = kept.model
         for batch in batches:
             for texts in slices(batch.column("text"), chunks.SLICE_BYTES):
                 if model.cuttable:
@@ -161,20 +179,12 @@ def _encoding(model_path: str, with_ids: bool):
                 else:
                     data, offsets = texts.data, texts.offsets
                     starts = offsets[:-1][np.diff(offsets) > 0]
-                ids, begins, different, lists, chunk = chunks.encode(data, offsets, starts, encoder)
-                # the other library adds the prefix itself, but not to an empty text: a lone space is a lone mark
-                plain = [t[1:] for t in different] if model.cuttable else different
-                expected = [ids or [other.piece_to_id(MARK)] for ids in other.encode(plain, num_threads=1)]
-                agree = np.array([a == b for a, b in zip(lists, expected)], bool)
-                back = tokenizer.decode_batch(lists, skip_special_tokens=False)
-                same = np.array([a == b.replace(MARK, " ") for a, b in zip(back, different)], bool)
-                first = np.searchsorted(starts, offsets)
-                marks = [np.concatenate([[0], np.cumsum(~x[chunk])])[first] for x in (agree, same)]
+                ids, begins, failed = kept.encode(data, offsets, starts)
                 plain_ids = ids.astype("<u4")
                 sums = [zlib.crc32(plain_ids[a:b].tobytes()) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist())]
                 rows = batch.slice(texts.first, texts.rows)
                 found = [pa.array(np.diff(begins)), pa.array(sums, pa.int64()),
-                         *(pa.array(m[1:] == m[:-1]) for m in marks)]
+                         *(pa.array(f == 0) for f in failed)]
                 if with_ids:
                     found.append(pa.ListArray.from_arrays(begins.astype(np.int32), ids.astype(np.int32)))
                 yield rows, found
@@ -195,7 +205,7 @@ def encode(docs: DataFrame, model_path: str, columns: dict[str, str], with_ids:
         for rows, found in work(batches):
             yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), *found], schema=schema)
 
-    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, ddl(result))
+    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(lean(run), ddl(result))
 
 
 def encode_all_columns(docs: DataFrame, model_path: str) -> DataFrame:
@@ -207,7 +217,7 @@ def encode_all_columns(docs: DataFrame, model_path: str) -> DataFrame:
         for rows, found in work(batches):
             yield pa.RecordBatch.from_arrays([*rows.columns, *found], schema=pa.schema([*rows.schema, *extra]))
 
-    return docs.mapInArrow(run, extended(docs, added))
+    return docs.mapInArrow(lean(run), extended(docs, added))
 
 
 def decode(encoded: DataFrame, model_path: str, columns: dict[str, str]) -> DataFrame:
@@ -222,4 +232,4 @@ def decode(encoded: DataFrame, model_path: str, columns: dict[str, str]) -> Data
             texts = tokenizer.decode_batch(batch.column("piece_ids").fill_null([]).to_pylist(), skip_special_tokens=False)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(texts, pa.string())], schema=schema)
 
-    return encoded.select(*dict.fromkeys([*columns, "piece_ids"])).mapInArrow(run, ddl(result))
+    return encoded.select(*dict.fromkeys([*columns, "piece_ids"])).mapInArrow(lean(run), ddl(result))

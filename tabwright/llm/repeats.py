@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.llm.arrays import Texts, mixed, range_hashes, slices
-from tabwright.llm.rows import arrow_schema, ddl, map_texts, text_key
+from tabwright.llm.rows import arrow_schema, ddl, lean, map_texts, text_key
 from tabwright.plans import storage
 
 HOT = 64
 SHARD_CODES = 1 << 18
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 LAST = (1 << 63) - 1
 
 #: A shard: codes of all segments one after the other, where each begins, and each one's least order.
@@ -197,7 +197,7 @@ def _cut(docs: DataFrame, method: Method, wanted: DataFrame, windows: bool) -> D
                      pa.array(hashes.view(np.int64)), pa.array(at)], schema=schema)
 
     # a sample row that is there twice is cut out twice; one is enough
-    found = with_places(docs, places).select("text", "places").mapInArrow(cut, ddl(result))
+    found = with_places(docs, places).select("text", "places").mapInArrow(lean(cut), ddl(result))
     return found.dropDuplicates([n for n in result if n != "content"])
 
 
@@ -239,7 +239,7 @@ def _shards(contents: DataFrame, method: Method) -> DataFrame:
                  pa.array(low), pa.array(high)], schema=schema)
 
     dealt = contents.repartition("anchor").sortWithinPartitions("anchor", "segment")
-    return dealt.mapInArrow(find, ddl(FOUND))
+    return dealt.mapInArrow(lean(find), ddl(FOUND))
 
 
 def _counted_windows(windows: DataFrame, method: Method) -> DataFrame:

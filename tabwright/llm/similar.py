@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tabwright.llm.arrays import grams, range_hashes
 from tabwright.llm.components import components
-from tabwright.llm.rows import arrow_schema, ddl, map_texts, text_key
+from tabwright.llm.rows import arrow_schema, ddl, lean, map_texts, text_key
 from tabwright.llm.shingles import minhash, shingle_rows
 from tabwright.plans import storage
 
@@ -36,7 +36,7 @@ STEP = 32
 TOLERANCE = 1e-6
 THRESHOLD = (4, 5)
 BLOCK = 512
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 
 def least_matches(size: int, threshold: float, tolerance: float = TOLERANCE) -> int:
@@ -164,7 +164,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
                 [*(pa.array(column[n][used].astype(np.int64)) for n in ("bucket", "low", "high", "node")),
                  pa.ListArray.from_arrays(cuts.astype(np.int32), column["node"][right[order]])], schema=schema)
 
-    return _by_group(members, ["bucket", "low", "high"]).mapInArrow(prune, ddl(result))
+    return _by_group(members, ["bucket", "low", "high"]).mapInArrow(lean(prune), ddl(result))
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -230,7 +230,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (nodes, links, texts, root)], schema=schema)
 
     joined = pairs.join(sets, "node")
-    return _by_group(joined, ["bucket", "low", "high"]).mapInArrow(check, ddl(result))
+    return _by_group(joined, ["bucket", "low", "high"]).mapInArrow(lean(check), ddl(result))
 
 
 def similarity_classes(docs: DataFrame) -> DataFrame:

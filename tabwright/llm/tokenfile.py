@@ -11,7 +11,6 @@ null ids come first; an empty table gives empty files.
 
 from __future__ import annotations
 
-import os
 import zlib
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tabwright.llm import chunks, coder
 from tabwright.llm.arrays import slices
-from tabwright.llm.rows import arrow_schema, ddl, text_key
+from tabwright.llm.rows import arrow_schema, ddl, lean, text_key
 from tabwright.plans import storage
 
 RECORD_IDS = coder.LANES * coder.BLOCK_IDS
@@ -34,7 +33,7 @@ _NULL = -(1 << 63)
 
 def byte_level(path: str):
     """An encoder of lists of texts; special tokens in a text count as plain text."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    chunks.limit_threads()
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -47,7 +46,8 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> None:
     schema = arrow_schema(RECORD)
 
     def encode(batches):
-        encoder, part, first = byte_level(tokenizer), TaskContext.get().partitionId(), 0
+        encoder = chunks.kept_encoder(tokenizer, lambda: chunks.Encoder(byte_level(tokenizer)))
+        part, first = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
 
         def flushed():
@@ -60,7 +60,7 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> None:
         for batch in batches:
             for texts in slices(batch.column("text"), chunks.SLICE_BYTES):
                 starts = chunks.white_space_starts(texts.data, texts.offsets)
-                ids, begins, *_ = chunks.encode(texts.data, texts.offsets, starts, encoder)
+                ids, begins, _ = encoder.encode(texts.data, texts.offsets, starts)
                 ids = np.insert(ids, begins[1:], END)
                 lengths = np.diff(begins) + 1
                 doc_ids = batch.column("doc_id").slice(texts.first, texts.rows).fill_null(_NULL).to_numpy()
@@ -83,7 +83,7 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> None:
 
     named = docs.select("doc_id", "text")
     ordered = named.repartitionByRange("doc_id").sortWithinPartitions("doc_id", text_key())
-    ordered.mapInArrow(encode, ddl(RECORD)).write.parquet(path)
+    ordered.mapInArrow(lean(encode), ddl(RECORD)).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -110,7 +110,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     schema=schema)
 
     placed = files.join(F.broadcast(begins), "part").select((F.col("offset") + F.col("first")).alias("offset"), "record")
-    return placed.mapInArrow(decode, ddl(result))
+    return placed.mapInArrow(lean(decode), ddl(result))
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -6,7 +6,8 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-SMALL = "/root/testdata/sf0.001"
+from brute import SMALL  # noqa: E402
+
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, score double, held_out string, "
           "key int, root string, c0 string, pii_text string, n_pieces int, rejected string")
 

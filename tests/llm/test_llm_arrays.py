@@ -133,5 +133,25 @@ def test_chunks_cut_where_tokens_end():
     column = texts_of(texts)[0]
     starts = chunks.white_space_starts(column.data, column.offsets)
     different, number = chunks.split(column.data, starts)
+    different = different.to_pylist()
     assert "".join(different[i] for i in number) == "".join(texts)
     assert different[:3] == ["a", " b", "  c"] and "x  y" in different
+
+
+def test_encoders_remember_and_forget(monkeypatch):
+    monkeypatch.setattr(chunks, "REMEMBERED", 6)
+    seen = []
+
+    def tokenize(parts):
+        seen.extend(parts)
+        return [[len(p), ord(p[-1])] for p in parts]
+
+    encoder = chunks.Encoder(tokenize, lambda parts, _: np.array([[p == " c" for p in parts]]), checks=1)
+    for texts in (["a b b", "b c"], ["b b", "", "a"], [f"x{i} y{i}" for i in range(5)], ["b c c"]):
+        column = texts_of(texts)[0]
+        ids, begins, failed = encoder.encode(column.data, column.offsets, chunks.white_space_starts(column.data, column.offsets))
+        for i, text in enumerate(texts):
+            parts = [p if j == 0 else " " + p for j, p in enumerate(text.split(" "))] if text else []
+            assert ids[begins[i]:begins[i + 1]].tolist() == [v for p in parts for v in (len(p), ord(p[-1]))]
+            assert failed[0][i] == parts.count(" c")
+    assert len(seen) < 24

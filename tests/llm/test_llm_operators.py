@@ -4,13 +4,14 @@ import collections
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import brute
-from conftest import SMALL
+from brute import SMALL
 from tabwright.llm import (
-    decontaminate, esais, fmindex, language, lm, pieces, privacy, quality, similar, tokenfile,
+    chunks, decontaminate, esais, fmindex, language, lm, pieces, privacy, quality, queries, similar, tokenfile,
 )
 from tabwright.llm.queries import BYTE_BPE, PIECES, tokenizer_path
 from tabwright.llm.rows import remainder
@@ -311,12 +312,19 @@ def test_pieces_equal_the_other_library(docs, rows, none):
     assert wide.count() == len(rows) and pieces.encode_all_columns(none, path).count() == 0
 
 
-def test_whole_texts_without_cutting(monkeypatch, docs):
+def test_whole_texts_without_cutting(monkeypatch, rows):
     path = tokenizer_path(PIECES)
-    some = docs.where("doc_id < 20 or doc_id in (1001, 1009, 1011)")
-    cut = multiset(pieces.encode(some, path, {"doc_id": "bigint"}).collect())
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in rows[-60:] if t is None or len(t) < 5000], pa.string())], ["text"])
+
+    def encoded():
+        chunks._encoders.clear()
+        return [[x.to_pylist() if hasattr(x, "to_pylist") else x for x in found]
+                for _, found in pieces._encoding(path, True)([batch])]
+
+    cut = encoded()
     monkeypatch.setattr(pieces.PieceModel, "cuttable", property(lambda self: False))
-    assert multiset(pieces.encode(some, path, {"doc_id": "bigint"}).collect()) == cut
+    assert encoded() == cut
+    chunks._encoders.clear()
 
 
 def test_pipeline_stages(spark, docs, none):
@@ -332,3 +340,22 @@ def test_pipeline_stages(spark, docs, none):
         assert last.count() == now.count()
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "language_id", "ngram_jaccard_join", "benchmark_decontamination", "personal_data", "sentencepiece"]
+
+
+def test_queries_with_sql_give_its_rows(spark):
+    from compare import connect, differences
+
+    con = connect(SMALL)
+    sql = queries.oracle_sql()
+    assert set(sql) < set(queries.queries())
+    for name, text in sql.items():
+        assert differences(queries.queries()[name](spark, SMALL), con, text) == [], name
+
+
+def test_every_query_gives_a_row_for_each_document(spark):
+    every = queries.documents(spark, SMALL).count()
+    for name, build in queries.queries().items():
+        found = build(spark, SMALL)
+        assert "doc_id" in found.columns
+        if not name.startswith("op5_"):
+            assert found.count() == every, name
