@@ -27,6 +27,7 @@ ID_BITS = 20
 TOTAL_BITS = 24
 SLOT_BITS = 14
 LANES = 512
+MODEL_LANES = 64
 FIRST_TABLE = 64
 MAGIC = b"TWIDS\x00\x00\x01"
 _SLOTS = 1 << SLOT_BITS
@@ -66,7 +67,8 @@ class _Table:
             self.ids = np.full(lanes, -1)
             lane, counts = np.arange(lanes), np.full(lanes, _SLOTS)
         else:
-            keys = np.sort(((np.arange(lanes)[:, None] << ID_BITS) | ids).ravel())
+            keys = ((np.arange(lanes)[:, None] << ID_BITS) | ids).ravel()
+            keys.sort()
             head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             times = np.diff(np.append(head, len(keys)))
             lane, self.ids = keys[head] >> ID_BITS, keys[head] & ((1 << ID_BITS) - 1)
@@ -166,8 +168,8 @@ class _Encoder:
         return [row[:n].tobytes() for row, n in zip(self.out, self.used)]
 
 
-def _encode_lanes(ids: np.ndarray) -> list[bytes]:
-    """Payloads of blocks of equal size, one for each row."""
+def _steps(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and width of every id in the whole range, and which ids follow as plain bits."""
     lanes, size = ids.shape
     (guess1, share1, weight1), (guess2, share2, weight2) = (_predictions(ids, order) for order in (1, 2))
     one, two = _masses((weight1, weight2), (share1, share2))
@@ -185,16 +187,26 @@ def _encode_lanes(ids: np.ndarray) -> list[bytes]:
     for guess, low, mass in ((guess1, two, one), (guess2, np.zeros_like(two), two)):
         right = (guess == ids) & (mass > 0)
         start[right], width[right], is_new[right] = low[right], mass[right], False
-    coder = _Encoder(lanes, 2 * size + 4)
-    start, width = (np.ascontiguousarray(x.T).astype(np.uint64) for x in (start, width))
-    plain = np.ascontiguousarray(ids.T).astype(np.uint64) << np.uint64(TOTAL_BITS - ID_BITS)
-    fresh = np.ascontiguousarray(is_new.T)
+    return start, width, is_new
+
+
+def _encode_lanes(ids: np.ndarray) -> list[bytes]:
+    """Payloads of blocks of equal size, one for each row."""
+    lanes, size = ids.shape
+    start, width = (np.empty((size, lanes), np.uint32) for _ in range(2))
+    fresh = np.empty((size, lanes), bool)
+    for at in range(0, lanes, MODEL_LANES):
+        part = slice(at, at + MODEL_LANES)
+        start[:, part], width[:, part], fresh[:, part] = (x.T for x in _steps(ids[part].astype(np.int64)))
+    coder = _Encoder(lanes, 3 * size // 2 + 8)  # at most 24 + 20 bits an id
+    by_step = np.ascontiguousarray(ids.T)
     every = slice(None)
     for t in range(size):
-        coder.put(every, start[t], width[t])
+        coder.put(every, start[t].astype(np.uint64), width[t].astype(np.uint64))
         new = np.flatnonzero(fresh[t])
         if len(new):
-            coder.put(new, plain[t][new], np.full(len(new), 1 << TOTAL_BITS - ID_BITS, np.uint64))
+            plain = by_step[t, new].astype(np.uint64) << np.uint64(TOTAL_BITS - ID_BITS)
+            coder.put(new, plain, np.full(len(new), 1 << TOTAL_BITS - ID_BITS, np.uint64))
     return coder.finish()
 
 
@@ -227,7 +239,7 @@ class _Decoder:
 def _decode_lanes(payloads: list[bytes], size: int) -> np.ndarray:
     lanes = len(payloads)
     coder = _Decoder(payloads)
-    ids = np.zeros((size + 2, lanes), np.int64)  # two ids 0 come before
+    ids = np.zeros((size + 2, lanes), np.int32)  # two ids 0 come before
     every = slice(None)
     lane = np.arange(lanes)
     base = [lane << bits for bits in _CONTEXTS]
@@ -241,7 +253,7 @@ def _decode_lanes(payloads: list[bytes], size: int) -> np.ndarray:
             slots = table.slots()
             entries = (table.ids << SLOT_BITS + 1 | table.below) << SLOT_BITS + 1 | table.counts
             slot_base = lane << SLOT_BITS
-        last, before = ids[t + 1], ids[t]
+        last, before = ids[t + 1].astype(np.int64), ids[t].astype(np.int64)
         place = [base[k] + _context(k + 1, last, before) for k in (0, 1)]
         state = [known[k][place[k]] for k in (0, 1)]
         guess = [(s >> 32) - 1 for s in state]
@@ -290,7 +302,7 @@ def encode_blocks(ids: np.ndarray) -> list[tuple[int, int, bytes]]:
     """(number of ids, crc32, payload) of each block."""
     if len(ids) and int(ids.max()) >= 1 << ID_BITS:
         raise ValueError(f"ids need more than {ID_BITS} bits")
-    blocks = [ids[at:at + BLOCK_IDS].astype(np.int64) for at in range(0, len(ids), BLOCK_IDS)]
+    blocks = [ids[at:at + BLOCK_IDS].astype(np.int32) for at in range(0, len(ids), BLOCK_IDS)]
     found: list = [None] * len(blocks)
     for size, members in _by_size([len(b) for b in blocks]):
         for i, payload in zip(members, _encode_lanes(np.stack([blocks[i] for i in members]))):
