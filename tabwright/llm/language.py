@@ -44,7 +44,7 @@ def learn(labelled: DataFrame) -> dict[str, bytes]:
     """
     digest = F.xxhash64("text")
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    distinct = known.groupBy("lang", digest.alias("digest")).agg(F.min("doc_id").alias("doc_id"))
+    distinct = known.select("lang", digest.alias("digest")).distinct()
     distinct = storage.written(distinct, "texts")
     # a frequent language is thinned by hash to about twice the sample before its texts are ranked
     sizes = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -54,11 +54,12 @@ def learn(labelled: DataFrame) -> dict[str, bytes]:
     few = distinct.where(F.pmod("digest", F.try_element_at(thin, "lang")) == 0)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("digest"))
     chosen = few.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_TEXTS)
-    ids = {(r["lang"], r["digest"]): r["doc_id"] for r in chosen.collect()}
-    sample = known.where(F.col("doc_id").isin(sorted({i for i in ids.values() if i is not None}))).select(
+    wanted = {(r["lang"], r["digest"]) for r in chosen.collect()}
+    # equal texts have one digest, so this is at most SAMPLE_TEXTS rows of a language whatever the ids are
+    sample = known.where(digest.isin(sorted({d for _, d in wanted}))).select(
         "lang", digest.alias("digest"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct()
-    parts: dict[str, bytearray] = {lang: bytearray() for lang, _ in ids}
-    for row in sorted((r for r in sample.collect() if (r["lang"], r["digest"]) in ids),
+    parts: dict[str, bytearray] = {lang: bytearray() for lang, _ in wanted}
+    for row in sorted((r for r in sample.collect() if (r["lang"], r["digest"]) in wanted),
                       key=lambda r: (r["lang"], r["digest"])):
         if len(parts[row["lang"]]) < DICTIONARY_BYTES:
             parts[row["lang"]] += letters(row["text"]) + b"\n"
