@@ -72,5 +72,63 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     )}
 
 
+_WORDS = r"""words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)"""
+
+_OP3 = f"""
+WITH RECURSIVE {_WORDS},
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+  FROM words, unnest(range(1, greatest(len(ws) - 3, 2))) AS r(i) WHERE len(ws) > 0),
+sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS content FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT x, y, a.content AS own, b.content AS other
+  FROM shared s JOIN sets a ON a.doc_id = x JOIN sets b ON b.doc_id = y WHERE 5 * s.n >= 4 * (a.n + b.n - s.n)),
+reached(x, y) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM reached r JOIN links l ON l.x = r.y),
+classes AS (SELECT x AS doc_id, min(y) AS class_id FROM reached GROUP BY x),
+counts AS (
+  SELECT x AS doc_id, count(*) AS n_links, count(DISTINCT other) FILTER (other <> own) AS n_similar_texts FROM links GROUP BY x)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n_similar_texts, 0) AS n_similar_texts
+FROM classes LEFT JOIN counts USING (doc_id)"""
+
+#: Items of at least five words.
+_OP5 = r"""
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+words AS (
+  SELECT kind, id, list_filter(list_transform(
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x20\x09-\x0D]+'),
+    lambda w: regexp_replace(w, '^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$', '', 'g')), lambda w: w <> '') AS ws FROM texts),
+shingles AS (
+  SELECT DISTINCT kind, id, array_to_string(ws[i:i + 4], ' ') AS g
+  FROM words, unnest(range(1, len(ws) - 3)) AS r(i) WHERE len(ws) >= 5),
+sizes AS (SELECT id, count(*) AS n FROM shingles WHERE kind = 'i' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, any_value(s.n) AS n_item_shingles, count(*) AS n_found,
+       count(*) / any_value(s.n) AS containment
+FROM shingles i JOIN shingles d ON i.g = d.g AND i.kind = 'i' AND d.kind = 'd' JOIN sizes s ON s.id = i.id
+GROUP BY d.id, i.id HAVING 5 * count(*) >= 4 * any_value(s.n)"""
+
+_OP8 = f"""
+WITH {_WORDS},
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h
+  FROM words, unnest(range(1, len(ws) - 48)) AS r(i) WHERE len(ws) >= 50),
+firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+covered AS (
+  SELECT DISTINCT doc_id, j FROM windows JOIN firsts USING (h), unnest(range(i, i + 50)) AS r(j) WHERE first < doc_id),
+each AS (SELECT doc_id, j, ws[j] AS word FROM words, unnest(range(1, len(ws) + 1)) AS r(j)),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n FROM each ANTI JOIN covered USING (doc_id, j)
+  GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express a query and is fast enough on small tables."""
+    return {"op3_ngram_jaccard_join": _OP3, "op5_benchmark_decontamination": _OP5, "op8_substring_dedup": _OP8}
