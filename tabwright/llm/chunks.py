@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from tabwright.llm.arrays import byte_codes, ragged, range_hashes, text_bytes
 
-SLICE_BYTES, BATCH, REMEMBERED = 1 << 21, 1 << 12, 1 << 20
+SLICE_BYTES, BATCH, JOINED, REMEMBERED = 1 << 21, 1 << 12, 1 << 6, 1 << 19
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -37,7 +37,13 @@ def white_space_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     wide = (two == 0xC2) & ((one == 0x85) | (one == 0xA0))
     wide |= (three == 0xE2) & ((two == 0x80) | (two == 0x81))
     wide |= ((three == 0xE1) & (two == 0x9A)) | ((three == 0xE3) & (two == 0x80))
-    return np.union1d(at[~wide], offsets[:-1][np.diff(offsets) > 0])
+    found[at[wide]] = False
+    return _with_rows(found, offsets)
+
+
+def _with_rows(found: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    found[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(found)
 
 
 def space_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -45,7 +51,7 @@ def space_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     space = data == 32
     found = space.copy()
     found[1:] &= ~space[:-1]
-    return np.union1d(np.flatnonzero(found), offsets[:-1][np.diff(offsets) > 0])
+    return _with_rows(found, offsets)
 
 
 def split(data: np.ndarray, starts: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
@@ -60,16 +66,34 @@ def split(data: np.ndarray, starts: np.ndarray) -> tuple[pa.StringArray, np.ndar
 class Encoder:
     """Encodes texts chunk by chunk and remembers up to ``REMEMBERED`` chunks by their 64-bit hash.
 
-    ``check`` gives a table (checks, chunks) of what went wrong with some chunks. Chunks go through the
-    tokenizer in small batches, since what it returns for each takes much memory. Workers keep an encoder for
-    the next task; when it is full it starts anew, which costs time but changes nothing.
+    Unknown chunks go through the tokenizer joined, since each call and each result costs more than the
+    chunk; where ``token_bytes``, the bytes that each id stands for, show that the ids don't end where the
+    chunks end, the chunks go one by one. ``check`` gives a table (checks, texts) of what went wrong with some
+    texts; where something did, it is asked for each chunk. Workers keep an encoder for the next task; when
+    it is full it starts anew, which costs time but changes nothing.
     """
 
-    def __init__(self, tokenize: Callable[[list[str]], list[list[int]]],
+    def __init__(self, tokenize: Callable[[list[str]], list[list[int]]], token_bytes: np.ndarray | None = None,
                  check: Callable[[list[str], list[list[int]]], np.ndarray] | None = None, checks: int = 0):
-        self.tokenize, self.check, self.checks = tokenize, check, checks
+        self.tokenize, self.token_bytes, self.check, self.checks = tokenize, token_bytes, check, checks
         self._forget()
 
+    def _tokenized(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of ids of each text, all ids, and the table of checks."""
+        if self.token_bytes is not None and len(texts) > 1:
+            parts = ["".join(texts[at:at + JOINED]) for at in range(0, len(texts), JOINED)]
+            lists = self.tokenize(parts)
+            flat = np.fromiter(chain.from_iterable(lists), np.int32)
+            ends = np.concatenate([[0], np.cumsum(self.token_bytes[flat])])
+            bounds = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+            at = np.minimum(np.searchsorted(ends, bounds), len(flat))
+            if (ends[at] == bounds).all() and not (self.check and self.check(parts, lists).any()):
+                return np.diff(at).astype(np.int32), flat, np.zeros((self.checks, len(texts)), bool)
+        lists = self.tokenize(texts)
+        sizes = np.fromiter(map(len, lists), np.int32, len(lists))
+        wrong = self.check(texts, lists) if self.check else np.zeros((0, len(texts)), bool)
+        return sizes, np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), wrong
+
     def _forget(self) -> None:
         self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.begins, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
@@ -78,12 +102,8 @@ class Encoder:
     def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
         sizes, flat, wrong = [self.sizes], [self.flat], [self.wrong]
         for at in range(0, len(chunks), BATCH):
-            part = chunks[at:at + BATCH]
-            lists = self.tokenize(part)
-            sizes.append(np.fromiter(map(len, lists), np.int32, len(lists)))
-            flat.append(np.fromiter(chain.from_iterable(lists), np.int32, int(sizes[-1].sum())))
-            if self.check:
-                wrong.append(self.check(part, lists))
+            for held, new in zip((sizes, flat, wrong), self._tokenized(chunks[at:at + BATCH])):
+                held.append(new)
         known = len(self.sizes)
         self.sizes, self.flat, self.wrong = np.concatenate(sizes), np.concatenate(flat), np.hstack(wrong)
         self.begins = np.cumsum(self.sizes, dtype=np.int64) - self.sizes

@@ -96,6 +96,11 @@ class PieceModel:
                 and not any(re.search(f"[^{MARK}]{MARK}", p) or " " in p for p in plain)
                 and not any(kind == USER_DEFINED for _, _, kind in self.pieces))
 
+    def token_bytes(self) -> np.ndarray:
+        """The bytes of text that each id stands for, with a space for a mark."""
+        return np.array([1 if kind == BYTE else len(p.replace(MARK, " ").encode()) if kind in (NORMAL, USER_DEFINED) else 0
+                         for p, _, kind in self.pieces])
+
     def merges(self) -> list[tuple[str, str]]:
         rank = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind in (NORMAL, USER_DEFINED)}
         found = []
@@ -109,7 +114,7 @@ class PieceModel:
 
     def tokenizer(self, prefix: bool):
         """The model on the tokenizers library; without the prefix, texts already begin with a space."""
-        from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+        from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
         unknown = next((i for i, (_, _, kind) in enumerate(self.pieces) if kind == UNKNOWN), 0)
         if self.kind == UNIGRAM:
@@ -128,6 +133,8 @@ class PieceModel:
             steps.append(normalizers.Replace(" ", MARK))
         made = Tokenizer(model)
         made.normalizer = normalizers.Sequence(steps)
+        if not prefix:
+            made.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
         strip = [decoders.Strip(content=" ", left=1)] if prefix and self.dummy_prefix else []
         made.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
         return made
@@ -157,7 +164,7 @@ def _encoder(model_path: str) -> chunks.Encoder:
         return np.array([[a != b for a, b in zip(lists, expected)],
                          [a != b.replace(MARK, " ") for a, b in zip(back, texts)]], bool)
 
-    made = chunks.Encoder(tokenize, check, checks=2)
+    made = chunks.Encoder(tokenize, model.token_bytes() if model.cuttable else None, check, checks=2)
     made.model = model
     return made
 

@@ -31,14 +31,18 @@ RECORD = {"part": "int", "first": "bigint", "n_ids": "bigint", "n_docs": "bigint
 _NULL = -(1 << 63)
 
 
-def byte_level(path: str):
-    """An encoder of lists of texts; special tokens in a text count as plain text."""
+def byte_level(path: str) -> chunks.Encoder:
+    """An encoder of texts; special tokens in a text count as plain text."""
     chunks.limit_threads()
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    token_bytes = np.zeros(tokenizer.get_vocab_size(), np.int64)
+    for token, number in tokenizer.get_vocab().items():
+        token_bytes[number] = len(token)  # every letter of a token stands for a byte
+    return chunks.Encoder(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)],
+                          token_bytes)
 
 
 def write(docs: DataFrame, tokenizer: str, path: str) -> None:
@@ -46,7 +50,7 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> None:
     schema = arrow_schema(RECORD)
 
     def encode(batches):
-        encoder = chunks.kept_encoder(tokenizer, lambda: chunks.Encoder(byte_level(tokenizer)))
+        encoder = chunks.kept_encoder(tokenizer, lambda: byte_level(tokenizer))
         part, first = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
 

@@ -146,7 +146,7 @@ def test_encoders_remember_and_forget(monkeypatch):
         seen.extend(parts)
         return [[len(p), ord(p[-1])] for p in parts]
 
-    encoder = chunks.Encoder(tokenize, lambda parts, _: np.array([[p == " c" for p in parts]]), checks=1)
+    encoder = chunks.Encoder(tokenize, None, lambda parts, _: np.array([[p == " c" for p in parts]]), checks=1)
     for texts in (["a b b", "b c"], ["b b", "", "a"], [f"x{i} y{i}" for i in range(5)], ["b c c"]):
         column = texts_of(texts)[0]
         ids, begins, failed = encoder.encode(column.data, column.offsets, chunks.white_space_starts(column.data, column.offsets))
