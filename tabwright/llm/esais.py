@@ -111,22 +111,27 @@ class Induction:
         rising = np.append(text[stops[:-1]] > text[stops[:-1] - 1], True)
         self.small = np.repeat(rising, lengths)
         self.starts = np.flatnonzero(self.small[1:] & ~self.small[:-1]) + 1
-        self.buckets = np.unique(text)
+        self.buckets = np.flatnonzero(np.bincount(text))
+        self.narrow = int(self.buckets[-1]) < 1 << 16  # codes of 16 bits are sorted by radix
 
     def _scan(self, queue, state, suffixes, prefixes, small: bool) -> None:
         """Push the suffixes in front of the scanned ones that are of the wanted type."""
         running, begun = state
         front = suffixes - 1
         at = np.flatnonzero((suffixes > 0) & (self.small[front] == small))
-        whole = prefixes.min()
+        whole = prefixes.min() if self.prefixed else CAP
         if not len(at):
             np.minimum(running, whole, out=running)
             return
         code = self.text[front[at]]
-        order = np.argsort(code, kind="stable")
+        order = np.argsort(code.astype(np.uint16) if self.narrow else code, kind="stable")
         at, code = at[order], code[order]
         cuts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
         ends = np.append(cuts[1:], len(code))
+        if not self.prefixed:
+            for bucket, low, high in zip(code[cuts].tolist(), cuts.tolist(), ends.tolist()):
+                queue.push(bucket, front[at[low:high]], prefixes[:high - low])
+            return
         found = np.empty(len(at), np.int32)
         ranges = _Ranges(prefixes)
         inner = np.ones(len(at), bool)
@@ -146,8 +151,14 @@ class Induction:
         for bucket, low, high in zip(here.tolist(), cuts.tolist(), ends.tolist()):
             queue.push(bucket, front[at[low:high]], found[low:high])
 
-    def run(self, starts: np.ndarray, prefixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All suffixes, and the common prefix of each one with the one before (at most CAP)."""
+    def run(self, starts: np.ndarray, prefixes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """All suffixes, and the common prefix of each one with the one before (at most CAP).
+
+        Without the prefixes of the start those of the result mean nothing.
+        """
+        self.prefixed = prefixes is not None
+        if prefixes is None:
+            prefixes = np.zeros(len(starts), np.int32)
         size = int(self.buckets[-1]) + 1
         bounds = np.searchsorted(self.text[starts], np.append(self.buckets, size))
 
@@ -211,8 +222,7 @@ def sorted_suffixes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     work = Induction(text)
     starts = work.starts
     by_code = starts[np.argsort(text[starts], kind="stable")]
-    nothing = np.zeros(len(starts), np.int32)
-    order, _ = work.run(by_code, nothing)
+    order, _ = work.run(by_code, None)
     leftmost = np.zeros(len(text), bool)
     leftmost[starts] = True
     order = order[leftmost[order]]

@@ -9,7 +9,8 @@ hash, so equal windows have equal anchors at the same place. Neighbouring window
 3. Different segments of one anchor are *contested*. One sample of each is cut out of its text and sent,
    by anchor, to a shard, where an index finds the windows they share.
 4. An anchor with more than ``HOT`` different segments would make a large shard. Its segments are cut
-   into windows that are counted by hash, so such a group is spread over the whole cluster.
+   into blocks of windows, and these into windows, that are counted by hash, so such a group is spread
+   over the whole cluster.
 
 ``kind`` says what a repeat is: ``earlier`` (also starts in a text with a smaller id) or ``anywhere``.
 Null ids count as larger than all others. Rows are told apart by (id, key of the text); repeated rows
@@ -26,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.arrays import Texts, mixed, range_hashes, slices
+from tabwright.llm.arrays import Texts, mixed, powers, ragged, range_hashes, slices
 from tabwright.llm.rows import arrow_schema, ddl, lean, map_texts, text_key
 from tabwright.plans import storage
 
 HOT = 64
-SHARD_CODES = 1 << 18
+BLOCK_WINDOWS = 32
+SHARD_CODES = 1 << 18  # 64-bit codes; twice as many where a shard holds bytes
 BROADCAST_ROWS = 250_000
 LAST = (1 << 63) - 1
 
@@ -57,8 +59,11 @@ class Method:
 
 def gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
     """The hash of every run of n codes, also of those that cross texts."""
-    starts = np.arange(max(len(codes) - n + 1, 0))
-    return range_hashes(codes, starts, starts + n)
+    size = max(len(codes) - n + 1, 0)
+    up, down = powers(len(codes) + 1)
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * up[:-1], out=total[1:])
+    return mixed((total[n:] - total[:size]) * down[:size] ^ np.uint64(n))
 
 
 def anchors(codes: np.ndarray, first: np.ndarray, window: int, gram: int):
@@ -161,15 +166,17 @@ def with_or_without_places(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 
 CONTENT = {"anchor": "bigint", "segment": "bigint", "order": "bigint", "content": "binary"}
-WINDOW = {"anchor": "bigint", "segment": "bigint", "order": "bigint", "hash": "bigint", "at": "bigint"}
+BLOCK = {"anchor": "bigint", "segment": "bigint", "order": "bigint", "hash": "bigint", "at": "bigint",
+         "windows": "array<bigint>"}
 
 
-def _cut(docs: DataFrame, method: Method, wanted: DataFrame, windows: bool) -> DataFrame:
-    """The codes of the wanted segments (anchor, segment, order, sample), or the hashes of their windows."""
+def _cut(docs: DataFrame, method: Method, wanted: DataFrame, blocks: bool) -> DataFrame:
+    """The codes of the wanted segments (anchor, segment, order, sample), or their blocks of windows: the hash of
+    the whole stretch and those of its windows."""
     places = wanted.groupBy("sample.doc_id", "sample.key").agg(F.collect_list(F.struct(
         "sample.start", "sample.windows", "anchor", "segment", "order")).alias("places"))
     places = storage.written(places, "places")
-    result = WINDOW if windows else CONTENT
+    result = BLOCK if blocks else CONTENT
     schema = arrow_schema(result)
 
     def cut(batches):
@@ -181,24 +188,30 @@ def _cut(docs: DataFrame, method: Method, wanted: DataFrame, windows: bool) -> D
                 of = {n: flat.field(i).to_numpy() for i, n in enumerate(("start", "windows", "anchor", "segment", "order"))}
                 row = np.repeat(np.arange(texts.rows), lists.value_lengths().to_numpy())
                 low = of["start"] + first[row]
-                if not windows:
+                if not blocks:
                     ends = low + of["windows"] + method.window - 1
                     whole = method.stored(texts) if method.stored else codes
                     content = pa.array([whole[a:b].tobytes() for a, b in zip(low, ends)], pa.binary())
                     yield pa.RecordBatch.from_arrays(
                         [*(pa.array(of[n]) for n in ("anchor", "segment", "order")), content], schema=schema)
                     continue
-                each = np.repeat(np.arange(len(low)), of["windows"])
-                at = np.arange(len(each)) - np.repeat(np.cumsum(of["windows"]) - of["windows"], of["windows"])
-                starts = low[each] + at
+                pieces = -(-of["windows"] // BLOCK_WINDOWS)
+                each = np.repeat(np.arange(len(low)), pieces)
+                at = ragged(np.zeros(len(low), np.int64), pieces) * BLOCK_WINDOWS
+                number = np.minimum(of["windows"][each] - at, BLOCK_WINDOWS)
+                first_code = low[each] + at
+                stretch = range_hashes(codes, first_code, first_code + number + method.window - 1)
+                starts = ragged(first_code, number)
                 hashes = range_hashes(codes, starts, starts + method.window)
+                cuts = np.concatenate([[0], np.cumsum(number)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array(of[n][each]) for n in ("anchor", "segment", "order")),
-                     pa.array(hashes.view(np.int64)), pa.array(at)], schema=schema)
+                     pa.array(stretch.view(np.int64)), pa.array(at),
+                     pa.ListArray.from_arrays(cuts, hashes.view(np.int64))], schema=schema)
 
     # a sample row that is there twice is cut out twice; one is enough
     found = with_places(docs, places).select("text", "places").mapInArrow(lean(cut), ddl(result))
-    return found.dropDuplicates([n for n in result if n != "content"])
+    return found.dropDuplicates([n for n in result if n not in ("content", "windows")])
 
 
 FOUND = {"segment": "bigint", "anchor": "bigint", "low": "bigint", "high": "bigint"}
@@ -216,7 +229,7 @@ def _shards(contents: DataFrame, method: Method) -> DataFrame:
         for batch in batches:
             held.append(batch)
             size += batch.column("content").nbytes
-            if size >= width * SHARD_CODES:
+            if size >= (8 if width == 8 else 2) * SHARD_CODES:
                 table = pa.Table.from_batches(held)
                 anchor = table["anchor"].to_numpy()
                 last = int(np.searchsorted(anchor, anchor[-1]))
@@ -242,18 +255,28 @@ def _shards(contents: DataFrame, method: Method) -> DataFrame:
     return dealt.mapInArrow(lean(find), ddl(FOUND))
 
 
-def _counted_windows(windows: DataFrame, method: Method) -> DataFrame:
-    """The same for the segments of hot anchors, from counts of their windows."""
-    windows = storage.written(windows, "windows")
+def _judged(pieces: DataFrame, method: Method, label: str) -> DataFrame:
+    """``pieces`` with ``again``: whether their hash occurs in a text of a smaller order, or twice."""
     if method.kind == "earlier":
-        known = windows.groupBy("hash").agg(F.min("order").alias("least"))
-        test = F.col("least") < F.col("order")
+        known = pieces.groupBy("hash").agg(F.min("order").alias("least"), F.max("order").alias("last")).where("least < last")
+        again = F.coalesce(F.col("least") < F.col("order"), F.lit(False))
     else:
-        known = windows.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1")
-        test = F.lit(True)
-    known = storage.written(known, "window-counts")
-    return windows.join(known, "hash").where(test).select(
-        "segment", "anchor", F.col("at").alias("low"), F.col("at").alias("high"))
+        known = pieces.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1")
+        again = F.col("times").isNotNull()
+    known = storage.written(known, f"{label}-counts")
+    return storage.written(pieces.join(known, "hash", "left").withColumn("again", again), label)
+
+
+def _counted_blocks(blocks: DataFrame, method: Method) -> DataFrame:
+    """The same for the segments of hot anchors, from counts: whole blocks of windows first, then the single
+    windows of blocks that don't repeat as a whole."""
+    blocks = _judged(storage.written(blocks, "cut-blocks"), method, "blocks")
+    single = _judged(storage.written(blocks.where(~F.col("again")).select(
+        "anchor", "segment", "order", "at", F.posexplode("windows").alias("place", "hash")), "cut-windows"), method, "windows")
+    whole = blocks.where("again").select(
+        "segment", "anchor", F.col("at").alias("low"), (F.col("at") + F.size("windows") - 1).alias("high"))
+    place = F.col("at") + F.col("place")
+    return whole.union(single.where("again").select("segment", "anchor", place.alias("low"), place.alias("high")))
 
 
 def repeated_windows(docs: DataFrame, method: Method) -> DataFrame:
@@ -265,9 +288,9 @@ def repeated_windows(docs: DataFrame, method: Method) -> DataFrame:
         F.min(F.struct("doc_id", "key", "start", "windows")).alias("sample")), "distinct")
     rivals = storage.written(distinct.groupBy("anchor").agg(F.count("*").alias("different")).where("different > 1"), "rivals")
     contested = distinct.join(rivals, "anchor")
-    contents = _cut(docs, method, contested.where(F.col("different") <= HOT), windows=False)
-    windows = _cut(docs, method, contested.where(F.col("different") > HOT), windows=True)
-    found = _shards(contents, method).unionByName(_counted_windows(windows, method))
+    contents = _cut(docs, method, contested.where(F.col("different") <= HOT), blocks=False)
+    blocks = _cut(docs, method, contested.where(F.col("different") > HOT), blocks=True)
+    found = _shards(contents, method).unionByName(_counted_blocks(blocks, method))
     found = storage.written(found.groupBy("anchor", "segment").agg(
         F.collect_list(F.struct("low", "high")).alias("runs")), "runs")
     settled = F.col("order") > F.col("first") if method.kind == "earlier" else F.col("times") > 1
@@ -278,7 +301,7 @@ def repeated_windows(docs: DataFrame, method: Method) -> DataFrame:
     moved = F.transform("runs", lambda r: F.struct((r["low"] + F.col("start")).alias("low"), (r["high"] + F.col("start")).alias("high")))
     decided = hits.join(known, ["anchor", "segment"]).select(
         "doc_id", "key", F.when(settled, whole).otherwise(moved).alias("runs")).where("runs is not null")
-    return decided.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_set("runs"))).alias("runs"))
+    return decided.groupBy("doc_id", "key").agg(F.flatten(F.collect_set("runs")).alias("runs"))
 
 
 def covered(runs, size: int, window: int) -> np.ndarray:
