@@ -61,7 +61,8 @@ def join_dataframes(left: DataFrame, right: DataFrame, on: str | Sequence[str],
         # distinct keys combine on the map side and reuse the join's own partitioning
         return left.join(right.select(*columns(keys)).distinct(), keys, f"left_{kind}")
     sides = {"left": [right], "right": [left], "outer": [left, right]}[kind]
-    if all(find_hot_keys(side.select(*columns(keys)), keys, hot_rows) is None for side in sides):
+    hot = run_together(left.sparkSession, lambda side: find_hot_keys(side.select(*columns(keys)), keys, hot_rows), sides)
+    if not any(hot):
         return left.join(right, keys, kind)
     # both sides may use one name for a non-key column: join under other names, rename at the end
     names = keys + [n for side in (left, right) for n in side.columns if n not in keys]
