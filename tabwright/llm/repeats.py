@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.llm.arrays import Texts, mixed, powers, ragged, range_hashes, slices
@@ -255,13 +255,14 @@ def _shards(contents: DataFrame, method: Method) -> DataFrame:
     return dealt.mapInArrow(lean(find), ddl(FOUND))
 
 
-def _judged(pieces: DataFrame, method: Method, label: str) -> DataFrame:
-    """``pieces`` with ``again``: whether their hash occurs in a text of a smaller order, or twice."""
+def _judged(pieces: DataFrame, method: Method, label: str, *more: Column) -> DataFrame:
+    """``pieces`` with ``again``: whether their hash occurs in a text of a smaller order, or twice; and with
+    ``more`` aggregates of those that occur twice."""
     if method.kind == "earlier":
         known = pieces.groupBy("hash").agg(F.min("order").alias("least"), F.max("order").alias("last")).where("least < last")
         again = F.coalesce(F.col("least") < F.col("order"), F.lit(False))
     else:
-        known = pieces.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1")
+        known = pieces.groupBy("hash").agg(F.count("*").alias("times"), *more).where("times > 1")
         again = F.col("times").isNotNull()
     known = storage.written(known, f"{label}-counts")
     return storage.written(pieces.join(known, "hash", "left").withColumn("again", again), label)
@@ -269,9 +270,16 @@ def _judged(pieces: DataFrame, method: Method, label: str) -> DataFrame:
 
 def _counted_blocks(blocks: DataFrame, method: Method) -> DataFrame:
     """The same for the segments of hot anchors, from counts: whole blocks of windows first, then the single
-    windows of blocks that don't repeat as a whole."""
-    blocks = _judged(storage.written(blocks, "cut-blocks"), method, "blocks")
-    single = _judged(storage.written(blocks.where(~F.col("again")).select(
+    windows of one block of each hash. Other blocks may share some windows with a block that repeats as a
+    whole, so one of its copies stays among those that are counted."""
+    blocks, alone = storage.written(blocks, "cut-blocks"), ~F.col("again")
+    if method.kind == "earlier":  # the first copies are alone anyway
+        blocks = _judged(blocks, method, "blocks")
+    else:
+        place = F.xxhash64("anchor", "segment", "at")  # a number, which is aggregated without sorting
+        blocks = _judged(blocks, method, "blocks", F.min(place).alias("one"))
+        alone |= place == F.col("one")
+    single = _judged(storage.written(blocks.where(alone).select(
         "anchor", "segment", "order", "at", F.posexplode("windows").alias("place", "hash")), "cut-windows"), method, "windows")
     whole = blocks.where("again").select(
         "segment", "anchor", F.col("at").alias("low"), (F.col("at") + F.size("windows") - 1).alias("high"))

@@ -294,6 +294,27 @@ def test_repeats_in_hot_groups_and_small_shards(spark, monkeypatch, hot, codes):
     assert multiset(found) == multiset(brute.repeated_bytes(rows))
 
 
+def test_hot_groups_with_edited_cut_and_shifted_copies(spark, monkeypatch):
+    from tabwright.llm import repeats
+
+    monkeypatch.setattr(repeats, "HOT", 1)
+    rng = np.random.default_rng(11)
+
+    def letters(n):
+        return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+
+    passage = letters(500)
+    texts = [passage + letters(60) for _ in range(12)]
+    texts += [letters(45) + passage[:n] + letters(45) for n in (468, 403, 250)]
+    texts += [letters(45) + passage[n:] + letters(45) for n in (7, 100, 299)]
+    texts += [passage[:n] + "#" + passage[n + 1:] + letters(20) for n in (3, 201, 260, 470)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = esais.without_repeated_bytes(docs).select(*names).collect()
+    assert multiset(found) == multiset(brute.repeated_bytes(rows))
+
+
 def test_pieces_equal_the_other_library(docs, rows, none):
     import sentencepiece
 
