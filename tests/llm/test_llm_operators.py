@@ -79,6 +79,16 @@ def test_lm_probabilities_add_up_to_one():
     assert rest == words.rest
 
 
+def test_lm_learns_from_every_token(spark):
+    texts = [f"alpha w{i % 7} beta w{i % 5} gamma" for i in range(100_000)]  # more events than the sample had
+    docs = spark.createDataFrame(enumerate(texts), "doc_id long, text string").repartition(3)
+    top = lm.counted(docs).orderBy(F.desc("n"), "token").toArrow()
+    words = lm.Vocabulary(top["token"].to_numpy().view(np.uint64), top["n"].to_numpy(), 600_000, top.num_rows)
+    network = lm.trained(docs, words)
+    assert network.touched[network.inputs:].tolist() == [600_000] * (len(network.touched) - network.inputs)
+    assert network.touched[:network.inputs].sum() == 2 * 600_000
+
+
 def test_lm_of_nothing(none, docs):
     assert lm.scored(none, remainder(7) == 2).count() == 0
     alone = lm.scored(docs.where("doc_id is null"), remainder(7) == 2).collect()
