@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwright.llm import decontaminate, esais, fmindex, language, lm, pieces, privacy, quality, similar, tokenfile
+from tabwright.llm import (
+    centroids, decontaminate, divergence, esais, fmindex, language, lm, neighbours, pieces, privacy, quality, similar,
+    tokenfile,
+)
 from tabwright.llm.rows import remainder
 
 
@@ -64,11 +67,27 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(documents(spark, sf_dir), tokenizer_path(PIECES), {"doc_id": "bigint"})
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(embeddings(spark, sf_dir)).drop("scans")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(embeddings(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_language_id, op2_lm_scoring, op3_ngram_jaccard_join, op4_token_ids, op5_benchmark_decontamination,
         op6_personal_data, op7_quality_rules, op8_substring_dedup, op9_suffix_array_dedup,
-        op10_sentencepiece,
+        op10_sentencepiece, op11_centroid_clustering, op12_source_divergence, op13_embedding_dedup,
     )}
 
 
@@ -129,6 +148,73 @@ SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256
 FROM words LEFT JOIN kept USING (doc_id)"""
 
 
+def _op11(rounds: int = centroids.ROUNDS) -> str:
+    parts = ["""v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             """c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS INTEGER) AS c, q AS m FROM v QUALIFY c < 16)"""]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, q, c, m, CAST(list_sum(list_transform(list_zip(q, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+  FROM v CROSS JOIN c{r} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (
+  WITH s AS (SELECT c, i, CAST(floor(sum(q[i]) / count(*)) AS BIGINT) AS x FROM a{r}, unnest(range(1, 65)) AS t(i) GROUP BY c, i),
+  g AS (SELECT c, list(x ORDER BY i) AS m FROM s GROUP BY c)
+  SELECT c, coalesce(g.m, old.m) AS m FROM c{r} old LEFT JOIN g USING (c))""")
+    return f"""
+WITH {", ".join(parts)}
+SELECT vec_id, c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds}"""
+
+
+_OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS MATERIALIZED (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+n AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+v AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_size FROM kept GROUP BY lang),
+sizes AS (SELECT lang, source, sum(n) AS size FROM n GROUP BY lang, source),
+groups AS (
+  SELECT lang, source, coalesce(size, 0) AS size, coalesce(v, 0) AS v, coalesce(lang_size, 0) AS lang_size
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN sizes USING (lang, source) LEFT JOIN v USING (lang)),
+p AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n,
+         1 + (1000000000 * (coalesce(n.n, 0) + 5)) // (g.size + 5 * g.v) AS p,
+         1 + (1000000000 * (k.lang_n + 5)) // (g.lang_size + 5 * g.v) AS q
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r
+  FROM (FROM pairs UNION ALL FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank FROM ranked
+WHERE part = 'pair' OR r <= 50"""
+
+_OP13 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+reached(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM reached r JOIN links l ON l.x = r.y),
+classes AS (SELECT x AS vec_id, min(y) AS component_id FROM reached GROUP BY x),
+counts AS (SELECT x AS vec_id, count(*) AS n_links FROM links GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM classes LEFT JOIN counts USING (vec_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query and is fast enough on small tables."""
-    return {"op3_ngram_jaccard_join": _OP3, "op5_benchmark_decontamination": _OP5, "op8_substring_dedup": _OP8}
+    return {"op3_ngram_jaccard_join": _OP3, "op5_benchmark_decontamination": _OP5, "op8_substring_dedup": _OP8,
+            "op11_centroid_clustering": _op11(), "op12_source_divergence": _OP12, "op13_embedding_dedup": _OP13}
