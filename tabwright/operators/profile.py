@@ -12,6 +12,10 @@ import math
 from collections.abc import Sequence
 from dataclasses import astuple, dataclass
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -340,72 +344,59 @@ def correlation_matrix(df: DataFrame, names: Sequence[str] | None = None,
                        nan_as_null: bool = False) -> DataFrame:
     """Pearson for every pair of numeric columns over rows with both: (x, y, corr).
 
-    A first aggregate finds means and nulls. With the means subtracted and
-    nulls as zero, every pair then needs only plain sums of products, shared
-    between pairs; only columns with nulls need further sums, over the rows
-    where the other column has a value. Null for a constant column.
+    A first scan finds means and nulls. A second one turns each row into a
+    vector: 1, the values with the mean subtracted (nulls as zero), a presence
+    flag for each column with nulls, and squares if there is one. The matrix
+    of sums of products of this vector holds all sums of all pairs; every task
+    adds up its own, so that a task hands on a matrix, however many rows it has.
+    Null for a constant column.
     """
     names = as_list(names) or numeric_columns(df)
     require(df, *names)
     if len(names) < 2:
         raise ValueError("a correlation needs at least two numeric columns")
+    found = _number_measures(df, names, nan_as_null)
+    got = [found[n] for n in names]
+    varying = [bool(g["n"]) and g["low"] != g["high"] for g in got]
+    partial = [i for i, g in enumerate(got) if g["n"] < g["rows"] and varying[i]]
     raw = [present(df, n, nan_as_null).cast("double") for n in names]
-    fit = df.agg(F.count(F.lit(1)).alias("rows"), *[
-        f(raw[i]).alias(f"{label}{i}") for i in range(len(names))
-        for label, f in (("n", F.count), ("mean", F.avg), ("lo", F.min), ("hi", F.max))]).first()
-    partial = {i for i in range(len(names)) if fit[f"n{i}"] < fit["rows"]}
-    varying = {i for i in range(len(names)) if fit[f"lo{i}"] != fit[f"hi{i}"]}
-    centred = df.select(*[
-        c for i, x in enumerate(raw) for c in (
-            F.coalesce(x - F.lit(fit[f"mean{i}"]), F.lit(0.0)).alias(f"u{i}"),
-            x.isNotNull().cast("double").alias(f"m{i}"))])
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names)) if {i, j} <= varying]
-    sums = _sums_of_products(centred, pairs, partial)
+    centred = [F.coalesce(x - F.lit(g["mean"]), F.lit(0.0)) if v else F.lit(0.0) for x, g, v in zip(raw, got, varying)]
+    cells = [F.lit(1.0), *centred, *[raw[i].isNotNull().cast("double") for i in partial]]
+    if partial:
+        cells += [u * u for u in centred]
+    sums = _gram(df, cells, got[0]["rows"]) if any(varying) else None
+    mask = {i: 1 + len(names) + k for k, i in enumerate(partial)}
+
+    def moments(i: int, j: int) -> tuple[float, float]:
+        """Sum and sum of squares of column i over the rows in which column j has a value."""
+        if j not in mask:
+            return sums[1 + i, 0], sums[1 + i, 1 + i]
+        return sums[1 + i, mask[j]], sums[1 + len(names) + len(partial) + i, mask[j]]
+
     rows = []
     for i in range(len(names)):
         for j in range(i, len(names)):
-            value = _pearson(i, j, sums, partial, fit["rows"]) if {i, j} <= varying else None
+            value = None
+            if varying[i] and varying[j]:
+                value = _pearson(sums[mask.get(i, 0), mask.get(j, 0)], sums[1 + i, 1 + j], *moments(i, j), *moments(j, i))
             rows += [(names[x], names[y], value) for x, y in dict.fromkeys([(i, j), (j, i)])]
     return df.sparkSession.createDataFrame(rows, "x string, y string, corr double")
 
 
-def _keys(i: int, j: int, partial: set[int]) -> dict[str, tuple[str, ...]]:
-    """The factors of the sums a pair needs; presence flags only of columns with nulls."""
-    def seen(*places: int) -> tuple[str, ...]:
-        return tuple(f"m{p}" for p in dict.fromkeys(places) if p in partial)
-
-    of_i, of_j = (seen(j), seen(i)) if i != j else ((), ())
-    return {"n": seen(i, j), "xy": (f"u{i}", f"u{j}"),
-            "x": (f"u{i}", *of_i), "xx": (f"u{i}", f"u{i}", *of_i),
-            "y": (f"u{j}", *of_j), "yy": (f"u{j}", f"u{j}", *of_j)}
-
-
-def _sums_of_products(df: DataFrame, pairs: Sequence[tuple[int, int]], partial: set[int]) -> dict[str, float]:
-    """All sums from one scan: the products of a row become rows, which the map tasks add up by number."""
-    wanted = sorted({key for i, j in pairs for key in _keys(i, j, partial).values() if key})
-    if not wanted:
-        return {}
-    products = []
-    for key in wanted:
-        product = F.col(key[0])
-        for factor in key[1:]:
-            product = product * F.col(factor)
-        products.append(product)
-    found = df.select(F.posexplode(F.array(*products)).alias("i", "p")).groupBy("i").agg(F.sum("p").alias("s")).collect()
-    sums = {r["i"]: r["s"] for r in found}
-    return {"*".join(key): sums.get(i) for i, key in enumerate(wanted)}
-
-
-def _pearson(i: int, j: int, sums: dict[str, float], partial: set[int], rows: int) -> float | None:
-    s = {label: sums["*".join(key)] if key else float(rows)
-         for label, key in _keys(i, j, partial).items()}
-    if not s["n"]:
+def _gram(df: DataFrame, cells: Sequence[Column], rows: int) -> np.ndarray:
+    """The sums of all products of two cells of a row."""
+    vectors = MLUtils.convertVectorColumnsFromML(df.select(array_to_vector(F.array(*cells)).alias("v")), "v")
+    return RowMatrix(vectors, rows, len(cells)).computeGramianMatrix().toArray()
+
+
+def _pearson(n: float, xy: float, x: float, xx: float, y: float, yy: float) -> float | None:
+    if not n:
         return None
-    spread_x, spread_y = s["xx"] - s["x"] ** 2 / s["n"], s["yy"] - s["y"] ** 2 / s["n"]
+    spread_x, spread_y = xx - x ** 2 / n, yy - y ** 2 / n
     # below this share of the squares a spread is rounding: constant on these rows
-    if not (spread_x > ROUNDING * s["xx"] and spread_y > ROUNDING * s["yy"]):
+    if not (spread_x > ROUNDING * xx and spread_y > ROUNDING * yy):
         return None
-    return (s["xy"] - s["x"] * s["y"] / s["n"]) / (math.sqrt(spread_x) * math.sqrt(spread_y))
+    return float((xy - x * y / n) / (math.sqrt(spread_x) * math.sqrt(spread_y)))
 
 
 @dataclass(frozen=True)

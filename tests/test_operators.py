@@ -264,6 +264,24 @@ def test_nan_is_counted_and_can_be_left_out(numbers):
     assert cleaned.mean == pytest.approx(1.75) and cleaned.null_count == 2
 
 
+def test_correlation_of_200_columns_hands_on_one_matrix_per_task(spark, monkeypatch):
+    from tabwright.operators import profile
+
+    rng = np.random.default_rng(9)
+    table = rng.normal(size=(300, 200)) + rng.normal(size=(300, 1))
+    rows = [[None if j < 5 and (i + j) % 4 == 0 else float(v) for j, v in enumerate(row)] for i, row in enumerate(table)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{j} double" for j in range(200))).repartition(3)
+    widths, gram = [], profile._gram
+    monkeypatch.setattr(profile, "_gram", lambda d, cells, n: widths.append(len(cells)) or gram(d, cells, n))
+    found = {(r["x"], r["y"]): r["corr"] for r in tw.correlation_matrix(df).collect()}
+    assert len(found) == 200 * 200
+    assert widths == [1 + 200 + 5 + 200]  # a task hands on the products of that many cells, not rows
+    values = np.array([[math.nan if v is None else v for v in row] for row in rows])
+    for i, j in [(0, 1), (0, 199), (3, 3), (150, 2), (198, 199), (77, 78)]:
+        both = ~np.isnan(values[:, i]) & ~np.isnan(values[:, j])
+        assert found[f"c{i}", f"c{j}"] == pytest.approx(np.corrcoef(values[both, i], values[both, j])[0, 1], abs=1e-12)
+
+
 def test_correlation_equals_numpy_pair_by_pair(spark):
     rng = np.random.default_rng(5)
     data = rng.normal(size=(400, 7)) * [1, 10, 1e6, 1e-6, 1, 1, 1] + [0, 5, 1e9, 0, 0, 0, 3]
