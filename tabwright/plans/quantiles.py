@@ -2,11 +2,12 @@
 
 The built-in ``percentile`` keeps every distinct value in one buffer. Instead:
 
-* whole columns, all together: one aggregate of sketches puts every wanted rank
-  between two values, one grouped aggregate counts the rows around them, which
-  leaves a few ten-thousandths of the rows, and so on; what is left of all
-  columns is ranked in one last job. The number of rounds follows from the
-  number of rows alone, not from the values;
+* whole columns: a mergeable sketch (KLL) of each column puts every wanted rank
+  between two values; a second scan counts the rows up to them, and each of the
+  values between them if these are at most ``DIRECT_ROWS`` rows, a few thousandths
+  of all; if not, another round works on them alone. Each scan reads a column by itself,
+  several at a time. The number of rounds follows from the number of rows, not
+  from the values: a value that fills a bracket is one of its ends;
 * groups: the built-in where all groups are small; otherwise values are counted
   per group, ordered across many tasks, and the wanted ranks are read off the
   running totals.
@@ -19,40 +20,45 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tabwright.functions.schema import column, columns, present, same_key
+from tabwright.plans.jobs import aggregate_blocks
 from tabwright.plans.ordering import RUNNING, number_rows
 from tabwright.plans.skew import find_hot_keys
 
 DIRECT_ROWS = 100_000
-ACCURACY = 10_000
+#: Size of a sketch, and the share of the rows by which its ranks are taken to be off at most; where they are off
+#: by more, another round follows.
+SKETCH_SIZE, RANK_ERROR = 4096, 0.0015
 HOT_GROUP_ROWS = 250_000
 
 
 @dataclass
-class _Range:
-    """A closed range of values of a column, the rows below and inside it, and the positions wanted in it."""
+class _Gap:
+    """Values of a column strictly between two known ones (None: no bound), the rows below and inside, and the
+    positions wanted in it."""
 
     name: str
-    low: float
-    high: float
+    low: float | None
+    high: float | None
     below: int
     inside: int
     positions: list[int]
 
     @property
     def clusters(self) -> list[tuple[int, int]]:
-        """First and last of the positions that are neighbours, counted from the start of the range."""
+        """First and last of the positions that are neighbours."""
         found: list[list[int]] = []
         for position in sorted(self.positions):
             if found and position <= found[-1][1] + 1:
                 found[-1][1] = position
             else:
                 found.append([position, position])
-        return [(first - self.below, last - self.below) for first, last in found]
+        return [(first, last) for first, last in found]
 
 
 def exact_quantiles(df: DataFrame, names: Sequence[str], probs: Sequence[float],
@@ -69,23 +75,27 @@ def exact_quantiles(df: DataFrame, names: Sequence[str], probs: Sequence[float],
     values = {name: present(df, name, nan_as_null).cast("double") for name in names}
     if known is None:
         known = counts_and_bounds(df, values)
+    numbers = {n: F.when(~F.isnan(v), v) for n, v in values.items()}
+    sizes = {n: known[n][0] for n in names}
+    with_nan = [n for n in names if sizes[n] and math.isnan(known[n][2])]
+    if with_nan:
+        row = df.agg(*[F.count(numbers[n]).alias(str(i)) for i, n in enumerate(with_nan)]).first()
+        sizes |= {n: row[i] for i, n in enumerate(with_nan)}
     ranks = {(n, p): p * (known[n][0] - 1) for n in names if known[n][0] for p in probs}
     positions: dict[str, set[int]] = {}
     for (n, _), rank in ranks.items():
         positions.setdefault(n, set()).update((math.floor(rank), math.ceil(rank)))
-    waiting = [_Range(n, float(known[n][1]), float(known[n][2]), 0, known[n][0], sorted(wanted))
-               for n, wanted in positions.items()]
     found: dict[tuple[str, int], float] = {}
+    waiting = []
+    for n, wanted in positions.items():
+        found.update({(n, p): math.nan for p in wanted if p >= sizes[n]})
+        rest = sorted(p for p in wanted if p < sizes[n])
+        if known[n][1] == known[n][2]:
+            found.update({(n, p): float(known[n][1]) for p in rest})
+        elif rest:
+            waiting.append(_Gap(n, None, None, 0, sizes[n], rest))
     while waiting:
-        for r in waiting:
-            if r.low == r.high or math.isnan(r.low):
-                found.update({(r.name, p): r.low for p in r.positions})
-        open_ranges = [r for r in waiting if not (r.low == r.high or math.isnan(r.low))]
-        small = [r for r in open_ranges if r.inside <= direct_rows]
-        if small:
-            found.update(_looked_up(df, values, small))
-        large = [r for r in open_ranges if r.inside > direct_rows]
-        waiting = _narrowed(df, values, large, found) if large else []
+        waiting = _narrowed(df, numbers, waiting, found, direct_rows)
 
     def quantile(name: str, prob: float) -> float | None:
         if (name, prob) not in ranks:
@@ -105,75 +115,78 @@ def counts_and_bounds(df: DataFrame,
     return {n: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, n in enumerate(names)}
 
 
-def _within(value: Column, low: float | Column, high: float | Column) -> Column:
-    return (value >= low) & (value <= high)
-
-
-def _members(df: DataFrame, values: Mapping[str, Column], ranges: list[_Range]) -> DataFrame:
-    """(range, value) for each value in one of the ranges, which don't overlap within a column."""
-    cells = [F.struct(F.lit(i).alias("range"), F.when(
-        _within(values[r.name], r.low, r.high), values[r.name]).alias("value")) for i, r in enumerate(ranges)]
-    return df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull())
-
-
-def _per_range(entries: Sequence) -> Column:
-    """The entry of the row's range, each a number or a list of numbers."""
-    parts = [F.array(*[F.lit(x) for x in e]) if isinstance(e, list) else F.lit(e) for e in entries]
-    return F.get(F.array(*parts), F.col("range"))
-
-
-def _looked_up(df, values, ranges: list[_Range]) -> dict[tuple[str, int], float]:
-    """The values at the positions of ranges of at most ``direct_rows`` rows, in one job."""
-    cells = _members(df, values, ranges).groupBy("range", "value").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("range").orderBy("value"))
-    places = _per_range([[p - r.below for p in r.positions] for r in ranges])
-    hits = cells.withColumn("upto", upto).where(F.exists(
-        places, lambda p: (p < F.col("upto")) & (p >= F.col("upto") - F.col("n")))).collect()
-    return {(ranges[h["range"]].name, p): h["value"] for h in hits for p in ranges[h["range"]].positions
-            if h["upto"] - h["n"] <= p - ranges[h["range"]].below < h["upto"]}
-
-
-def _narrowed(df, values, ranges: list[_Range], found: dict[tuple[str, int], float]) -> list[_Range]:
-    """Smaller ranges for the positions of large ones, in two jobs; positions settled by them go to ``found``."""
-    slack = 2 / ACCURACY
-    sketches = []
-    for i, r in enumerate(ranges):
-        shares = [share for first, last in r.clusters for share in (
-            max(0.0, first / r.inside - slack), min(1.0, (last + 1) / r.inside + slack))]
-        value = F.when(_within(values[r.name], r.low, r.high), values[r.name])
-        sketches.append(F.percentile_approx(value, F.array(*[F.lit(s) for s in shares]), ACCURACY).alias(str(i)))
-    row = df.agg(*sketches).first()
-    ends = [list(row[i]) for i in range(len(ranges))]
-    widest = max(len(e) for e in ends)
-    x, exprs = F.col("value"), []
-    for k in range(widest):  # ranges with fewer ends repeat their last one
-        end = _per_range([e[min(k, len(e) - 1)] for e in ends])
-        exprs += [F.count_if(x < end).alias(f"less{k}"), F.count_if(x <= end).alias(f"upto{k}"),
-                  F.max(F.when(x < end, x)).alias(f"before{k}"), F.min(F.when(x > end, x)).alias(f"after{k}")]
-    rows = {c["range"]: c for c in _members(df, values, ranges).groupBy("range").agg(*exprs).collect()}
+def _between(x: Column, low: float | None, high: float | None) -> Column:
+    """The value where it lies strictly between the bounds, else null."""
+    if low is not None and high is not None:
+        return F.when((x > low) & (x < high), x)
+    return x if low is None and high is None else F.when(x > low if high is None else x < high, x)
+
+
+def _brackets(df: DataFrame, numbers: Mapping[str, Column], gaps: list[_Gap]) -> list[list[tuple[float, float]]]:
+    """For each gap the two values that enclose each cluster of its positions, by one sketch for each gap."""
+    blocks = []
+    for g in gaps:
+        shares = [s for first, last in g.clusters for s in (
+            max(0.0, (first - g.below) / g.inside - RANK_ERROR), min(1.0, (last + 1 - g.below) / g.inside + RANK_ERROR))]
+        sketch = F.kll_sketch_agg_double(_between(numbers[g.name], g.low, g.high), SKETCH_SIZE)
+        blocks.append([F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(s) for s in shares])).alias("ends")])
+    found = [row["ends"] for row in aggregate_blocks(df, blocks)]
+    return [list(zip(ends[::2], ends[1::2])) for ends in found]
+
+
+@dataclass
+class _Plan:
+    """The ends cut a gap into stretches: before the first end, equal to it, between it and the next one, and so on.
+    Of the stretches in ``listed`` every value counts by itself."""
+
+    gap: _Gap
+    ends: list[float]
+    listed: list[int]
+
+    def cells(self, df: DataFrame, x: Column, number: int) -> DataFrame:
+        place = sum(((x > e).cast("int") + (x >= e).cast("int") for e in self.ends), F.lit(0))
+        kept = df.select(_between(x, self.gap.low, self.gap.high).alias("x"), place.alias("s")).where("x is not null")
+        return kept.select(F.lit(number).alias("gap"), "s", F.when(F.col("s").isin(self.listed), F.col("x")).alias("v"))
+
+
+def _hits(df: DataFrame, numbers: Mapping[str, Column], plans: list[_Plan]) -> list[Row]:
+    """The stretches (gap, s, and v where listed) that hold a wanted position: rows in them, and up to their end.
+
+    Map tasks add up the rows of all gaps, each of which reads its column only.
+    """
+    cells = reduce(DataFrame.union, [p.cells(df, numbers[p.gap.name], i) for i, p in enumerate(plans)])
+    counted = cells.groupBy("gap", "s", "v").agg(F.count(F.lit(1)).alias("n"))
+    wanted = F.get(F.array(*[F.array(*[F.lit(q - p.gap.below) for q in p.gap.positions]) for p in plans]), F.col("gap"))
+    upto = F.sum("n").over(Window.partitionBy("gap").orderBy("s", "v"))
+    return counted.withColumn("upto", upto).where(F.exists(
+        wanted, lambda p: (p < F.col("upto")) & (p >= F.col("upto") - F.col("n")))).collect()
+
+
+def _narrowed(df: DataFrame, numbers: Mapping[str, Column], gaps: list[_Gap], found: dict[tuple[str, int], float],
+              direct_rows: int) -> list[_Gap]:
+    """One round: values at positions go to ``found``; what stays open comes back as smaller gaps."""
+    large = [g for g in gaps if g.inside > direct_rows]
+    brackets = dict(zip(map(id, large), _brackets(df, numbers, large))) if large else {}
+    plans = []
+    for g in gaps:
+        ends = sorted({e for pair in brackets.get(id(g), []) for e in pair})
+        listed = [] if ends else [0]
+        for (first, last), (low, high) in zip(g.clusters, brackets.get(id(g), [])):
+            if last + 1 - first + 2 * RANK_ERROR * g.inside <= direct_rows:
+                listed += range(2 * ends.index(low) + 2, 2 * ends.index(high) + 1, 2)
+        plans.append(_Plan(g, ends, listed))
     smaller = []
-    for i, r in enumerate(ranges):
-        c = rows[i]
-        # the ends in order cut the range into stretches: before, at and between them, and after
-        cuts = sorted({(c[f"less{k}"], c[f"upto{k}"], ends[i][k], c[f"before{k}"], c[f"after{k}"])
-                       for k in range(len(ends[i]))}, key=lambda cut: cut[:2])
-        start, low = 0, r.low
-        stretches: dict[tuple[int, int], _Range] = {}
-        for less, upto, value, before, after in cuts:
-            if less > start:
-                stretches[start, less] = _Range(r.name, low, before, r.below + start, less - start, [])
-            stretches[less, upto] = _Range(r.name, value, value, r.below + less, upto - less, [])
-            start, low = upto, after
-        if r.inside > start:
-            stretches[start, r.inside] = _Range(r.name, low, r.high, r.below + start, r.inside - start, [])
-        for position in r.positions:
-            place = position - r.below
-            part = next(part for (a, b), part in stretches.items() if a <= place < b)
-            if part.low == part.high or math.isnan(part.low):
-                found[r.name, position] = part.low
-            else:
-                part.positions.append(position)
-        smaller += [part for part in stretches.values() if part.positions]
+    for r in _hits(df, numbers, plans):
+        g, ends = plans[r["gap"]].gap, plans[r["gap"]].ends
+        upto = g.below + r["upto"]
+        here = [p for p in g.positions if upto - r["n"] <= p < upto]
+        value = ends[r["s"] // 2] if r["s"] % 2 else r["v"]
+        if value is not None:
+            found.update({(g.name, p): value for p in here})
+            continue
+        before, after = r["s"] // 2 - 1, r["s"] // 2
+        smaller.append(_Gap(g.name, ends[before] if before >= 0 else g.low, ends[after] if after < len(ends) else g.high,
+                            upto - r["n"], r["n"], here))
     return smaller
 
 
