@@ -143,9 +143,9 @@ def lower(t):
 
 
 @QUERIES.add("x3_length", """
-    SELECT doc_id, CAST(length(text) AS INTEGER) AS text_length FROM documents""")
+    SELECT *, CAST(length(text) AS INTEGER) AS text_length FROM documents""")
 def length(t):
-    return tw.text_column(t.documents, "text", "length").select("doc_id", "text_length")
+    return tw.text_column(t.documents, "text", "length")
 
 
 @QUERIES.add("x4_reverse", "SELECT * REPLACE (reverse(c_name) AS c_name) FROM customer")
@@ -153,6 +153,6 @@ def reverse(t):
     return tw.text_column(t.customer, "c_name", "reverse")
 
 
-@QUERIES.add("x5_contains_at", "SELECT doc_id, contains(text, '@') AS text_has_at FROM documents")
+@QUERIES.add("x5_contains_at", "SELECT *, contains(text, '@') AS text_has_at FROM documents")
 def contains_at(t):
-    return tw.contains_at(t.documents, "text").select("doc_id", "text_has_at")
+    return tw.contains_at(t.documents, "text")

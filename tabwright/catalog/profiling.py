@@ -121,31 +121,34 @@ def summary_approximate(t):
     return table.agg(F.array(*checks).alias("c")).select(F.inline("c"))
 
 
-def _feature_rows() -> str:
+def statistics_rows(table: str, numeric: tuple[str, ...], other: tuple[str, ...], top: bool = False) -> str:
+    """SQL for one row of statistics per column."""
     rows = []
-    for c in ALL:
-        if c in NUMERIC:
+    for c in numeric + other:
+        if c in numeric:
             x = f"CAST({c} AS DOUBLE)"
-            values = (f"round(avg({x}), 4), round(stddev_samp({x}), 4), min({x}), "
-                      f"quantile_cont({x}, 0.25), quantile_cont({x}, 0.5), "
-                      f"quantile_cont({x}, 0.75), max({x}), NULL, NULL, NULL, NULL, NULL")
+            values = [f"round({v}, 4)" for v in (
+                f"avg({x})", f"stddev_samp({x})", f"min({x})", f"quantile_cont({x}, 0.25)", f"quantile_cont({x}, 0.5)",
+                f"quantile_cont({x}, 0.75)", f"max({x})")] + ["NULL"] * 5
         else:
-            top = (f"(SELECT CAST({c} AS VARCHAR) FROM lineitem_n WHERE {c} IS NOT NULL GROUP BY {c} "
-                   f"ORDER BY count(*) DESC, {c} LIMIT 1)")
-            freq = (f"(SELECT count(*) FROM lineitem_n WHERE {c} IS NOT NULL GROUP BY {c} "
+            best = (f"(SELECT CAST({c} AS VARCHAR) FROM {table} WHERE {c} IS NOT NULL GROUP BY {c} "
+                    f"ORDER BY count(*) DESC, {c} LIMIT 1)")
+            freq = (f"(SELECT count(*) FROM {table} WHERE {c} IS NOT NULL GROUP BY {c} "
                     f"ORDER BY count(*) DESC LIMIT 1)")
-            values = (f"NULL, NULL, NULL, NULL, NULL, NULL, NULL, CAST(min({c}) AS VARCHAR), "
-                      f"CAST(max({c}) AS VARCHAR), count(DISTINCT {c}), {top}, {freq}")
-        rows.append(f"SELECT '{c}', count({c}), count(*) - count({c}), CAST(0 AS BIGINT), {values} "
-                    "FROM lineitem_n")
+            values = ["NULL"] * 7 + [f"CAST(min({c}) AS VARCHAR)", f"CAST(max({c}) AS VARCHAR)", f"count(DISTINCT {c})", best, freq]
+        rows.append(f"SELECT '{c}', count({c}), count(*) - count({c}), CAST(0 AS BIGINT), "
+                    f"{', '.join(values if top else values[:-3])} FROM {table}")
     names = ('feature, count, null_count, nan_count, mean, std, min, "25%", "50%", "75%", max, '
-             'min_text, max_text, "unique", top, freq')
+             'min_text, max_text') + (', "unique", top, freq' if top else "")
     return f"SELECT * FROM ({' UNION ALL '.join(rows)}) AS s({names})"
 
 
-@QUERIES.add("d3_feature_stats", f"WITH {LINEITEM_N} " + _feature_rows())
+_VALUES = dict.fromkeys(("mean", "std", "min", "25%", "50%", "75%", "max"), 4)
+
+
+@QUERIES.add("d3_feature_stats", f"WITH {LINEITEM_N} " + statistics_rows("lineitem_n", NUMERIC, OTHER, True))
 def feature_stats(t):
-    return rounded(tw.feature_stats(t.lineitem_n, top=True), mean=4, std=4)
+    return rounded(tw.feature_stats(t.lineitem_n, top=True), **_VALUES)
 
 
 @QUERIES.add("d4_type_split", """
@@ -216,14 +219,11 @@ def full_audit_events(t):
     return rounded(tw.full_audit(t.events), metric=6)
 
 
-_PAIRED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "const_col")
-
-
 @QUERIES.add("d10_correlation", f"WITH {LINEITEM_N} " + " UNION ALL ".join(f"""
     SELECT '{a}' AS x, '{b}' AS y, CASE WHEN isnan(c) THEN NULL ELSE round(c, 6) END AS corr
-    FROM (SELECT corr({a}, {b}) AS c FROM lineitem_n)""" for a in _PAIRED for b in _PAIRED))
+    FROM (SELECT corr({a}, {b}) AS c FROM lineitem_n)""" for a in NUMERIC for b in NUMERIC))
 def correlation(t):
-    return rounded(tw.correlation_matrix(t.lineitem_n, list(_PAIRED)), corr=6)
+    return rounded(tw.correlation_matrix(t.lineitem_n), corr=6)
 
 
 @QUERIES.add("d11_audit_severity", _lineitem_audit(_MISSING, _HIGH_SKEW, _CONSTANT)

@@ -1,6 +1,7 @@
 """Column transforms: fitted on the whole table, applied to every row."""
 
 import tabwright as tw
+from tabwright.catalog.profiling import statistics_rows
 from tabwright.catalog.registry import LINEITEM_N, Registry, rounded
 
 QUERIES = Registry()
@@ -11,10 +12,9 @@ def _customer(name: str, expression: str, kind: str, with_fit: str = "", **optio
     fit = f", (SELECT {with_fit} FROM customer) AS fit" if with_fit else ""
 
     @QUERIES.add(name, f"""
-        SELECT c_custkey, round({expression}, 6) AS c_acctbal FROM customer{fit}""")
+        SELECT customer.* REPLACE (round({expression}, 6) AS c_acctbal) FROM customer{fit}""")
     def build(t):
-        df = tw.select_columns(t.customer, ["c_custkey", "c_acctbal"])
-        return rounded(tw.transform(df, "c_acctbal", kind, **options), c_acctbal=6)
+        return rounded(tw.transform(t.customer, "c_acctbal", kind, **options), c_acctbal=6)
 
 
 _customer("t1_log", "CASE WHEN c_acctbal > -1 THEN ln(1 + c_acctbal) END", "log", shift=False)
@@ -34,32 +34,25 @@ _customer("t9_minmax_scale", "(c_acctbal - lo) / (hi - lo)", "minmax_scale",
 
 
 @QUERIES.add("t9_minmax_scale_constant", f"""
-    WITH {LINEITEM_N} SELECT l_orderkey, l_linenumber, const_col FROM lineitem_n""")
+    WITH {LINEITEM_N} SELECT * FROM lineitem_n""")
 def minmax_constant(t):
-    df = tw.select_columns(t.lineitem_n, ["l_orderkey", "l_linenumber", "const_col"])
-    return tw.transform(df, "const_col", "minmax_scale")
+    return tw.transform(t.lineitem_n, "const_col", "minmax_scale")
 
 
 def _fill(name: str, column: str, fit: str, kind: str, **options):
     """A fill of a lineitem column with injected nulls."""
     @QUERIES.add(name, f"""
         WITH {LINEITEM_N}, fit AS (SELECT {fit} AS v FROM lineitem_n)
-        SELECT l_orderkey, l_linenumber, l_extendedprice,
-               coalesce({column}, (SELECT v FROM fit)) AS {column} FROM lineitem_n""")
+        SELECT * REPLACE (coalesce({column}, (SELECT v FROM fit)) AS {column}) FROM lineitem_n""")
     def build(t):
-        df = tw.select_columns(t.lineitem_n,
-                               ["l_orderkey", "l_linenumber", "l_extendedprice", column])
-        return tw.transform(df, column, kind, **options)
+        return tw.transform(t.lineitem_n, column, kind, **options)
 
 
 @QUERIES.add("t10_fill_mean", f"""
     WITH {LINEITEM_N}, fit AS (SELECT avg(l_quantity) AS v FROM lineitem_n)
-    SELECT l_orderkey, l_linenumber, l_extendedprice,
-           round(coalesce(l_quantity, (SELECT v FROM fit)), 6) AS l_quantity FROM lineitem_n""")
+    SELECT * REPLACE (round(coalesce(l_quantity, (SELECT v FROM fit)), 6) AS l_quantity) FROM lineitem_n""")
 def fill_mean(t):
-    df = tw.select_columns(t.lineitem_n,
-                           ["l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"])
-    return rounded(tw.fill_nulls(df, "l_quantity", "mean"), l_quantity=6)
+    return rounded(tw.fill_nulls(t.lineitem_n, "l_quantity", "mean"), l_quantity=6)
 
 
 _fill("t11_fill_median", "l_quantity", "quantile_cont(l_quantity, 0.5)", "fill_median")
@@ -69,40 +62,33 @@ _fill("t11_fill_median", "l_quantity", "quantile_cont(l_quantity, 0.5)", "fill_m
     WITH {LINEITEM_N}, fit AS (
       SELECT l_returnflag AS v FROM lineitem_n WHERE l_returnflag IS NOT NULL
       GROUP BY l_returnflag ORDER BY count(*) DESC, l_returnflag LIMIT 1)
-    SELECT l_orderkey, l_linenumber, l_extendedprice,
-           coalesce(l_returnflag, (SELECT v FROM fit)) AS l_returnflag FROM lineitem_n""")
+    SELECT * REPLACE (coalesce(l_returnflag, (SELECT v FROM fit)) AS l_returnflag) FROM lineitem_n""")
 def fill_mode(t):
-    df = tw.select_columns(t.lineitem_n,
-                           ["l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag"])
-    return tw.fill_nulls(df, "l_returnflag", "mode")
+    return tw.fill_nulls(t.lineitem_n, "l_returnflag", "mode")
 
 
 @QUERIES.add("t13_fill_zero", f"""
     WITH {LINEITEM_N}
-    SELECT l_orderkey, l_linenumber, coalesce(l_tax, 0) AS l_tax FROM lineitem_n""")
+    SELECT * REPLACE (coalesce(l_tax, 0) AS l_tax) FROM lineitem_n""")
 def fill_zero(t):
-    df = tw.select_columns(t.lineitem_n, ["l_orderkey", "l_linenumber", "l_tax"])
-    return tw.fill_nulls(df, "l_tax", "zero")
+    return tw.fill_nulls(t.lineitem_n, "l_tax", "zero")
 
 
 @QUERIES.add("t13_fill_value", f"""
     WITH {LINEITEM_N}
-    SELECT l_orderkey, l_linenumber, coalesce(l_returnflag, 'none') AS l_returnflag
-    FROM lineitem_n""")
+    SELECT * REPLACE (coalesce(l_returnflag, 'none') AS l_returnflag) FROM lineitem_n""")
 def fill_value(t):
-    df = tw.select_columns(t.lineitem_n, ["l_orderkey", "l_linenumber", "l_returnflag"])
-    return tw.fill_nulls(df, "l_returnflag", "custom", value="none")
+    return tw.fill_nulls(t.lineitem_n, "l_returnflag", "custom", value="none")
 
 
 @QUERIES.add("t14_cap_outliers", """
     WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)
-    SELECT event_id, round(CASE WHEN value < q1 - 1.5 * (q3 - q1) THEN q1 - 1.5 * (q3 - q1)
-                                WHEN value > q3 + 1.5 * (q3 - q1) THEN q3 + 1.5 * (q3 - q1)
-                                ELSE value END, 6) AS value
+    SELECT events.* REPLACE (round(CASE WHEN value < q1 - 1.5 * (q3 - q1) THEN q1 - 1.5 * (q3 - q1)
+                                        WHEN value > q3 + 1.5 * (q3 - q1) THEN q3 + 1.5 * (q3 - q1)
+                                        ELSE value END, 6) AS value)
     FROM events, q""")
 def cap_outliers(t):
-    df = tw.select_columns(t.events, ["event_id", "value"])
-    return rounded(tw.transform(df, "value", "cap_outliers_iqr"), value=6)
+    return rounded(tw.transform(t.events, "value", "cap_outliers_iqr"), value=6)
 
 
 def _bins(name: str, count: int, kind: str, **options):
@@ -110,11 +96,10 @@ def _bins(name: str, count: int, kind: str, **options):
                      for i in range(1, count))
 
     @QUERIES.add(name, f"""
-        SELECT event_id, CASE WHEN value IS NULL THEN NULL {steps} ELSE 'Bin {count}' END AS value
+        SELECT events.* REPLACE (CASE WHEN value IS NULL THEN NULL {steps} ELSE 'Bin {count}' END AS value)
         FROM events, (SELECT min(value) AS lo, max(value) AS hi FROM events) AS fit""")
     def build(t):
-        df = tw.select_columns(t.events, ["event_id", "value"])
-        return tw.transform(df, "value", kind, **options)
+        return tw.transform(t.events, "value", kind, **options)
 
 
 _bins("t15_binning_5", 5, "binning_5")
@@ -125,34 +110,25 @@ _bins("t15_binning_8", 8, "binning", bins=8)
     WITH {LINEITEM_N}, codes AS (
       SELECT l_returnflag, row_number() OVER (ORDER BY l_returnflag) - 1 AS code
       FROM (SELECT DISTINCT l_returnflag FROM lineitem_n WHERE l_returnflag IS NOT NULL))
-    SELECT l_orderkey, l_linenumber, code AS l_returnflag
-    FROM lineitem_n LEFT JOIN codes USING (l_returnflag)""")
+    SELECT n.* REPLACE (code AS l_returnflag) FROM lineitem_n AS n LEFT JOIN codes AS c ON n.l_returnflag = c.l_returnflag""")
 def label_encode(t):
-    df = tw.select_columns(t.lineitem_n, ["l_orderkey", "l_linenumber", "l_returnflag"])
-    return tw.transform(df, "l_returnflag", "label_encode")
+    return tw.transform(t.lineitem_n, "l_returnflag", "label_encode")
 
 
 @QUERIES.add("t16_label_encode_many", """
     WITH codes AS (
       SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 AS c_name_code
       FROM (SELECT DISTINCT c_name FROM customer WHERE c_name IS NOT NULL))
-    SELECT c_custkey, c_name, c_name_code FROM customer LEFT JOIN codes USING (c_name)""")
+    SELECT customer.*, c_name_code FROM customer LEFT JOIN codes USING (c_name)""")
 def label_encode_many(t):
-    df = tw.select_columns(t.customer, ["c_custkey", "c_name"])
-    return tw.transform(df, "c_name", "label_encode", "c_name_code")
+    return tw.transform(t.customer, "c_name", "label_encode", "c_name_code")
 
 
-@QUERIES.add("t17_transform_profile", """
-    WITH changed AS (SELECT ln(1 + value) AS value FROM events),
-    m AS (SELECT count(*) AS n, count(value) AS c, avg(value) AS mean, stddev_samp(value) AS std,
-                 min(value) AS lo, max(value) AS hi FROM changed)
-    SELECT 'value' AS feature, c AS count, n - c AS null_count, round(mean, 6) AS mean,
-           round(std, 6) AS std, round(lo, 6) AS min, round(hi, 6) AS max FROM m""")
+@QUERIES.add("t17_transform_profile", "WITH changed AS (SELECT * REPLACE (ln(1 + value) AS value) FROM events) "
+             + statistics_rows("changed", ("event_id", "user_id", "value"), ("ts", "event_type", "props")))
 def transform_profile(t):
-    changed = tw.transform(tw.select_columns(t.events, ["value"]), "value", "log")
-    stats = tw.profile(changed).stats
-    return rounded(stats.select("feature", "count", "null_count", "mean", "std", "min", "max"),
-                   mean=6, std=6, min=6, max=6)
+    stats = tw.profile(tw.transform(t.events, "value", "log")).stats
+    return rounded(stats, **dict.fromkeys(("mean", "std", "min", "25%", "50%", "75%", "max"), 4))
 
 
 @QUERIES.add("t_drop_nulls", f"""

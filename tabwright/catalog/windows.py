@@ -35,12 +35,9 @@ def lag(t):
 
 
 @QUERIES.add("w5_lead", """
-    SELECT conv_id, turn, role,
-           lead(role, 2) OVER (PARTITION BY conv_id ORDER BY turn) AS role_lead_2
-    FROM conversations""")
+    SELECT *, lead(role, 2) OVER (PARTITION BY conv_id ORDER BY turn) AS role_lead_2 FROM conversations""")
 def lead(t):
-    result = tw.add_lag_lead(t.conversations, "conv_id", "turn", "role", 2, "lead")
-    return result.select("conv_id", "turn", "role", "role_lead_2")
+    return tw.add_lag_lead(t.conversations, "conv_id", "turn", "role", 2, "lead")
 
 
 @QUERIES.add("w6_cumsum", f"""
@@ -52,13 +49,24 @@ def cumsum(t):
                    o_totalprice_cumsum=2)
 
 
-@QUERIES.add("w7_dispatch", """
-    SELECT event_id, event_type,
-           row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS row_number
+_BY_TYPE = "OVER (PARTITION BY event_type ORDER BY ts, event_id)"
+_RANKED = "OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC)"
+
+
+@QUERIES.add("w7_dispatch", f"""
+    SELECT *, row_number() {_BY_TYPE} AS row_number, rank() {_RANKED} AS rank, dense_rank() {_RANKED} AS dense_rank,
+           lag(value, 2) {_BY_TYPE} AS value_lag_2, lead(value, 1) {_BY_TYPE} AS value_lead_1,
+           round(sum(value) {_BY_TYPE[:-1]} ROWS UNBOUNDED PRECEDING), 2) AS value_cumsum
     FROM events""")
 def dispatch(t):
-    result = tw.window_function(t.events, "row_number", "event_type", ["ts", "event_id"])
-    return result.select("event_id", "event_type", "row_number")
+    """All six functions by name, one after the other."""
+    order = ["ts", "event_id"]
+    df = tw.window_function(t.events, "row_number", "event_type", order)
+    for func in ("rank", "dense_rank"):
+        df = tw.window_function(df, func, "event_type", order)
+    df = tw.window_function(df, "lag", "event_type", order, "value", 2)
+    df = tw.window_function(df, "lead", "event_type", order, "value", 1)
+    return rounded(tw.window_function(df, "cumsum", "event_type", order, "value"), value_cumsum=2)
 
 
 # The same results by the route for hot keys: every order status counts as hot here.
