@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -224,27 +225,35 @@ def _shards(contents: DataFrame, method: Method) -> DataFrame:
     width = np.dtype(kind).itemsize
 
     def chunks(batches) -> Iterator[pa.Table]:
-        """Rows sorted by anchor, cut between anchors after about SHARD_CODES codes."""
+        """Rows sorted by anchor, cut between anchors after about SHARD_CODES codes, whatever a batch holds."""
+        limit = (8 if width == 8 else 2) * SHARD_CODES
         held, size = [], 0
         for batch in batches:
-            held.append(batch)
-            size += batch.column("content").nbytes
-            if size >= (8 if width == 8 else 2) * SHARD_CODES:
-                table = pa.Table.from_batches(held)
-                anchor = table["anchor"].to_numpy()
-                last = int(np.searchsorted(anchor, anchor[-1]))
-                if last:
-                    yield table.slice(0, last)
-                    held = table.slice(last).to_batches()
-                    size = sum(b.column("content").nbytes for b in held)
+            if not batch.num_rows:
+                continue
+            ends = np.cumsum(pc.binary_length(batch.column("content")).to_numpy())
+            stops = np.unique(np.append(np.searchsorted(ends, np.arange(1, ends[-1:].sum() // limit + 1) * limit), len(ends)))
+            for start, stop in zip(np.append(0, stops), stops):
+                part = batch.slice(start, stop - start)
+                held.append(part)
+                size += int(ends[stop - 1] - (ends[start - 1] if start else 0))
+                if size >= limit:
+                    table = pa.Table.from_batches(held)
+                    anchor = table["anchor"].to_numpy()
+                    last = int(np.searchsorted(anchor, anchor[-1]))
+                    if last:
+                        yield table.slice(0, last)
+                        held = table.slice(last).to_batches()
+                        size = sum(pc.sum(pc.binary_length(b.column("content"))).as_py() for b in held)
         if held:
             yield pa.Table.from_batches(held)
 
     def find(batches):
         for table in chunks(batches):
-            raw = table["content"].to_pylist()
-            codes = np.frombuffer(b"".join(raw), kind)
-            begins = np.concatenate([[0], np.cumsum([len(x) // width for x in raw])]).astype(np.int64)
+            raw = table["content"].cast(pa.large_binary()).combine_chunks()
+            ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset:raw.offset + len(raw) + 1]
+            codes = np.frombuffer(raw.buffers()[2], np.uint8)[ends[0]:ends[-1]].view(kind)
+            begins = (ends - ends[0]) // width
             found = method.search(codes, begins, table["order"].to_numpy())
             at, low, high = (np.array(x, np.int64) for x in (zip(*found) if found else ((), (), ())))
             yield pa.RecordBatch.from_arrays(
