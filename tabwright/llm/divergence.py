@@ -33,7 +33,7 @@ LEAST_DOCS = 30
 TOP_TERMS = 50
 SCALE, PRIOR = 1_000_000_000, 5
 #: Counts in a block of terms by sources, words that a task holds before it hands on their counts, rows of a batch.
-CELLS = 1 << 20
+CELLS = 1 << 16
 HELD = 1 << 21
 OUT = 50_000
 
