@@ -1,5 +1,7 @@
 """Joins, grouping, distinct, value counts, sorting, sampling."""
 
+from pyspark.sql import functions as F
+
 import tabwright as tw
 from tabwright.catalog.registry import LINEITEM_N, Registry, rounded
 
@@ -140,6 +142,26 @@ def topk(t):
     return tw.value_counts(t.events, "user_id", 10)
 
 
+_MIXED = """CASE WHEN l_orderkey % 10 < 3 THEN l_suppkey ELSE 1000000 + l_orderkey * 8 + l_linenumber END"""
+
+
+def _mixed(t):
+    """Seven tenths of the rows have a value of their own, the others share a few."""
+    return t.lineitem.withColumn("code", F.expr(_MIXED))
+
+
+@QUERIES.add("a5_topk_near_unique", f"""
+    SELECT {_MIXED} AS value, count(*) AS count FROM lineitem GROUP BY value ORDER BY count DESC, value LIMIT 10""")
+def topk_near_unique(t):
+    return tw.value_counts(_mixed(t), "code", 10)
+
+
+@QUERIES.add("a6_mode_near_unique", f"""
+    SELECT {_MIXED} AS code, count(*) AS count FROM lineitem GROUP BY code ORDER BY count DESC, code LIMIT 1""")
+def mode_near_unique(t):
+    return tw.mode(_mixed(t), "code")
+
+
 @QUERIES.add("a6_mode", f"""
     WITH {LINEITEM_N} SELECT l_returnflag, count(*) AS count FROM lineitem_n
     WHERE l_returnflag IS NOT NULL GROUP BY l_returnflag

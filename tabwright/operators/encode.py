@@ -15,7 +15,7 @@ from tabwright.functions.schema import (
     numeric_columns, require, type_of,
 )
 from tabwright.operators.profile import SKEW_LIMIT, Measured, measure
-from tabwright.operators.relational import modes
+from tabwright.operators.relational import most_frequent
 from tabwright.operators.transforms import attach_codes, label_codes
 from tabwright.plans.jobs import run_together
 from tabwright.plans.quantiles import exact_quantiles
@@ -236,7 +236,7 @@ def auto_clean(df: DataFrame, mask_pii: bool = False, max_levels: int = MAX_LEVE
     names = [n for n in categorical_columns(worked) if is_scalar(type_of(df, n))]
     medians, tops, levels = run_together(df.sparkSession, lambda fit: fit(), [
         lambda: _medians(df, {n: measured[n] for n in numbers}, accuracy),
-        lambda: {r["feature"]: r["top"] for r in modes(df, others).collect()} if others else {},
+        lambda: most_frequent(df, others) if others else {},
         lambda: levels_of(df, names, max_levels),
     ])
     fills = {n: F.coalesce(column(n).cast("double"), F.lit(v)) for n, v in medians.items()}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tabwright.functions.schema import (
     as_list, column, columns, is_hashable, present, require, type_of,
 )
+from tabwright.plans.frequent import top_counts
 from tabwright.plans.jobs import aggregate_blocks, run_together
 from tabwright.plans.skew import find_hot_keys
 
@@ -142,24 +143,37 @@ def unique_count(df: DataFrame, names: Sequence[str] | None = None,
 
 
 def value_counts(df: DataFrame, name: str, top: int | None = 10) -> DataFrame:
-    """Most frequent values, nulls left out, ties by value: (value, count)."""
+    """Most frequent values, nulls left out, ties by value: (value, count).
+
+    With ``top`` a summary of the column is made when called. Where it tells the
+    frequent values from the rest, only those are counted; all values are
+    counted where it doesn't, and without ``top``.
+    """
     require(df, name)
-    counts = (df.where(column(name).isNotNull())
-              .groupBy(column(name).alias("value")).agg(F.count(F.lit(1)).alias("count")))
-    if top is None:
-        return counts
-    return counts.orderBy(F.desc("count"), F.asc("value")).limit(top)
+    counts = None if top is None else top_counts(df, column(name), top)
+    if counts is None:
+        counts = _all_counts(df, column(name))
+    return counts if top is None else counts.orderBy(F.desc("count"), F.asc("value")).limit(top)
+
+
+def _all_counts(df: DataFrame, value: Column) -> DataFrame:
+    return df.where(value.isNotNull()).groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def mode(df: DataFrame, name: str) -> DataFrame:
     """Most frequent non-null value, the lowest on ties; no row when all are null.
 
-    Counting by group scales with the cluster; the built-in ``mode`` would hold
-    every distinct value in one buffer.
+    The built-in ``mode`` would hold every distinct value in one buffer.
     """
     return value_counts(df, name, top=1).select(F.col("value").alias(name), F.col("count"))
 
 
+def most_frequent(df: DataFrame, names: Sequence[str]) -> dict[str, str]:
+    """The mode of each column that has one, as text."""
+    rows = run_together(df.sparkSession, lambda n: mode(df, n).select(column(n).cast("string")).first(), list(names))
+    return {n: r[0] for n, r in zip(names, rows) if r is not None}
+
+
 def modes(df: DataFrame, names: Sequence[str], nan_as_null: bool = False) -> DataFrame:
     """Distinct count, mode and its frequency of several scalar columns.
 
