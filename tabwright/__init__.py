@@ -24,6 +24,7 @@ from tabwright.operators.relational import (
     drop_duplicates, group_and_aggregate, join_dataframes, mode, modes, row_count, sample_n,
     sort_data, top_n, unique_count, value_counts,
 )
+from tabwright.operators.states import audit_of, distinct_of, merge_states, profile_state, stats_of
 from tabwright.operators.transforms import Fitted, TRANSFORMS, fill_nulls, fit, label_codes, transform
 from tabwright.operators.windows import (
     add_lag_lead, add_rank, add_row_number, add_running_total, window_function,
@@ -33,7 +34,7 @@ from tabwright.sources.files import (
     preview, read_csv, read_parquet, schema_info, shape, write_csv, write_parquet,
 )
 from tabwright.sources.snapshots import (
-    Snapshot, load_snapshot, save_snapshot, transform_snapshot,
+    Snapshot, append_snapshot, load_snapshot, save_snapshot, transform_snapshot,
 )
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 import tabwright as tw
-from tabwright.catalog.registry import Registry
+from tabwright.catalog.profiling import _CONSTANT, _HIGH_SKEW, _MISSING, _lineitem_audit
+from tabwright.catalog.registry import Registry, rounded
 from tabwright.plans.storage import new_path
 
 QUERIES = Registry()
@@ -49,6 +50,27 @@ def snapshot(t):
     return stored.data.withColumn("version", F.lit(stored.version).cast("bigint"))
 
 
+@QUERIES.add("s5_append_audit", _lineitem_audit(_MISSING, _HIGH_SKEW, _CONSTANT) + """
+    SELECT *, CAST(3 AS BIGINT) AS version, (SELECT count(*) FROM lineitem) AS row_count FROM audit""")
+def append_audit(t):
+    """The table in three parts, two of them appended: the merged profile audits like the whole."""
+    path, part = new_path(t.spark, "snapshot"), F.col("l_orderkey") % 3
+    tw.save_snapshot(t.lineitem_n.where(part == 0), path, "lines")
+    for k in (1, 2):
+        tw.append_snapshot(t.lineitem_n.where(part == k), path)
+    stored = tw.load_snapshot(t.spark, path)
+    return rounded(stored.audit, metric=6).withColumns({
+        "version": F.lit(stored.version).cast("bigint"), "row_count": F.lit(stored.meta["row_count"]).cast("bigint")})
+
+
+@QUERIES.add("s5_append_data", "SELECT * FROM orders")
+def append_data(t):
+    path, part = new_path(t.spark, "snapshot"), F.col("o_orderkey") % 2
+    tw.save_snapshot(t.orders.where(part == 0), path)
+    tw.append_snapshot(t.orders.where(part == 1), path)
+    return tw.load_snapshot(t.spark, path).data
+
+
 @QUERIES.add("s7_schema_info", """
     SELECT s.*, n.row_count, CAST(6 AS BIGINT) AS column_count FROM (VALUES
       ('o_orderkey', 'LongType()', true), ('o_custkey', 'LongType()', true),
