@@ -31,7 +31,8 @@ from tabwright.operators.windows import (
 )
 from tabwright.sources.demo import generate_sales
 from tabwright.sources.files import (
-    preview, read_csv, read_parquet, schema_info, shape, write_csv, write_parquet,
+    bad_cell_counts, missing_audit_checked, preview, read_csv, read_csv_checked, read_parquet, schema_info, shape,
+    write_csv, write_parquet,
 )
 from tabwright.sources.snapshots import (
     Snapshot, append_snapshot, load_snapshot, save_snapshot, transform_snapshot,

@@ -151,15 +151,16 @@ def feature_stats(t):
     return rounded(tw.feature_stats(t.lineitem_n, top=True), **_VALUES)
 
 
-@QUERIES.add("d4_type_split", """
-    SELECT s.*, n.row_count FROM (VALUES
-      ('event_id', 'numeric', false), ('ts', 'categorical', false), ('user_id', 'numeric', false),
-      ('event_type', 'categorical', true), ('value', 'numeric', false),
-      ('props', 'categorical', true)) AS s("column", kind, encodable)
-    CROSS JOIN (SELECT count(*) AS row_count FROM events) AS n""")
+@QUERIES.add("d4_type_split", f"""
+    WITH {LINEITEM_N}, levels AS (
+      SELECT 'l_returnflag' AS "column", count(DISTINCT l_returnflag) AS levels FROM lineitem_n
+      UNION ALL SELECT 'l_linestatus', count(DISTINCT l_linestatus) FROM lineitem_n)
+    SELECT s.*, levels, levels = 2 AS binary, levels <= 1 AS constant FROM (VALUES
+      {", ".join(f"('{c}', 'numeric', false)" for c in NUMERIC)},
+      ('l_returnflag', 'categorical', true), ('l_linestatus', 'categorical', true), ('l_shipdate', 'categorical', false)
+    ) AS s("column", kind, encodable) LEFT JOIN levels USING ("column")""")
 def type_split(t):
-    rows = tw.row_count(t.events).first()[0]
-    return tw.type_split(t.events).withColumn("row_count", F.lit(rows).cast("bigint"))
+    return tw.type_split(t.lineitem_n, observed=True)
 
 
 @QUERIES.add("d5_missing_audit", _lineitem_audit(_MISSING) + " SELECT * FROM audit")

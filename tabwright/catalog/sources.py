@@ -20,6 +20,52 @@ def read_csv(t):
     return tw.read_csv(t.spark, path).withColumn("c_custkey", F.col("c_custkey").cast("bigint"))
 
 
+_SPOILT = "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING, since TIMESTAMP_NTZ"
+
+
+def _spoilt(t):
+    """customer as CSV in which some numbers and dates are unreadable and some missing."""
+    key = F.col("c_custkey")
+    df = t.customer.withColumns({
+        "c_nationkey": F.when(key % 11 == 0, F.concat(F.col("c_nationkey").cast("string"), F.lit("x"))).otherwise(F.col("c_nationkey").cast("string")),
+        "c_acctbal": F.when(key % 7 == 0, "n/a").when(key % 13 != 0, F.col("c_acctbal").cast("string")),
+        "since": F.when(key % 5 == 0, "last year").otherwise("2024-02-29 10:00:00"),
+    })
+    path = tw.write_csv(df, new_path(t.spark, "csv"))
+    return tw.read_csv_checked(t.spark, path, _SPOILT)
+
+
+@QUERIES.add("s1_read_csv_checked", """
+    SELECT c_custkey, c_name, CASE WHEN c_custkey % 11 <> 0 THEN c_nationkey END AS c_nationkey,
+           CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 13 <> 0 THEN c_acctbal END AS c_acctbal, c_mktsegment,
+           CASE WHEN c_custkey % 5 <> 0 THEN TIMESTAMP '2024-02-29 10:00:00' END AS since FROM customer""")
+def read_csv_checked(t):
+    return _spoilt(t)[0]
+
+
+@QUERIES.add("s1_bad_cells", """
+    WITH bad AS (
+      SELECT 'c_nationkey' AS "column", 'int' AS "type", CAST(c_nationkey AS VARCHAR) || 'x' AS text FROM customer WHERE c_custkey % 11 = 0
+      UNION ALL SELECT 'c_acctbal', 'double', 'n/a' FROM customer WHERE c_custkey % 7 = 0
+      UNION ALL SELECT 'since', 'timestamp_ntz', 'last year' FROM customer WHERE c_custkey % 5 = 0)
+    SELECT "column", "type", count(*) AS bad_cells, count(DISTINCT text) AS bad_texts, min(text) AS example
+    FROM bad GROUP BY 1, 2""")
+def bad_cells(t):
+    return tw.bad_cell_counts(_spoilt(t)[1])
+
+
+@QUERIES.add("s1_missing_audit_checked", """
+    WITH nulls AS (
+      SELECT 'c_nationkey' AS feature, count(*) FILTER (c_custkey % 11 = 0) AS n, n AS bad, count(*) AS rows FROM customer
+      UNION ALL SELECT 'c_acctbal', count(*) FILTER (c_custkey % 7 = 0 OR c_custkey % 13 = 0), count(*) FILTER (c_custkey % 7 = 0), count(*) FROM customer
+      UNION ALL SELECT 'since', count(*) FILTER (c_custkey % 5 = 0) AS n, n, count(*) FROM customer)
+    SELECT feature, 'Missing Values' AS issue, printf('%.1f%% Null', n / rows * 100) AS severity,
+           CASE WHEN feature = 'since' THEN 'Impute with Mode' ELSE 'Impute with Median/Mean' END AS action,
+           round(100.0 * n / rows, 6) AS metric, bad AS bad_cells FROM nulls WHERE n > 0""")
+def missing_checked(t):
+    return rounded(tw.missing_audit_checked(*_spoilt(t)), metric=6)
+
+
 @QUERIES.add("s2_read_parquet", f"SELECT {ORDERS} FROM orders")
 def read_parquet(t):
     return tw.read_parquet(t.spark, f"{t.folder}/orders.parquet")
@@ -71,18 +117,21 @@ def append_data(t):
     return tw.load_snapshot(t.spark, path).data
 
 
-@QUERIES.add("s7_schema_info", """
-    SELECT s.*, n.row_count, CAST(6 AS BIGINT) AS column_count FROM (VALUES
-      ('o_orderkey', 'LongType()', true), ('o_custkey', 'LongType()', true),
-      ('o_orderstatus', 'StringType()', true), ('o_totalprice', 'DoubleType()', true),
-      ('o_orderdate', 'TimestampNTZType()', true), ('o_orderpriority', 'StringType()', true)
-    ) AS s("column", "type", "nullable")
-    CROSS JOIN (SELECT count(*) AS row_count FROM orders) AS n""")
+_TYPES = {"o_orderkey": "LongType()", "o_custkey": "LongType()", "o_orderstatus": "StringType()",
+          "o_totalprice": "DoubleType()", "o_orderdate": "TimestampNTZType()", "o_orderpriority": "StringType()"}
+_TEXT = {"LongType()": "CAST(CAST({} AS DOUBLE) AS VARCHAR)", "DoubleType()": "CAST({} AS VARCHAR)"}
+
+
+@QUERIES.add("s7_schema_info", " UNION ALL ".join(f"""
+    SELECT '{c}' AS "column", '{k}' AS "type", true AS nullable, count({c}) AS count, count(*) - count({c}) AS null_count,
+           {'NULL' if k in _TEXT else f'CAST(min({c}) AS VARCHAR)'} AS min_text,
+           {'NULL' if k in _TEXT else f'CAST(max({c}) AS VARCHAR)'} AS max_text,
+           count({c}) = count(*) AND min({c}) = max({c}) AS is_constant FROM orders""" for c, k in _TYPES.items()))
 def schema_info(t):
-    size = tw.shape(t.orders).first()
-    return tw.schema_info(t.orders).withColumns({
-        "row_count": F.lit(size["row_count"]).cast("bigint"),
-        "column_count": F.lit(size["column_count"]).cast("bigint")})
+    info = tw.schema_info(t.orders, observed=True)
+    # the text of a floating number differs between engines
+    number = F.col("type").isin(*_TEXT)
+    return info.withColumns({n: F.when(~number, F.col(n)) for n in ("min_text", "max_text")})
 
 
 @QUERIES.add("s8_preview", f"SELECT {ORDERS} FROM orders ORDER BY o_orderkey LIMIT 5")

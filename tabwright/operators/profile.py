@@ -165,12 +165,23 @@ def column_metrics(df: DataFrame, names: Sequence[str] | None = None, nan_as_nul
     return df.sparkSession.createDataFrame([astuple(m) for m in found], _METRIC_SCHEMA)
 
 
-def type_split(df: DataFrame) -> DataFrame:
-    """(column, kind, encodable): numeric or categorical, and whether the encoders take it."""
-    encodable = set(categorical_columns(df, encodable_only=True))
+def type_split(df: DataFrame, observed: bool = False) -> DataFrame:
+    """(column, kind, encodable): numeric or categorical, and whether the encoders take it.
+
+    ``observed=True`` counts the distinct values of each encodable column: levels, and the flags
+    binary (two levels) and constant (at most one).
+    """
+    encodable = categorical_columns(df, encodable_only=True)
     rows = [(f.name, "numeric" if is_numeric(f.dataType) else "categorical", f.name in encodable)
             for f in df.schema.fields]
-    return df.sparkSession.createDataFrame(rows, "column string, kind string, encodable boolean")
+    split = df.sparkSession.createDataFrame(rows, "column string, kind string, encodable boolean")
+    if not observed:
+        return split
+    levels = {r["feature"]: r["unique"] for r in modes(df, encodable).collect()} if encodable else {}
+    counted = df.sparkSession.createDataFrame(
+        [(n, levels.get(n, 0), levels.get(n, 0) == 2, levels.get(n, 0) <= 1) for n in encodable],
+        "column string, levels bigint, binary boolean, constant boolean")
+    return split.join(counted, "column", "left")
 
 
 def describe_data(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
