@@ -9,9 +9,10 @@ from tabwright.operators.columns import (
     filter_rows, rename_column, replace_values, select_columns, text_column,
 )
 from tabwright.operators.encode import (
-    auto_clean, binary_encode, encode, encoded_preview, encoding_log, find_pii, fit_encoding,
-    one_hot, pii_log, scrub_pii,
+    Cleaning, Encoding, auto_clean, binary_encode, encode, encoded_preview, encoding_log, find_pii, fit_clean,
+    fit_encoding, one_hot, pii_log, scrub_pii,
 )
+from tabwright.operators.fitted import apply_fit, load_fit, save_fit
 from tabwright.operators.models import (
     classification_report, fit_pca, mse, pca, pca_summary, split_by_key, train_baseline,
 )

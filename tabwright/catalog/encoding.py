@@ -1,7 +1,10 @@
 """Masking, encoding, the cleaned table."""
 
+from pyspark.sql import functions as F
+
 import tabwright as tw
 from tabwright.catalog.registry import CUSTOMER_PII, LINEITEM_N, Registry, rounded
+from tabwright.plans.storage import new_path
 
 QUERIES = Registry()
 
@@ -117,3 +120,20 @@ def autoclean(t):
 def autoclean_skewed(t):
     """A skewed column, and one with too many levels for a column each."""
     return rounded(tw.auto_clean(t.events, max_levels=20), value=6)
+
+
+@QUERIES.add("c7_clean_saved", f"""
+    WITH {LINEITEM_N}, first AS (SELECT * FROM lineitem_n WHERE l_orderkey % 2 = 0),
+    fit AS (SELECT quantile_cont(l_quantity, 0.5) AS quantity, min(l_linestatus) AS lo, max(l_linestatus) AS hi FROM first),
+    top AS (SELECT l_returnflag AS flag FROM first WHERE l_returnflag IS NOT NULL
+            GROUP BY l_returnflag ORDER BY count(*) DESC, l_returnflag LIMIT 1),
+    filled AS (
+      SELECT n.* REPLACE (coalesce(l_quantity, quantity) AS l_quantity, coalesce(l_returnflag, flag) AS l_returnflag,
+                          CASE WHEN l_linestatus = lo THEN 0 WHEN l_linestatus = hi THEN 1 END AS l_linestatus)
+      FROM lineitem_n AS n, fit, top WHERE l_orderkey % 2 = 1)
+    SELECT * EXCLUDE (l_returnflag), {_flags("l_returnflag", ("A", "N", "R"))} FROM filled""")
+def clean_saved(t):
+    """Fitted on one half of the table, where l_tax is whole, saved, loaded, applied to the other half, where it's null."""
+    half = F.col("l_orderkey") % 2
+    path = tw.save_fit(t.spark, tw.fit_clean(t.lineitem_n.where(half == 0)), new_path(t.spark, "fit"))
+    return tw.apply_fit(t.lineitem_n.where(half == 1), tw.load_fit(t.spark, path))

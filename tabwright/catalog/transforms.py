@@ -3,6 +3,7 @@
 import tabwright as tw
 from tabwright.catalog.profiling import statistics_rows
 from tabwright.catalog.registry import LINEITEM_N, Registry, rounded
+from tabwright.plans.storage import new_path
 
 QUERIES = Registry()
 
@@ -131,6 +132,27 @@ def transform_profile(t):
     return rounded(stats, **dict.fromkeys(("mean", "std", "min", "25%", "50%", "75%", "max"), 4))
 
 
+@QUERIES.add("t17_saved_steps", """
+    WITH first AS (SELECT * FROM events WHERE event_id % 3 = 0),
+    q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM first),
+    capped AS (
+      SELECT events.* REPLACE (CASE WHEN value < q1 - 1.5 * (q3 - q1) THEN q1 - 1.5 * (q3 - q1)
+                                    WHEN value > q3 + 1.5 * (q3 - q1) THEN q3 + 1.5 * (q3 - q1) ELSE value END AS value) FROM events, q),
+    fit AS (SELECT avg(value) AS m, stddev_samp(value) AS s FROM capped WHERE event_id % 3 = 0),
+    codes AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS code
+              FROM (SELECT DISTINCT event_type FROM first WHERE event_type IS NOT NULL))
+    SELECT c.* REPLACE (round((value - m) / s, 6) AS value, code AS event_type)
+    FROM capped AS c, fit LEFT JOIN codes ON codes.event_type = c.event_type""")
+def saved_steps(t):
+    """Three transforms fitted on a third of the rows, saved, loaded, and applied to all."""
+    first, steps = t.events.where("event_id % 3 = 0"), []
+    for name, kind in (("value", "cap_outliers_iqr"), ("value", "standard_scale"), ("event_type", "label_encode")):
+        steps.append(tw.fit(first, name, kind))
+        first = steps[-1].apply(first)
+    path = tw.save_fit(t.spark, steps, new_path(t.spark, "fit"))
+    return rounded(tw.apply_fit(t.events, tw.load_fit(t.spark, path)), value=6)
+
+
 @QUERIES.add("t_drop_nulls", f"""
     WITH {LINEITEM_N} SELECT * FROM lineitem_n WHERE l_tax IS NOT NULL""")
 def drop_nulls(t):

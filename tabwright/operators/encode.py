@@ -215,6 +215,31 @@ def _medians(df: DataFrame, measured: Mapping[str, Measured],
     return {n: v[0] for n, v in exact_quantiles(df, list(known), [0.5], known).items()}
 
 
+@dataclass(frozen=True)
+class Cleaning:
+    """What ``fit_clean`` found out about a table; ``apply`` does the same to any table with its columns."""
+
+    medians: Mapping[str, float]
+    tops: Mapping[str, str]
+    shifts: Mapping[str, float | None]
+    encoding: Encoding
+    keep: tuple[str, ...] = ()
+    masks: PiiFindings = PiiFindings([], [])
+
+    def filled(self, df: DataFrame) -> DataFrame:
+        require(df, *self.medians, *self.tops, *self.shifts, *self.keep)
+        df = scrub_pii(df, findings=self.masks)
+        fills = {n: F.coalesce(column(n).cast("double"), F.lit(v)) for n, v in self.medians.items()}
+        fills |= {n: F.coalesce(column(n), F.lit(v).cast(type_of(df, n))) for n, v in self.tops.items()}
+        return df.withColumns(fills) if fills else df
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        df = self.filled(df)
+        logs = {n: numeric.log1p(column(n).cast("double"), None if shift is None else F.lit(shift))
+                for n, shift in self.shifts.items()}
+        return self.encoding.apply(df.withColumns(logs) if logs else df)
+
+
 def auto_clean(df: DataFrame, mask_pii: bool = False, max_levels: int = MAX_LEVELS,
                accuracy: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """A table ready for model training.
@@ -225,9 +250,19 @@ def auto_clean(df: DataFrame, mask_pii: bool = False, max_levels: int = MAX_LEVE
     ``max_levels``. Columns in ``keep`` stay as they are. Small aggregates fit
     the parameters, then one projection over the table applies them all.
     """
+    return fit_clean(df, mask_pii, max_levels, accuracy, keep).apply(df)
+
+
+def fit_clean(df: DataFrame, mask_pii: bool = False, max_levels: int = MAX_LEVELS,
+              accuracy: int | None = None, keep: Sequence[str] = ()) -> Cleaning:
+    """The parameters of ``auto_clean``, for use on other tables too.
+
+    There, a null of a column that had none here stays, and so does a level that was
+    not seen here: as null of two-level columns and codes, as all 0 of one-hot columns.
+    """
     require(df, *keep)
-    if mask_pii:
-        df = scrub_pii(df)
+    masks = find_pii(df) if mask_pii else PiiFindings([], [])
+    df = scrub_pii(df, findings=masks)
     worked = df.drop(*keep)
     measured = {m.feature: m for m in measure(worked)}
     gaps = [n for n, m in measured.items() if m.null_count and m.count]
@@ -239,20 +274,16 @@ def auto_clean(df: DataFrame, mask_pii: bool = False, max_levels: int = MAX_LEVE
         lambda: most_frequent(df, others) if others else {},
         lambda: levels_of(df, names, max_levels),
     ])
-    fills = {n: F.coalesce(column(n).cast("double"), F.lit(v)) for n, v in medians.items()}
-    fills |= {n: F.coalesce(column(n), F.lit(v).cast(type_of(df, n))) for n, v in tops.items()}
-    filled = df.withColumns(fills) if fills else df
-
+    filled = Cleaning(medians, tops, {}, Encoding()).filled(df)
     if numbers:
         measured.update({m.feature: m for m in measure(filled, numbers)})
-    logs = {}
+    shifts = {}
     for n in (n for n in numeric_columns(filled) if n not in keep):
         skew, low = measured[n].skew, measured[n].min
         if skew is not None and abs(skew) > SKEW_LIMIT:
-            logs[n] = numeric.log1p(column(n).cast("double"), F.lit(1.0 - low) if low <= 0 else None)
-    logged = filled.withColumns(logs) if logs else filled
-
+            shifts[n] = 1.0 - low if low <= 0 else None
     pairs = {n: tuple(v) for n, v in levels.items() if v is not None and len(v) == 2}
     rest = [n for n in names if n not in pairs and isinstance(type_of(df, n), T.StringType)]
     listed = {n: levels[n] for n in rest if levels[n] is not None}
-    return Encoding(pairs, listed, _codes(logged, [n for n in rest if n not in listed])).apply(logged)
+    coded = _codes(filled, [n for n in rest if n not in listed])
+    return Cleaning(medians, tops, shifts, Encoding(pairs, listed, coded), tuple(keep), masks)
