@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 import tabwright as tw
 from tabwright.catalog.registry import Registry, rounded
-from tabwright.operators.charts import KDE_GRID, NORMAL_95, VIOLIN_CUT, VIOLIN_GRID
+from tabwright.operators.charts import (
+    FACTORS, KDE_GRID, NORMAL_95, OFFSET, POISSON, PRIME, VIOLIN_CUT, VIOLIN_GRID,
+)
 
 QUERIES = Registry()
 
@@ -102,6 +104,29 @@ def line(t):
     return rounded(result, mean=4, low=4, high=4)
 
 
+def _steps(source: str, seed: int = 42) -> str:
+    """Sub-selects that carry the hash of a row through its rounds."""
+    sql = f"SELECT *, (row_no * {FACTORS[0]} + b * {FACTORS[1]} + {seed}) % {PRIME} AS h FROM {source}"
+    for factor in FACTORS[1:]:
+        sql = f"SELECT * REPLACE ((h * (h % 65536 + {factor}) + {OFFSET}) % {PRIME} AS h) FROM ({sql})"
+    return sql
+
+
+@QUERIES.add("v6_line_bootstrap", f"""
+    WITH numbered AS (
+      SELECT l_linenumber, l_returnflag, l_extendedprice AS y, (l_orderkey % {PRIME} * 31 + l_linenumber) % {PRIME} AS row_no FROM lineitem),
+    samples AS ({_steps("(SELECT * FROM numbered, (SELECT CAST(unnest(range(1, 101)) AS BIGINT) AS b))")}),
+    sums AS (
+      SELECT l_linenumber, l_returnflag, b, sum(w * y) / sum(w) AS m
+      FROM (SELECT *, {" + ".join(f"CAST(h >= {t} AS BIGINT)" for t in POISSON)} AS w FROM samples) GROUP BY ALL),
+    ends AS (SELECT l_linenumber, l_returnflag, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM sums GROUP BY ALL)
+    SELECT l_linenumber, l_returnflag, round(avg(y), 2) AS mean, count(*) AS n, round(any_value(low), 2) AS low, round(any_value(high), 2) AS high
+    FROM numbered JOIN ends USING (l_linenumber, l_returnflag) GROUP BY l_linenumber, l_returnflag""")
+def line_bootstrap(t):
+    result = tw.line(t.lineitem, "l_linenumber", "l_extendedprice", "l_returnflag", replicates=100, key=["l_orderkey", "l_linenumber"])
+    return rounded(result, mean=2, low=2, high=2)
+
+
 @QUERIES.add("v7_bar", """
     SELECT event_type, round(avg(value), 6) AS mean FROM events
     WHERE event_type IS NOT NULL AND value IS NOT NULL GROUP BY event_type""")

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabwright.functions.schema import (
     as_list, column, columns, is_numeric, numeric_columns, present, require,
@@ -220,8 +221,16 @@ def _group_means(df: DataFrame, x: str, y: str, hue: str | None, *extra: Column)
     return kept.groupBy(*columns(keys)).agg(F.avg(column(y)).alias("mean"), *extra)
 
 
-def line(df: DataFrame, x: str, y: str, hue: str | None = None) -> DataFrame:
-    """Mean of y per x (and hue) with a 95 % normal interval, null for a single row."""
+def line(df: DataFrame, x: str, y: str, hue: str | None = None, replicates: int | None = None,
+         key: str | Sequence[str] | None = None, seed: int = 42) -> DataFrame:
+    """Mean of y per x (and hue) with a 95 % interval.
+
+    Without ``replicates`` it is the normal one, null for a single row; with them
+    the percentile interval of that many bootstrap samples, repeatable by ``key``,
+    the columns that identify a row.
+    """
+    if replicates is not None:
+        return _bootstrapped(df, x, y, hue, replicates, key, seed)
     value = column(y).cast("double")
     means = _group_means(df, x, y, hue, F.stddev_samp(value).alias("__sd"),
                          F.count(F.lit(1)).alias("n"))
@@ -229,6 +238,55 @@ def line(df: DataFrame, x: str, y: str, hue: str | None = None) -> DataFrame:
     return means.withColumns({"low": F.col("mean") - half, "high": F.col("mean") + half}).drop("__sd")
 
 
+#: Modulus, factors and offset of the hash that draws weights, and the distribution function of Poisson(1) in its units.
+PRIME, FACTORS, OFFSET = 2_147_483_647, (48_271, 40_692, 69_621), 1_013_904_223
+POISSON = [int(PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(9)]
+
+
+def _row_number(df: DataFrame, names: Sequence[str]) -> Column:
+    """A number below PRIME for each row: from its key columns, whole numbers as they are and others by hash."""
+    number = F.lit(0).cast("bigint")
+    for n in names:
+        value = column(n).cast("bigint") if isinstance(type_of(df, n), T.IntegralType) else F.xxhash64(column(n))
+        number = (number * 31 + F.pmod(value, F.lit(PRIME))) % PRIME
+    return number
+
+
+def _weighed(df: DataFrame, seed: int) -> DataFrame:
+    """Adds ``__w``, how often the row ``__row`` is in the bootstrap sample ``__b``: Poisson(1), by a hash of both with
+    two products of its own digits. Sample 0 is the table itself. Each round is a column of its own, computed once."""
+    df = df.withColumn("__h", (F.col("__row") * FACTORS[0] + F.col("__b").cast("bigint") * FACTORS[1] + seed) % PRIME)
+    h = F.col("__h")
+    for factor in FACTORS[1:]:
+        df = df.withColumn("__h", (h * (h % 65_536 + factor) + OFFSET) % PRIME)
+    times = F.when(h < POISSON[0], 0)
+    for k, t in enumerate(POISSON[1:], 1):
+        times = times.when(h < t, k)
+    return df.withColumn("__w", F.when(F.col("__b") == 0, 1).otherwise(times.otherwise(len(POISSON))).cast("bigint"))
+
+
+def _bootstrapped(df: DataFrame, x: str, y: str, hue: str | None, replicates: int, key, seed: int) -> DataFrame:
+    """Every sample weighs every row; map tasks add up the sums of each group and sample in one aggregate."""
+    if replicates < 1:
+        raise ValueError("replicates must be at least 1")
+    names = as_list(key)
+    if not names:
+        raise ValueError("a bootstrap needs key=, the columns that identify a row")
+    _numeric(df, y)
+    require(df, *names)
+    keys = list(dict.fromkeys(n for n in (x, hue) if n))
+    kept = drop_nulls(df, [*keys, y])
+    drawn = kept.select(*columns(keys), column(y).cast("double").alias("__y"), _row_number(kept, names).alias("__row"),
+                        F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("__b"))
+    sums = _weighed(drawn, seed).groupBy(*columns(keys), "__b").agg(
+        F.sum("__w").alias("__n"), F.sum(F.col("__w") * F.col("__y")).alias("__s"))
+    mean, sample = F.try_divide("__s", "__n"), F.col("__b") > 0
+    ends = F.percentile(F.when(sample, mean), F.array(F.lit(0.025), F.lit(0.975)))
+    return sums.groupBy(*columns(keys)).agg(
+        F.max(F.when(~sample, mean)).alias("mean"), F.max(F.when(~sample, F.col("__n"))).alias("n"), ends.alias("__ends")).select(
+        *columns(keys), "mean", "n", F.get("__ends", F.lit(0)).alias("low"), F.get("__ends", F.lit(1)).alias("high"))
+
+
 def bar(df: DataFrame, x: str, y: str, hue: str | None = None) -> DataFrame:
     """Mean of y per x (and hue)."""
     return _group_means(df, x, y, hue)
