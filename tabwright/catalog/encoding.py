@@ -115,8 +115,9 @@ def autoclean(t):
 
 @QUERIES.add("c7_autoclean_skewed", f"""
     WITH codes AS (SELECT props, row_number() OVER (ORDER BY props) - 1 AS code FROM (SELECT DISTINCT props FROM events))
-    SELECT event_id, ts, user_id, round(ln(1 + value), 6) AS value, code AS props,
-           {_flags("event_type", EVENT_TYPES)} FROM events LEFT JOIN codes USING (props)""")
+    SELECT event_id, ts, user_id,
+           round(ln(1 + value + (SELECT CASE WHEN min(value) <= 0 THEN 1 - min(value) ELSE 0 END FROM events)), 6) AS value,
+           code AS props, {_flags("event_type", EVENT_TYPES)} FROM events LEFT JOIN codes USING (props)""")
 def autoclean_skewed(t):
     """A skewed column, and one with too many levels for a column each."""
     return rounded(tw.auto_clean(t.events, max_levels=20), value=6)

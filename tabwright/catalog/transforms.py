@@ -125,7 +125,9 @@ def label_encode_many(t):
     return tw.transform(t.customer, "c_name", "label_encode", "c_name_code")
 
 
-@QUERIES.add("t17_transform_profile", "WITH changed AS (SELECT * REPLACE (ln(1 + value) AS value) FROM events) "
+@QUERIES.add("t17_transform_profile", """
+    WITH changed AS (SELECT * REPLACE (ln(1 + value + (SELECT CASE WHEN min(value) <= 0 THEN 1 - min(value) ELSE 0 END FROM events)) AS value)
+                     FROM events) """
              + statistics_rows("changed", ("event_id", "user_id", "value"), ("ts", "event_type", "props")))
 def transform_profile(t):
     stats = tw.profile(tw.transform(t.events, "value", "log")).stats

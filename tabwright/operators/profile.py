@@ -26,7 +26,7 @@ from tabwright.functions.schema import (
 )
 from tabwright.operators.relational import modes
 from tabwright.plans.jobs import run_together
-from tabwright.plans.quantiles import exact_quantiles
+from tabwright.plans.quantiles import enclosing_values, exact_quantiles
 
 SKEW_LIMIT = 1.5
 ROUNDING = 1e-13
@@ -195,27 +195,30 @@ def describe_data(df: DataFrame, names: Sequence[str] | None = None) -> DataFram
 def summary_data(df: DataFrame, names: Sequence[str] | None = None,
                  accuracy: int | None = None) -> DataFrame:
     """As ``describe_data`` with 25 %, 50 % and 75 %, exact unless ``accuracy`` is given."""
-    found = measure(df, as_list(names) or scalar_columns(df))
-    return _long(df, found, _quartiles(df, found, accuracy, False))
+    return _long(df, *_measured_with_quartiles(df, as_list(names) or scalar_columns(df), accuracy, False))
 
 
 Quartiles = dict[str, list[float | None]]
 
 
-def _quartiles(df: DataFrame, found: Sequence[Measured], accuracy: int | None,
-               nan_as_null: bool) -> Quartiles:
-    numbers = [m for m in found if m.is_numeric]
+def _measured_with_quartiles(df: DataFrame, names: Sequence[str] | None, accuracy: int | None,
+                             nan_as_null: bool) -> tuple[list[Measured], Quartiles]:
+    """The measures and quartiles of the columns: measures and sketches in scans at the same time, then one scan."""
+    numbers = [n for n in as_list(names) or df.columns if is_numeric(type_of(df, n))]
     probs = list(QUARTILES.values())
+    found, enclosed = run_together(df.sparkSession, lambda work: work(), [
+        lambda: measure(df, names, nan_as_null),
+        lambda: {} if accuracy or not numbers else enclosing_values(df, numbers, probs, nan_as_null)])
     if not accuracy:
-        known = {m.feature: (m.count, m.min, m.max) for m in numbers}
-        quartiles = exact_quantiles(df, list(known), probs, known, nan_as_null)
+        known = {m.feature: (m.count, m.min, m.max) for m in found if m.is_numeric}
+        quartiles = exact_quantiles(df, list(known), probs, known, nan_as_null, enclosed=enclosed)
     else:
         row = df.agg(F.count(F.lit(1)), *[
-            F.percentile_approx(present(df, m.feature, nan_as_null).cast("double"), probs, accuracy).alias(str(i))
-            for i, m in enumerate(numbers)]).first()
-        quartiles = {m.feature: row[str(i)] or [None] * len(probs) for i, m in enumerate(numbers)}
+            F.percentile_approx(present(df, n, nan_as_null).cast("double"), probs, accuracy).alias(str(i))
+            for i, n in enumerate(numbers)]).first()
+        quartiles = {n: row[str(i)] or [None] * len(probs) for i, n in enumerate(numbers)}
     empty: list[float | None] = [None] * len(probs)
-    return {m.feature: quartiles.get(m.feature, empty) for m in found}
+    return found, {m.feature: quartiles.get(m.feature, empty) for m in found}
 
 
 def _long(df: DataFrame, found: Sequence[Measured], quartiles: Quartiles) -> DataFrame:
@@ -245,13 +248,15 @@ def feature_stats(df: DataFrame, top: bool = False, accuracy: int | None = None,
 
     unique, top and freq are given for non-numeric columns, as text.
     """
-    found = measure(df, None, nan_as_null)
-    stats = _stats(df, found, _quartiles(df, found, accuracy, nan_as_null))
+    others = [n for n in scalar_columns(df) if not is_numeric(type_of(df, n))] if top else []
+    (found, quartiles), best = run_together(df.sparkSession, lambda work: work(), [
+        lambda: _measured_with_quartiles(df, None, accuracy, nan_as_null),
+        lambda: modes(df, others) if others else None])
+    stats = _stats(df, found, quartiles)
     if not top:
         return stats
-    others = [n for n in scalar_columns(df) if not is_numeric(type_of(df, n))]
     if others:
-        return stats.join(modes(df, others), "feature", "left")
+        return stats.join(best, "feature", "left")
     return stats.withColumns({"unique": F.lit(None).cast("bigint"),
                               "top": F.lit(None).cast("string"),
                               "freq": F.lit(None).cast("bigint")})
@@ -425,7 +430,7 @@ class Profile:
 def profile(df: DataFrame, rules: AuditRules = STANDARD, accuracy: int | None = None,
             nan_as_null: bool = False) -> Profile:
     """Statistics, audit, column lists and shape from one shared pass (plus the quartiles)."""
-    found = measure(df, None, nan_as_null)
-    stats = _stats(df, found, _quartiles(df, found, accuracy, nan_as_null))
+    found, quartiles = _measured_with_quartiles(df, None, accuracy, nan_as_null)
+    stats = _stats(df, found, quartiles)
     return Profile(stats, _full(df, found, rules), numeric_columns(df), categorical_columns(df),
                    found[0].rows if found else 0, len(df.columns))
