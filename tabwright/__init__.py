@@ -22,8 +22,8 @@ from tabwright.operators.profile import (
     skew_audit, summary_data, type_split,
 )
 from tabwright.operators.relational import (
-    drop_duplicates, group_and_aggregate, join_dataframes, mode, modes, row_count, sample_n,
-    sort_data, top_n, unique_count, value_counts,
+    distinct_states, drop_duplicates, group_and_aggregate, join_dataframes, mode, modes, row_count, sample_n,
+    sort_data, top_n, unique_count, unique_of, value_counts,
 )
 from tabwright.operators.states import audit_of, distinct_of, merge_states, profile_state, stats_of
 from tabwright.operators.transforms import Fitted, TRANSFORMS, fill_nulls, fit, label_codes, transform
@@ -35,6 +35,7 @@ from tabwright.sources.files import (
     bad_cell_counts, missing_audit_checked, preview, read_csv, read_csv_checked, read_parquet, schema_info, shape,
     write_csv, write_parquet,
 )
+from tabwright.sources.layout import buckets_for, read_layout, write_layout
 from tabwright.sources.snapshots import (
     Snapshot, append_snapshot, load_snapshot, save_snapshot, transform_snapshot,
 )

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import tabwright as tw
+from tabwright.catalog.profiling import NUMERIC
 from tabwright.catalog.registry import Registry, rounded
 from tabwright.plans import storage
 
@@ -41,12 +42,12 @@ def pca_summary(t):
 
 
 @QUERIES.add("m1_pca_many", """
-    SELECT count(*) AS n, 4.0::DOUBLE AS total_variance, TRUE AS uncorrelated, TRUE AS falling FROM lineitem
-    WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL AND l_discount IS NOT NULL AND l_tax IS NOT NULL""")
+    SELECT count(*) AS n, 8.0::DOUBLE AS total_variance, TRUE AS uncorrelated, TRUE AS falling FROM lineitem
+    WHERE COLUMNS(*) IS NOT NULL""")
 def pca_many(t):
-    """All four components of four columns: they keep the whole variance, uncorrelated and in falling order."""
-    scores = tw.pca(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], k=4)
-    names = [f"PCA{i}" for i in range(1, 5)]
+    """All components of all numeric columns: they keep the whole variance, uncorrelated and in falling order."""
+    scores = tw.pca(t.lineitem, NUMERIC[:-1], k=8)
+    names = [f"PCA{i}" for i in range(1, 9)]
     pairs = [F.abs(F.corr(a, b)) < 1e-6 for i, a in enumerate(names) for b in names[i + 1:]]
     falling = [F.var_pop(a) >= F.var_pop(b) - 1e-9 for a, b in zip(names, names[1:])]
     return scores.agg(F.count(F.lit(1)).alias("n"), F.round(reduce(add, [F.var_pop(c) for c in names]), 6).alias("total_variance"),
@@ -69,6 +70,25 @@ def train_classifier(t):
     return predicted.select("conv_id", "label", support.alias("support"), F.lit(row[0] > 1 / row[1]).alias("beats_constant"))
 
 
+@QUERIES.add("m2_train_documents", f"""
+    SELECT doc_id, CAST(quality AS VARCHAR) AS label, CAST(count(*) OVER (PARTITION BY quality) AS BIGINT) AS support, TRUE AS beats_constant
+    FROM labels JOIN documents USING (doc_id) WHERE {_TEST.format("doc_id")}""")
+def train_documents(t):
+    """The labels of documents from the whole documents and measures of their texts."""
+    words = F.size(F.split("text", r"\s+"))
+    measured = t.documents.withColumns({
+        "n_words": words, "n_distinct": F.size(F.array_distinct(F.split("text", r"\s+"))),
+        "n_lines": F.size(F.split("text", "\n")), "n_distinct_lines": F.size(F.array_distinct(F.split("text", "\n"))),
+        "symbols": F.length(F.regexp_replace("text", r"[\p{L}\s]", "")) / F.greatest(F.length("text"), F.lit(1)),
+    })
+    labelled = t.labels.select("doc_id", "quality").join(measured, "doc_id")
+    predicted = storage.written(tw.train_baseline(labelled, "quality", "doc_id", "classification"), "predicted")
+    recall = predicted.groupBy("label").agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("r"))
+    row = recall.agg(F.avg("r"), F.count("*")).first()
+    support = F.count("*").over(Window.partitionBy("label"))
+    return predicted.select("doc_id", "label", support.alias("support"), F.lit(row[0] > 1 / row[1]).alias("beats_constant"))
+
+
 @QUERIES.add("m2_train_regressor", f"""
     SELECT p_name, round(CAST(p_retailprice AS DOUBLE), 4) AS label, TRUE AS beats_constant
     FROM part WHERE {_TEST.format("p_name")}""")

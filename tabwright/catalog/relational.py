@@ -1,9 +1,13 @@
 """Joins, grouping, distinct, value counts, sorting, sampling."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import tabwright as tw
 from tabwright.catalog.registry import LINEITEM_N, Registry, rounded
+from tabwright.plans import storage
 
 QUERIES = Registry()
 
@@ -135,6 +139,35 @@ def unique(t):
                                           "l_linestatus", "l_shipdate", "const_col"])
 
 
+_ROLLED = ("l_returnflag, l_linestatus", "l_returnflag", "")
+_COUNTED = ("l_orderkey", "l_partkey", "l_quantity", "l_shipdate")
+
+
+@QUERIES.add("a4_unique_rollup", f"WITH {LINEITEM_N}" + " UNION ALL ".join(f"""
+    SELECT {"l_returnflag" if "flag" in by else "CAST(NULL AS VARCHAR)"} AS l_returnflag,
+           {"l_linestatus" if "status" in by else "CAST(NULL AS VARCHAR)"} AS l_linestatus, '{n}' AS feature,
+           count(*) AS rows, count(DISTINCT {n}) + max(CASE WHEN {n} IS NULL THEN 1 ELSE 0 END) AS unique_count, TRUE AS within_bound
+    FROM lineitem_n {f"GROUP BY {by}" if by else ""}""" for by in _ROLLED for n in _COUNTED))
+def unique_rollup(t):
+    """From one table of states the distinct values of every group, of groups of groups and of all, with exact counts."""
+    table = t.lineitem_n
+    states = storage.written(tw.distinct_states(table, ["l_returnflag", "l_linestatus"], list(_COUNTED)), "states")
+    found = []
+    for by in _ROLLED:
+        keys = by.split(", ") if by else []
+        estimated = tw.unique_of(states, keys)
+        exact = table.groupBy(*keys).agg(F.array(*[F.struct(F.lit(n).alias("feature"), (
+            F.count_distinct(n) + F.max(F.col(n).isNull().cast("bigint"))).alias("unique_count")) for n in _COUNTED]).alias("s")).select(
+                *keys, F.inline("s")).withColumnsRenamed({k: f"k_{k}" for k in keys}).withColumnRenamed("feature", "k_feature")
+        same = F.col("feature") == F.col("k_feature")
+        for k in keys:
+            same &= F.col(k).eqNullSafe(F.col(f"k_{k}"))
+        found.append(estimated.join(exact, same).select(
+            *[F.col(k) if k in keys else F.lit(None).cast("string").alias(k) for k in ("l_returnflag", "l_linestatus")],
+            "feature", "rows", "unique_count", F.col("unique_count").between(F.col("low"), F.col("high")).alias("within_bound")))
+    return reduce(DataFrame.union, found)
+
+
 @QUERIES.add("a5_topk", """
     SELECT user_id AS value, count(*) AS count FROM events WHERE user_id IS NOT NULL
     GROUP BY user_id ORDER BY count DESC, value LIMIT 10""")

@@ -122,6 +122,35 @@ _TYPES = {"o_orderkey": "LongType()", "o_custkey": "LongType()", "o_orderstatus"
 _TEXT = {"LongType()": "CAST(CAST({} AS DOUBLE) AS VARCHAR)", "DoubleType()": "CAST({} AS VARCHAR)"}
 
 
+def _laid_out(t):
+    """orders and customer in buckets by customer."""
+    found = []
+    for name, df, sort_by in (("orders", t.orders.withColumnRenamed("o_custkey", "custkey"), ["o_orderdate", "o_orderkey"]),
+                              ("customer", t.customer.withColumnRenamed("c_custkey", "custkey"), [])):
+        path = new_path(t.spark, name)
+        found.append(tw.write_layout(df, f"laid_out_{path[-32:]}", path, "custkey", 8, sort_by))
+    return found
+
+
+@QUERIES.add("s4_layout_join", """
+    SELECT o.* RENAME (o_custkey AS custkey), c.* EXCLUDE (c_custkey) FROM orders AS o JOIN customer AS c ON o_custkey = c_custkey""")
+def layout_join(t):
+    return tw.join_dataframes(*_laid_out(t), "custkey", "inner")
+
+
+@QUERIES.add("s4_layout_windows", """
+    SELECT o.* RENAME (o_custkey AS custkey),
+           row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS row_number,
+           lag(o_totalprice, 1) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS o_totalprice_lag_1,
+           round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2)
+           AS o_totalprice_cumsum FROM orders AS o""")
+def layout_windows(t):
+    orders, order = _laid_out(t)[0], ["o_orderdate", "o_orderkey"]
+    df = tw.add_row_number(orders, "custkey", order)
+    df = tw.add_lag_lead(df, "custkey", order, "o_totalprice", 1, "lag")
+    return rounded(tw.add_running_total(df, "custkey", order, "o_totalprice"), o_totalprice_cumsum=2)
+
+
 @QUERIES.add("s7_schema_info", " UNION ALL ".join(f"""
     SELECT '{c}' AS "column", '{k}' AS "type", true AS nullable, count({c}) AS count, count(*) - count({c}) AS null_count,
            {'NULL' if k in _TEXT else f'CAST(min({c}) AS VARCHAR)'} AS min_text,

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.functions.schema import (
-    as_list, column, columns, is_hashable, present, require, type_of,
+    as_list, column, columns, is_floating, is_hashable, present, require, type_of,
 )
 from tabwright.plans.frequent import top_counts
 from tabwright.plans.jobs import aggregate_blocks, run_together
@@ -142,6 +142,41 @@ def unique_count(df: DataFrame, names: Sequence[str] | None = None,
         [(n, row["n"] or 0) for n, row in zip(names, rows)], "feature string, unique_count bigint")
 
 
+def distinct_states(df: DataFrame, by: str | Sequence[str], names: Sequence[str] | None = None, precision: int = 14) -> DataFrame:
+    """For each part of the table (a combination of ``by``) and column: (by..., feature, rows, nulls, state).
+
+    The states are sketches (HLL) of at most 2^precision bytes that merge: ``unique_of`` answers from them for any
+    parts together, without the table. All columns take one scan, whose map tasks merge by part.
+    """
+    keys = as_list(by)
+    names = as_list(names) or [f.name for f in df.schema.fields if is_hashable(f.dataType) and f.name not in keys]
+    require(df, *keys, *names)
+    exprs = []
+    for n in names:
+        value = column(n)
+        one = value + F.lit(0).cast(type_of(df, n)) if is_floating(type_of(df, n)) else value  # -0.0 is 0.0
+        exprs.append(F.struct(
+            F.lit(n).alias("feature"), F.count(F.lit(1)).alias("rows"), F.count_if(value.isNull()).alias("nulls"),
+            F.hll_sketch_agg(F.when(value.isNotNull(), F.xxhash64(one)), F.lit(precision)).alias("state")))
+    return df.groupBy(*columns(keys)).agg(F.array(*exprs).alias("__s")).select(*columns(keys), F.inline("__s"))
+
+
+def unique_of(states: DataFrame, by: str | Sequence[str] | None = None, precision: int = 14) -> DataFrame:
+    """Distinct values from states: (by..., feature, rows, unique_estimate, low, high), with null counted as one value.
+
+    ``by`` names the columns of the parts that are kept apart, the others are merged; filter the states to choose
+    parts. The count is between low and high with probability 0.997: the standard error is 1.04 / 2^(precision / 2).
+    """
+    keys = as_list(by)
+    error = 3 * 1.04 / math.sqrt(1 << precision)
+    merged = states.groupBy(*columns(keys), "feature").agg(
+        F.sum("rows").alias("rows"), (F.max("nulls") > 0).cast("bigint").alias("__null"),
+        F.hll_sketch_estimate(F.hll_union_agg("state")).alias("__n"))
+    n = F.col("__n")
+    return merged.select(*columns(keys), "feature", "rows", (n + F.col("__null")).alias("unique_estimate"),
+                         (F.floor(n * (1 - error)) + F.col("__null")).alias("low"), (F.ceil(n * (1 + error)) + F.col("__null")).alias("high"))
+
+
 def value_counts(df: DataFrame, name: str, top: int | None = 10) -> DataFrame:
     """Most frequent values, nulls left out, ties by value: (value, count).
 
