@@ -141,3 +141,44 @@ def report(t):
     WITH {_PREDICTED} SELECT round(avg(pow(quality - guess, 2)), 8) AS mse FROM predicted""")
 def mse(t):
     return rounded(tw.mse(_predicted(t), "quality", "guess"), mse=8)
+
+
+@QUERIES.add("m3_report_of_model", f"""
+    WITH test AS (SELECT CAST(role AS VARCHAR) AS class FROM conversations WHERE role IS NOT NULL AND {_TEST.format("conv_id")})
+    SELECT class, count(*) AS support, TRUE AS agrees FROM test GROUP BY class
+    UNION ALL SELECT total, count(*), TRUE FROM test, (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) AS t(total) GROUP BY total""")
+def report_of_model(t):
+    """The report on a trained forest's own predictions, and whether it agrees with plain counts of hits."""
+    predicted = storage.written(tw.train_baseline(t.conversations, "role", "conv_id", "classification"), "predicted")
+    hit = (F.col("label") == F.col("prediction")).cast("bigint")
+    own = predicted.groupBy(F.col("label").alias("class")).agg(F.sum(hit).alias("hits"), F.count("*").alias("n"))
+    chosen = predicted.groupBy(F.col("prediction").alias("class")).agg(F.count("*").alias("chosen"))
+    plain = own.join(chosen, "class", "left").select(
+        "class", F.coalesce(F.col("hits") / F.col("chosen"), F.lit(0.0)).alias("p"), (F.col("hits") / F.col("n")).alias("r"), "n")
+    f1 = F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0)
+    totals = plain.withColumn("f", f1).agg(
+        F.avg("p").alias("p"), F.avg("r").alias("r"), F.avg("f").alias("f"),
+        (F.sum(F.col("p") * F.col("n")) / F.sum("n")).alias("wp"), (F.sum(F.col("r") * F.col("n")) / F.sum("n")).alias("wr"),
+        (F.sum(F.col("f") * F.col("n")) / F.sum("n")).alias("wf")).first()
+    accuracy = predicted.agg(F.avg(hit.cast("double"))).first()[0]
+    rows = [("accuracy", None, None, accuracy), ("macro avg", totals["p"], totals["r"], totals["f"]),
+            ("weighted avg", totals["wp"], totals["wr"], totals["wf"])]
+    expected = plain.select("class", "p", "r", f1.alias("f")).union(
+        t.spark.createDataFrame(rows, "class string, p double, r double, f double"))
+    report = tw.classification_report(predicted, "label", "prediction").join(expected, "class")
+
+    def close(a, b):
+        return F.coalesce(F.abs(F.col(a) - F.col(b)) < 1e-9, F.col(a).isNull() & F.col(b).isNull())
+
+    return report.select("class", "support", (close("precision", "p") & close("recall", "r") & close("f1", "f")).alias("agrees"))
+
+
+@QUERIES.add("m4_mse_of_model", f"""
+    SELECT count(*) AS n, TRUE AS agrees, TRUE AS beats_mean FROM part WHERE {_TEST.format("p_name")}""")
+def mse_of_model(t):
+    """The error of a trained forest, whether it agrees with a plain mean, and whether it is below the labels' variance."""
+    predicted = storage.written(tw.train_baseline(t.part, "p_retailprice", "p_name", "regression"), "predicted")
+    error = tw.mse(predicted, "label", "prediction").first()[0]
+    plain = F.avg(F.pow(F.col("label") - F.col("prediction"), F.lit(2)))
+    return predicted.agg(F.count("*").alias("n"), (F.abs(plain - error) < 1e-6 * plain).alias("agrees"),
+                         (F.var_pop("label") > error).alias("beats_mean"))
