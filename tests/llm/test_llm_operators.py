@@ -89,6 +89,25 @@ def test_lm_learns_from_every_token(spark):
     assert network.touched[:network.inputs].sum() == 2 * 600_000
 
 
+def test_lm_ranks_written_once_are_those_of_the_texts(spark, docs, rows, monkeypatch):
+    top = lm.counted(docs).orderBy(F.desc("n"), "token").limit(50).toArrow()
+    words = lm.Vocabulary(top["token"].to_numpy().view(np.uint64), top["n"].to_numpy(), 10**6, 10**5)
+    found = [np.frombuffer(r["ranks"], np.int32).tolist() for r in lm.ranked(docs, words).collect()]
+    hashes = words.tokens.tolist()
+    expected = []
+    for _, text in rows:
+        batch = pa.array([text or ""], pa.string())
+        (texts,) = lm.slices(batch)
+        expected.append([hashes.index(t) if t in hashes else 50 for t in lm.tokens(texts)[0].tolist()])
+    assert sorted(found) == sorted(expected)
+    monkeypatch.setattr(lm, "SLICE", 40)
+    column = pa.array([np.array(r, np.int32).tobytes() for r in expected], pa.binary())
+    for part in (column, column[3:]):
+        ranks, firsts = zip(*lm.rank_slices(part))
+        whole = [rank[a:b].tolist() for rank, first in zip(ranks, firsts) for a, b in zip(first[:-1], first[1:])]
+        assert whole == (expected if part is column else expected[3:])
+
+
 def test_lm_of_nothing(none, docs):
     assert lm.scored(none, remainder(7) == 2).count() == 0
     alone = lm.scored(docs.where("doc_id is null"), remainder(7) == 2).collect()
@@ -385,8 +404,8 @@ def test_queries_with_sql_give_its_rows(spark):
 
 def test_every_query_gives_a_row_for_each_document(spark):
     every = queries.documents(spark, SMALL).count()
-    for name, build in queries.queries().items():
-        found = build(spark, SMALL)
+    others = {"op5_benchmark_decontamination", "op11_centroid_clustering", "op12_source_divergence", "op13_embedding_dedup"}
+    for name in queries.queries().keys() - others:
+        found = queries.queries()[name](spark, SMALL)
         assert "doc_id" in found.columns
-        if not name.startswith("op5_"):
-            assert found.count() == every, name
+        assert found.count() == every, name
