@@ -79,11 +79,28 @@ def sketches(units: np.ndarray) -> list[bytes]:
     return [a.tobytes() + b.tobytes() for a, b in zip(q.astype(np.int8), tail)]
 
 
-def _opened(sketch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The rounded vectors and the lengths of their errors."""
-    raw = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(sketch), -1)
+def _opened(sketch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The rounded vectors and the lengths of their errors, for sketches of one length."""
+    column = sketch.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2], np.uint8)[ends[0]:ends[-1]].reshape(len(column), -1)
     tail = np.ascontiguousarray(raw[:, -16:]).view(np.float64)
-    return raw[:, :-16].view(np.int8) * tail[:, :1], tail[:, 1]
+    return (raw[:, :-16].view(np.int8) * tail[:, :1]).astype(np.float32), tail[:, 1]
+
+
+def _close_pairs(x: np.ndarray, error: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs inside the groups whose vectors, each within its error of ``x``, may reach the threshold."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in np.flatnonzero(np.diff(begins) > 1):
+        a, b = begins[at], begins[at + 1]
+        off = float(error[a:b].max())
+        least = THRESHOLD - 2 * off - off * off - 1e-5  # the last for products in 32 bits
+        i, j = np.nonzero(x[a:b] @ x[a:b].T >= least)
+        later = i < j
+        if later.any():
+            left.append(i[later] + a)
+            right.append(j[later] + a)
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _lists(column) -> tuple[np.ndarray, np.ndarray]:
@@ -151,22 +168,20 @@ def candidates(signed: DataFrame) -> DataFrame:
     def bound(batches):
         for table, begins in whole_groups(batches, KEYS):
             own, low, high = (table[n].to_numpy() for n in ("own", "low", "high"))
-            sketch = table["sketch"].combine_chunks()
+            sketch, size = table["sketch"].combine_chunks(), table["place"].to_numpy()[begins[:-1]] // TABLES
             left, right = [], []
-            for at in np.flatnonzero(np.diff(begins) > 1):
-                a, b = begins[at], begins[at + 1]
-                x, error = _opened(sketch.slice(a, b - a).to_pylist())
-                most = x @ x.T
-                most += error[:, None] + error + error[:, None] * error  # |x - x'| <= error for either vector
-                i, j = np.nonzero(np.triu(most >= THRESHOLD - 1e-9, 1))
-                if low[a] != high[a]:
-                    apart = own[a + i] != own[a + j]
-                    i, j = i[apart], j[apart]
-                left.append(i + a)
-                right.append(j + a)
-            if left:
-                yield pa.RecordBatch.from_arrays(
-                    _partner_rows(table, (*KEYS, "node"), np.concatenate(left), np.concatenate(right)), schema=schema)
+            # groups of one size of vectors are neighbours
+            cuts = np.flatnonzero(np.append(True, size[1:] != size[:-1]))
+            for first, last in zip(cuts, np.append(cuts[1:], len(size))):
+                a, b = begins[first], begins[last]
+                i, j = _close_pairs(*_opened(sketch.slice(a, b - a)), begins[first:last + 1] - a)
+                i, j = i + a, j + a
+                apart = (low[i] == high[i]) | (own[i] != own[j])
+                left.append(i[apart])
+                right.append(j[apart])
+            left, right = np.concatenate(left), np.concatenate(right)
+            if len(left):
+                yield pa.RecordBatch.from_arrays(_partner_rows(table, (*KEYS, "node"), left, right), schema=schema)
 
     return by_group(members, KEYS).mapInArrow(lean(bound), ddl(result))
 

@@ -6,6 +6,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from brute import SMALL
@@ -160,8 +161,13 @@ def test_buckets_find_pairs_close_to_the_threshold():
     assert (a[:2000] == a[2000:]).mean() < 0.003  # unrelated vectors seldom share a bucket
     part = np.concatenate([neighbours.buckets(x[i:i + 7]) for i in range(0, 700, 7)])
     assert (part == a[:700]).all()  # batches of any size agree
-    q, error = neighbours._opened(neighbours.sketches(x))
-    assert (np.linalg.norm(q - x, axis=1) <= error).all() and error.max() < 0.05
+    q, error = neighbours._opened(pa.array(neighbours.sketches(x), pa.binary())[5:])
+    assert (np.linalg.norm(q - x[5:], axis=1) <= error + 1e-6).all() and error.max() < 0.05
+    units = np.concatenate([x[:300], y[:300]])
+    q, error = neighbours._opened(pa.array(neighbours.sketches(units), pa.binary()))
+    i, j = neighbours._close_pairs(q, error, np.array([0, 600]))
+    assert {(k, k + 300) for k in range(300)} <= set(zip(i.tolist(), j.tolist()))  # no pair at the threshold is lost
+    assert len(i) < 400
 
 
 def brute_divergence(rows):
