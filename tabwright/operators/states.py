@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from tabwright.functions.schema import column, is_floating, is_numeric, is_scalar, type_of
 from tabwright.operators.profile import AuditRules, Measured, STANDARD, _full, _stats, measure
+from tabwright.plans.jobs import aggregate_blocks
 
 RANK_SKETCH = 4096
 STATE_SCHEMA = ("feature string, place int, is_numeric boolean, rows bigint, count bigint, nan_count bigint, mean double, "
@@ -26,10 +27,11 @@ DIFFERENT = "feature string, distinct_estimate bigint"
 
 
 def profile_state(df: DataFrame) -> DataFrame:
-    """The state of a table, in two scans."""
+    """The state of a table: each column is read twice."""
     found = measure(df)
-    exprs = []
+    blocks = {}  # columns apart, several at a time
     for i, m in enumerate(found):
+        exprs = blocks.setdefault(i, [])
         value, dtype = column(m.feature), type_of(df, m.feature)
         if is_scalar(dtype):
             one = value + F.lit(0).cast(dtype) if is_floating(dtype) else value  # -0.0 is 0.0
@@ -38,7 +40,8 @@ def profile_state(df: DataFrame) -> DataFrame:
                 exprs.append(F.hll_sketch_agg(F.when(value.isNotNull(), F.xxhash64(one))).alias(f"different{i}"))
         if m.is_numeric and m.count > m.nan_count:
             exprs.append(F.kll_sketch_agg_double(value.cast("double"), RANK_SKETCH).alias(f"ranks{i}"))
-    got = df.agg(F.count(F.lit(1)), *exprs).first().asDict()
+    blocks = [b for b in blocks.values() if b]
+    got = {k: v for row in (aggregate_blocks(df, blocks) if blocks else []) for k, v in row.asDict().items()}
     rows = []
     for i, m in enumerate(found):
         m2 = m3 = None
