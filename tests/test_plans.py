@@ -109,6 +109,22 @@ def test_outer_joins_with_hot_keys_equal_the_plain_join(spark, how):
     assert key(plain) == key(split)
 
 
+def test_full_joins_hold_no_pairs_of_a_key(spark, monkeypatch):
+    left = spark.range(700).select((F.col("id") % 4).alias("k"), "id").union(spark.range(3).select(F.lit(None).cast("long"), "id"))
+    right = spark.range(60).select((F.col("id") % 3 + 2).cast("int").alias("k"), F.col("id").alias("w")).union(spark.range(2).select(F.lit(None), "id"))
+    plain = left.join(right, "k", "outer")
+    few = relational.join_dataframes(left, right, "k", "outer")
+    monkeypatch.setattr(relational, "PAIRS", 300)
+    many = relational.join_dataframes(left, right, "k", "outer")
+    for found in (few, many):
+        assert bag(found, *plain.columns) == bag(plain, *plain.columns)
+        assert "FullOuter" not in found._jdf.queryExecution().executedPlan().toString()
+    # 2 keys of 175 * 20 pairs, in 12 parts each
+    pairs = many.where("id is not null and w is not null")
+    sizes = [r["n"] for r in pairs.groupBy("k", F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 7000 and max(sizes) < 2500
+
+
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
 
 
