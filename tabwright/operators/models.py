@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
+import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from tabwright.functions.schema import (
 )
 from tabwright.operators.columns import drop_nulls
 from tabwright.operators.encode import auto_clean
+from tabwright.operators.profile import _gram
 from tabwright.plans.storage import written
 
 # The baseline's settings.
@@ -55,6 +56,8 @@ def fit_pca(df: DataFrame, names: Sequence[str] | None = None, hue: str | None =
             k: int = 2) -> Components:
     """Components of the standardised columns (population deviation), fitted on all complete rows.
 
+    A scan finds means and deviations; in a second one every task adds up the products of the standardised
+    columns in one matrix, and the components are those of this matrix of numbers for pairs of columns.
     The sign is fixed: the first loading of the largest size is positive.
     """
     names = as_list(names) or numeric_columns(df)
@@ -71,15 +74,20 @@ def fit_pca(df: DataFrame, names: Sequence[str] | None = None, hue: str | None =
     deviations = [row[f"s{i}"] for i in range(len(names))]
     scaled = [(column(n).cast("double") - F.lit(m)) / F.lit(d or 1.0)
               for n, m, d in zip(names, means, deviations)]
-    vectors = complete.select(array_to_vector(F.array(*scaled)).alias("v"))
-    model = PCA(k=min(k, len(names)), inputCol="v", outputCol="scores").fit(vectors)
+    if row["n"] < 2:
+        raise ValueError("components need two complete rows or more")
+    # the columns have mean 0, so the sums of products are the covariances
+    weights, spread, _ = np.linalg.svd(_gram(complete, scaled, row["n"]) / (row["n"] - 1))
+    with np.errstate(invalid="ignore"):
+        explained = spread / spread.sum()
+    k = min(k, len(names))
     loadings = []
-    for weights in model.pc.toArray().T:
-        largest = max(abs(w) for w in weights)
-        lead = next(w for w in weights if abs(w) > largest - 1e-9)
-        loadings.append([float(w if lead > 0 else -w) for w in weights])
+    for component in weights.T[:k]:
+        largest = max(abs(w) for w in component)
+        lead = next(w for w in component if abs(w) > largest - 1e-9)
+        loadings.append([float(w if lead > 0 else -w) for w in component])
     return Components(list(names), means, deviations, loadings,
-                      [float(v) for v in model.explainedVariance])
+                      [float(v) for v in explained[:k]])
 
 
 def pca(df: DataFrame, names: Sequence[str] | None = None, hue: str | None = None,

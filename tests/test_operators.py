@@ -415,6 +415,22 @@ def test_components_equal_numpy(spark):
         tw.pca(df.limit(0), ["a", "b"])
 
 
+def test_components_take_one_pass_after_the_means(spark, monkeypatch):
+    from tabwright.operators import models
+
+    rng = np.random.default_rng(8)
+    data = rng.normal(size=(400, 3)) @ rng.normal(size=(3, 5)) + rng.normal(size=(400, 5)) * 0.1 + [1e6, 0, -50, 3, 1]
+    df = spark.createDataFrame(data.tolist(), list("abcde"))
+    passes, gram = [], models._gram
+    monkeypatch.setattr(models, "_gram", lambda *a: passes.append(a) or gram(*a))
+    fitted = tw.fit_pca(df, list("abcde"), k=5)
+    values, vectors = np.linalg.eigh(np.corrcoef(data.T))
+    assert len(passes) == 1 and np.allclose(fitted.explained, values[::-1] / 5)
+    assert np.allclose(np.abs(fitted.loadings), np.abs(vectors.T[::-1]))
+    with pytest.raises(ValueError):
+        tw.fit_pca(df.limit(1), ["a", "b"])
+
+
 def test_split_is_stable_and_models_learn(spark):
     df = spark.range(2000).select("id", (F.col("id") % 10).alias("f"),
                                   F.when(F.col("id") % 10 < 5, "low").otherwise("high").alias("y"),
