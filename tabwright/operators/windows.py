@@ -8,26 +8,58 @@ plain window.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwright.functions.schema import as_list, column, columns, require, row_hash, same_key, type_of
-from tabwright.plans.ordering import POSITION, RUNNING, number_rows
-from tabwright.plans.skew import HotKeys, find_hot_keys
-from tabwright.plans.storage import written
+from tabwright.functions.schema import as_list, column, columns, require, row_hash, type_of
+from tabwright.plans.ordering import POSITION, RUNNING, Placed, place
+from tabwright.plans.skew import find_hot_keys
 
 Names = str | Sequence[str]
 
 
-def _split(df: DataFrame, keys: list[str], hot_rows: int | None,
-           plain: Callable[[DataFrame], DataFrame],
-           large: Callable[[DataFrame, HotKeys], DataFrame]) -> DataFrame:
-    hot = find_hot_keys(df, keys, hot_rows)
-    if hot is None:
-        return plain(df)
-    done = large(hot.rows_of(df), hot)
-    return done if hot.covers_all else done.unionByName(plain(hot.rest_of(df)))
+@dataclass(frozen=True)
+class _Way:
+    """What the functions before left for the next one with the same keys and order: the placed rows of the
+    hot keys, and the other rows."""
+
+    keys: list[str]
+    order: list[str]
+    hot_rows: int | None
+    placed: Placed
+    rest: DataFrame | None
+
+
+#: For results of functions by the way for hot keys, as long as they are in use.
+_ways: WeakKeyDictionary[DataFrame, _Way] = WeakKeyDictionary()
+
+
+def _split(df: DataFrame, keys: list[str], order: list[str], hot_rows: int | None, output: str,
+           plain: Callable[[DataFrame], DataFrame], large: Callable[[Placed], DataFrame]) -> DataFrame:
+    """Add ``output`` by the plain window, and by ``large`` for the rows of hot keys.
+
+    Several functions over the same keys and order, each on the result of the one before, place the rows
+    once; ties then go by the hash of the row as it was at the first.
+    """
+    way = _ways.get(df)
+    if way is None or (way.keys, way.order, way.hot_rows) != (keys, order, hot_rows):
+        hot = find_hot_keys(df, keys, hot_rows)
+        if hot is None:
+            return plain(df)
+        placed = place(hot.rows_of(df), keys, _ordered(df, order), hot.rows)
+        way = _Way(keys, order, hot_rows, replace(placed, order=tuple(order)), None if hot.covers_all else hot.rest_of(df))
+    done = way.placed.with_rows(large(way.placed), output)
+    rest = None if way.rest is None else plain(way.rest)
+    names = list(dict.fromkeys([*df.columns, output]))
+    result = done.rows.select(*columns(names))
+    if rest is not None:
+        result = result.unionByName(rest)
+    if output not in keys + order:
+        _ways[result] = replace(way, placed=done, rest=rest)
+    return result
 
 
 def _checked(df: DataFrame, partition_by: Names, order_by: Names, *others: str):
@@ -38,11 +70,6 @@ def _checked(df: DataFrame, partition_by: Names, order_by: Names, *others: str):
     return keys, order
 
 
-def _numbered(df: DataFrame, keys: list[str], order: list[str], hot: HotKeys,
-              weight: Column | None = None) -> DataFrame:
-    return number_rows(df, keys, _ordered(df, order), hot.rows, weight)
-
-
 def _ordered(df: DataFrame, order: list[str]) -> list[Column]:
     """The order of every window here: ties go by the hash of the row, however many rows a key has."""
     return columns(order) + [row_hash(df)]
@@ -54,14 +81,13 @@ def add_row_number(df: DataFrame, partition_by: Names, order_by: Names,
     keys, order = _checked(df, partition_by, order_by)
     window = Window.partitionBy(*columns(keys)).orderBy(*_ordered(df, order))
 
-    def large(rows: DataFrame, hot: HotKeys) -> DataFrame:
-        placed = _numbered(rows, keys, order, hot)
-        return placed.withColumn(output, F.col(POSITION)).drop(POSITION)
+    def large(placed: Placed) -> DataFrame:
+        return placed.numbered().withColumn(output, F.col(POSITION)).drop(POSITION)
 
     def plain(rows: DataFrame) -> DataFrame:
         return rows.withColumn(output, F.row_number().over(window).cast("bigint"))
 
-    return _split(df, keys, hot_rows, plain, large)
+    return _split(df, keys, order, hot_rows, output, plain, large)
 
 
 def add_rank(df: DataFrame, partition_by: Names, order_by: Names, kind: str = "rank",
@@ -75,22 +101,13 @@ def add_rank(df: DataFrame, partition_by: Names, order_by: Names, kind: str = "r
     down = [column(o).desc() for o in order]
     window = Window.partitionBy(*columns(keys)).orderBy(*down)
 
-    def large(rows: DataFrame, hot: HotKeys) -> DataFrame:
-        # ranks depend on the distinct order values only, so those are numbered
-        names = list(dict.fromkeys(keys + order))
-        steps = rows.groupBy(*columns(names)).agg(F.count(F.lit(1)).alias("__n"))
-        placed = number_rows(steps, keys, down, hot.rows, weight=F.col("__n"))
-        value = F.col(POSITION) if kind == "dense_rank" else F.col(RUNNING) - F.col("__n") + 1
-        aliases = {name: f"__step_{i}" for i, name in enumerate(names)}
-        ranks = placed.select(*[column(n).alias(a) for n, a in aliases.items()],
-                              value.alias(output))
-        joined = rows.join(ranks, same_key(rows, ranks, list(aliases.items())), "left")
-        return joined.drop(*aliases.values())
+    def large(placed: Placed) -> DataFrame:
+        return placed.ranked_down(kind, output)
 
     def plain(rows: DataFrame) -> DataFrame:
         return rows.withColumn(output, functions[kind]().over(window).cast("bigint"))
 
-    return _split(df, keys, hot_rows, plain, large)
+    return _split(df, keys, order, hot_rows, output, plain, large)
 
 
 def add_lag_lead(df: DataFrame, partition_by: Names, order_by: Names, target: str,
@@ -103,22 +120,13 @@ def add_lag_lead(df: DataFrame, partition_by: Names, order_by: Names, target: st
     output = f"{target}_{kind}_{offset}"
     window = Window.partitionBy(*columns(keys)).orderBy(*_ordered(df, order))
 
-    def large(rows: DataFrame, hot: HotKeys) -> DataFrame:
-        # written once: both sides of the join must see the same positions
-        placed = written(_numbered(rows, keys, order, hot), "positions")
-        step = offset if kind == "lag" else -offset
-        aliases = {key: f"__of_{i}" for i, key in enumerate(keys)}
-        others = placed.select(*[column(k).alias(a) for k, a in aliases.items()],
-                               (F.col(POSITION) + step).alias("__for"),
-                               column(target).alias(output))
-        joined = placed.join(others, same_key(placed, others, list(aliases.items()))
-                             & (placed[POSITION] == others["__for"]), "left")
-        return joined.select(*columns(df.columns), column(output))
+    def large(placed: Placed) -> DataFrame:
+        return placed.shifted(target, offset if kind == "lag" else -offset, output)
 
     def plain(rows: DataFrame) -> DataFrame:
         return rows.withColumn(output, functions[kind](column(target), offset).over(window))
 
-    return _split(df, keys, hot_rows, plain, large)
+    return _split(df, keys, order, hot_rows, output, plain, large)
 
 
 def add_running_total(df: DataFrame, partition_by: Names, order_by: Names, target: str,
@@ -132,12 +140,11 @@ def add_running_total(df: DataFrame, partition_by: Names, order_by: Names, targe
     def plain(rows: DataFrame) -> DataFrame:
         return rows.withColumn(output, F.sum(column(target)).over(window))
 
-    def large(rows: DataFrame, hot: HotKeys) -> DataFrame:
-        placed = _numbered(rows, keys, order, hot, weight=column(target))
-        kept = placed.withColumn(output, F.col(RUNNING).cast(type_of(plain(rows), output)))
-        return kept.drop(POSITION, RUNNING)
+    def large(placed: Placed) -> DataFrame:
+        total = F.col(RUNNING).cast(type_of(plain(df), output))
+        return placed.numbered(column(target), target).withColumn(output, total).drop(POSITION, RUNNING)
 
-    return _split(df, keys, hot_rows, plain, large)
+    return _split(df, keys, order, hot_rows, output, plain, large)
 
 
 def window_function(df: DataFrame, function: str, partition_by: Names, order_by: Names,

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabwright.operators import profile, relational, transforms, windows
+from tabwright.plans import ordering
 from tabwright.plans.ordering import POSITION, RUNNING, number_rows
 from tabwright.plans.quantiles import exact_quantiles, grouped_quantiles
 from tabwright.plans.skew import find_hot_keys
@@ -81,6 +82,35 @@ def test_running_totals_by_range_equal_the_plain_window(skewed, target):
     assert plain.dtypes == split.dtypes
 
 
+def chain(df, hot_rows=None):
+    order = ["o", "id"]
+    for name, extra in (("row_number", {}), ("rank", {}), ("dense_rank", {}), ("lag", {"target": "v", "offset": 2}),
+                        ("lead", {"target": "row_number"}), ("cumsum", {"target": "v"})):
+        df = windows.window_function(df, name, "k", order, hot_rows=hot_rows, **extra)
+    return df
+
+
+def test_functions_over_one_order_place_the_rows_once(skewed, monkeypatch):
+    unique = skewed.dropDuplicates(["id"])
+    placed, place = [], windows.place
+    monkeypatch.setattr(windows, "place", lambda *a: placed.append(a) or place(*a))
+    monkeypatch.setattr(ordering, "ROWS_PER_RANGE", 90)
+    plain, split = chain(unique), chain(unique, 200)
+    assert plain.dtypes == split.dtypes and len(placed) == 1
+    assert bag(plain, *plain.columns) == bag(split, *plain.columns)
+    again = windows.add_rank(split.where("o > 3"), "k", ["o", "id"], output="r", hot_rows=200)  # another table
+    assert len(placed) == 2
+    assert bag(again, "id", "r") == bag(windows.add_rank(unique.where("o > 3"), "k", ["o", "id"], output="r"), "id", "r")
+
+
+@pytest.mark.parametrize("kind", ["rank", "dense_rank"])
+def test_ranks_of_equal_values_in_many_ranges(skewed, kind, monkeypatch):
+    monkeypatch.setattr(ordering, "ROWS_PER_RANGE", 25)
+    plain = windows.add_rank(skewed, "k", "o", kind)
+    split = windows.add_rank(skewed, "k", "o", kind, hot_rows=30)
+    assert bag(plain, "id", "k", "o", kind) == bag(split, "id", "k", "o", kind)
+
+
 def test_numbering_without_a_key_across_many_ranges(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
     done = number_rows(df, [], [F.col("x")], 1000, weight=F.col("x"), rows_per_range=50)
