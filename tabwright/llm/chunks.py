@@ -64,7 +64,7 @@ def split(data: np.ndarray, starts: np.ndarray) -> tuple[pa.StringArray, np.ndar
 
 
 class Encoder:
-    """Encodes texts chunk by chunk and remembers up to ``REMEMBERED`` chunks by their 64-bit hash.
+    """Encodes texts chunk by chunk and remembers up to ``REMEMBERED`` (or ``remembered``) chunks by their 64-bit hash.
 
     Unknown chunks go through the tokenizer joined, since each call and each result costs more than the
     chunk; where ``token_bytes``, the bytes that each id stands for, show that the ids don't end where the
@@ -74,18 +74,20 @@ class Encoder:
     """
 
     def __init__(self, tokenize: Callable[[list[str]], list[list[int]]], token_bytes: np.ndarray | None = None,
-                 check: Callable[[list[str], list[list[int]]], np.ndarray] | None = None, checks: int = 0):
+                 check: Callable[[list[str], list[list[int]]], np.ndarray] | None = None, checks: int = 0,
+                 remembered: int | None = None):
         self.tokenize, self.token_bytes, self.check, self.checks = tokenize, token_bytes, check, checks
+        self.remembered = remembered or REMEMBERED
         self._forget()
 
-    def _tokenized(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Number of ids of each text, all ids, and the table of checks."""
+    def _tokenized(self, texts: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of ids of each text (of so many bytes), all ids, and the table of checks."""
         if self.token_bytes is not None and len(texts) > 1:
             parts = ["".join(texts[at:at + JOINED]) for at in range(0, len(texts), JOINED)]
             lists = self.tokenize(parts)
             flat = np.fromiter(chain.from_iterable(lists), np.int32)
             ends = np.concatenate([[0], np.cumsum(self.token_bytes[flat])])
-            bounds = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
             at = np.minimum(np.searchsorted(ends, bounds), len(flat))
             if (ends[at] == bounds).all() and not (self.check and self.check(parts, lists).any()):
                 return np.diff(at).astype(np.int32), flat, np.zeros((self.checks, len(texts)), bool)
@@ -99,18 +101,20 @@ class Encoder:
         self.begins, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.flat, self.wrong = np.zeros(0, np.int32), np.zeros((self.checks, 0), bool)
 
-    def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, chunks: pa.StringArray) -> None:
+        """Remember chunks in ascending order of their hashes."""
         sizes, flat, wrong = [self.sizes], [self.flat], [self.wrong]
+        lengths = np.diff(text_bytes(chunks)[1])
         for at in range(0, len(chunks), BATCH):
-            for held, new in zip((sizes, flat, wrong), self._tokenized(chunks[at:at + BATCH])):
+            texts = chunks.slice(at, BATCH).to_pylist()
+            for held, new in zip((sizes, flat, wrong), self._tokenized(texts, lengths[at:at + BATCH])):
                 held.append(new)
         known = len(self.sizes)
         self.sizes, self.flat, self.wrong = np.concatenate(sizes), np.concatenate(flat), np.hstack(wrong)
         self.begins = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
-        order = np.argsort(hashes)
-        at = np.searchsorted(self.keys, hashes[order])
-        self.keys = np.insert(self.keys, at, hashes[order])
-        self.place = np.insert(self.place, at, known + order)
+        at = np.searchsorted(self.keys, hashes)
+        self.keys = np.insert(self.keys, at, hashes)
+        self.place = np.insert(self.place, at, known + np.arange(len(hashes)))
 
     def _missing(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -123,21 +127,33 @@ class Encoder:
         different, chunk = split(data, starts)
         letters, bounds = text_bytes(different)
         hashes = range_hashes(byte_codes(letters), bounds[:-1], bounds[1:])
+        order = np.argsort(hashes)  # sorted keys are found faster
+        hashes = hashes[order]
         missing = self._missing(hashes)
-        if len(self.keys) + len(missing) > REMEMBERED:
+        if len(self.keys) + len(missing) > self.remembered:
             self._forget()
             missing = np.arange(len(hashes))
         if len(missing):
-            self._learn(hashes[missing], different.take(pa.array(missing)).to_pylist())
-        place = self.place[np.searchsorted(self.keys, hashes)][chunk] if len(chunk) else np.zeros(0, np.int64)
-        counts = self.sizes[place].astype(np.int64)
-        ids = self.flat[ragged(self.begins[place], counts)]
-        ends = np.concatenate([[0], np.cumsum(counts)])
+            self._learn(hashes[missing], different.take(pa.array(order[missing])))
+        place = np.zeros(len(order), np.int64)
+        if len(order):
+            place[order] = self.place[np.searchsorted(self.keys, hashes)]
+        ids, ends = _joined(self.flat, self.begins[place], self.sizes[place].astype(np.int64), chunk)
         first = np.searchsorted(starts, offsets)
-        failed = [np.diff(np.concatenate([[0], np.cumsum(w[place])])[first]) for w in self.wrong]
+        failed = [np.diff(np.concatenate([[0], np.cumsum(w[place][chunk])])[first]) for w in self.wrong]
         return ids, ends[first], failed
 
 
+def _joined(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``flat`` (int32) with the wanted numbers, one after the other, and where they begin and end."""
+    bounds = np.concatenate([[0], np.cumsum(sizes)]) * 4
+    parts = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(flat[ragged(begins, sizes)])])
+    found = parts.take(pa.array(wanted))
+    data, ends = found.buffers()[2], np.frombuffer(found.buffers()[1], np.int64)[:len(wanted) + 1] >> 2
+    return np.frombuffer(data, np.int32, int(ends[-1])) if data else np.zeros(0, np.int32), ends
+
+
 _encoders: dict[str, Encoder] = {}
 
 

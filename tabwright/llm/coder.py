@@ -1,18 +1,19 @@
 """An adaptive context-mixing range coder for token ids, many blocks side by side.
 
-Ids are cut into blocks of ``BLOCK_IDS``; every block starts from empty models, carries a checksum and can be
-read alone. An id is coded in one step from a mixture of three predictions:
+The ids of a record are cut into blocks, at most ``BLOCK_IDS`` long and shorter in a small record, so that a step of the
+coder always works on many of them. Every block starts from the record's order-0 table and empty contexts, carries a
+checksum and can be read alone with that table. An id is coded in one step from a mixture of three predictions:
 
 * order 2 and order 1: the id that followed the same (hashed) context last time, with the share of times
   this was right;
-* order 0: a table of the ids so far, renewed whenever the block's length has doubled, with room for new
-  ids, which follow as plain bits.
+* order 0: how often the ids occur in the record. The table is part of the record; ids that occur once or that have no
+  room in it follow as plain bits.
 
-Each context prediction is weighted by its success in the block so far. All arithmetic is in integers. The
-coder keeps 64 bits of range and writes 32-bit words; NumPy arrays hold one block (lane) per entry. The
-encoder computes the model of all steps at once, the decoder step by step; both follow from the same past.
+Each context prediction is weighted by its success in the block so far, renewed every ``SPAN`` steps. All arithmetic is
+in integers. The coder keeps 64 bits of range and writes 32-bit words; NumPy arrays hold one block (lane) per entry.
+Encoder and decoder take the same steps with the same model, so both follow from the same past.
 
-A record holds whole documents: header, document ids and lengths, block directory, payloads.
+A record holds whole documents: header, document ids and lengths, block directory, order-0 table, payloads.
 """
 
 from __future__ import annotations
@@ -23,111 +24,130 @@ import zlib
 import numpy as np
 
 BLOCK_IDS = 1 << 14
+SHORT_IDS = 1 << 10
 ID_BITS = 20
 TOTAL_BITS = 24
-SLOT_BITS = 14
-LANES = 512
-MODEL_LANES = 64
-FIRST_TABLE = 64
-MAGIC = b"TWIDS\x00\x00\x01"
+SLOT_BITS = 17
+LANES = 4096
+SPAN = 32
+MAGIC = b"TWIDS\x00\x00\x02"
 _SLOTS = 1 << SLOT_BITS
+_ROOM = _SLOTS // 2  # ids in the table of order 0
 _WHOLE = 1 << TOTAL_BITS
 _ORDER0 = 1 << 10
-_CONTEXTS = (12, 13)  # bits of the contexts of order 1 and 2
-
-
-def _context(order: int, last: np.ndarray, before: np.ndarray) -> np.ndarray:
-    if order == 1:
-        return (last * 0x9E3779B1 >> 16) & ((1 << _CONTEXTS[0]) - 1)
-    return ((last * 0x9E3779B1 + before * 0x85EBCA6B) >> 16) & ((1 << _CONTEXTS[1]) - 1)
-
-
-def _masses(weights, shares) -> tuple[np.ndarray, np.ndarray]:
-    """The parts of the whole range for the predictions of order 1 and 2."""
-    total = _ORDER0 + weights[0] + weights[1]
-    one, two = (w * s // total << TOTAL_BITS - 12 for w, s in zip(weights, shares))
-    return one, two
-
-
-def _share(hits: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """How often a context was right, in 1/4096; 0 where it is new."""
-    return np.where(times > 0, ((2 * hits + 1) << 12) // (2 * times + 3), 0)
-
-
-def _weight(right: np.ndarray, tried: np.ndarray) -> np.ndarray:
-    return ((right + 1) << 12) // (tried + 2)
-
-
-class _Table:
-    """Order-0 slots of all lanes from the ids so far: entries sorted by lane and id, new ids last."""
-
-    def __init__(self, ids: np.ndarray, lanes: int):
-        size = ids.shape[1]
-        if not size:
-            self.ids = np.full(lanes, -1)
-            lane, counts = np.arange(lanes), np.full(lanes, _SLOTS)
-        else:
-            keys = ((np.arange(lanes)[:, None] << ID_BITS) | ids).ravel()
-            keys.sort()
-            head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            times = np.diff(np.append(head, len(keys)))
-            lane, self.ids = keys[head] >> ID_BITS, keys[head] & ((1 << ID_BITS) - 1)
-            different = np.bincount(lane, minlength=lanes)
-            fresh = _SLOTS * different // (4 * size) + 16
-            counts = 1 + (_SLOTS - fresh - different)[lane] * times // size
-            left = _SLOTS - np.bincount(lane, counts, minlength=lanes).astype(np.int64)
-            ends = np.cumsum(different)
-            self.ids = np.insert(self.ids, ends, -1)
-            lane, counts = np.insert(lane, ends, np.arange(lanes)), np.insert(counts, ends, left)
-        self.counts = counts
-        cumulated = np.cumsum(counts)
-        self.below = cumulated - counts - lane * _SLOTS
-        self.last = np.searchsorted(lane, np.arange(lanes), "right") - 1
-        self.keys = (lane << ID_BITS + 1) | np.where(self.ids < 0, 1 << ID_BITS, self.ids)
-
-    def entries(self, lane: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        wanted = (lane << ID_BITS + 1) | ids
-        at = np.searchsorted(self.keys, wanted)
-        return np.where(self.keys[at] == wanted, at, self.last[lane])
-
-    def slots(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
-
-
-def _spans(size: int) -> list[tuple[int, int]]:
-    """The stretches of a block that share one order-0 table."""
-    ends = [0, FIRST_TABLE]
-    while ends[-1] < size:
-        ends.append(ends[-1] * 2)
-    return [(a, min(b, size)) for a, b in zip(ends[:-1], ends[1:]) if a < size]
-
-
-def _predictions(ids: np.ndarray, order: int):
-    """For all lanes and steps: the predicted id (-1 if none), its share and the order's weight."""
-    lanes, size = ids.shape
-    last, before = np.zeros_like(ids), np.zeros_like(ids)
-    last[:, 1:], before[:, 2:] = ids[:, :-1], ids[:, :-2]
-    context = _context(order, last, before)
-    bits = _CONTEXTS[order - 1]
-    key = np.sort((((np.arange(lanes)[:, None] << bits | context) << 14) | np.arange(size)).ravel())
-    lane_context, time = key >> 14, key & (BLOCK_IDS - 1)
-    place = (key >> 14 + bits) * size + time
-    sequence = ids.ravel()[place]
-    head = np.append(True, lane_context[1:] != lane_context[:-1])
-    starts = np.flatnonzero(head)
-    group = np.cumsum(head) - 1
-    times = np.arange(len(key)) - starts[group]
-    guess = np.append(-1, sequence[:-1])
-    guess[head] = -1
-    right = guess == sequence
-    so_far = np.cumsum(right) - right
-    hits = so_far - so_far[starts][group]
-    guesses, shares, flags = (np.empty(lanes * size, np.int64) for _ in range(3))
-    guesses[place], shares[place], flags[place] = guess, _share(hits, times), right
-    tried = (guesses >= 0).reshape(lanes, size)
-    flags = flags.reshape(lanes, size)
-    weight = _weight(np.cumsum(flags, axis=1) - flags, np.cumsum(tried, axis=1) - tried)
-    return guesses.reshape(lanes, size), shares.reshape(lanes, size), weight
+_CONTEXT_BITS = (12, 13)  # the most for the contexts of order 1 and 2
+_MIXED = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+
+# a context in 32 bits: the id that followed plus 1, times right and times seen, which are halved at the end of their bits
+_TIMES_BITS = 5
+_COUNTS = np.arange(1 << 2 * _TIMES_BITS)
+_COUNT_BITS = np.int32(2 * _TIMES_BITS)
+
+
+def _counted() -> tuple[np.ndarray, np.ndarray]:
+    """For all counts: the share of times right in 1/4096 (0 if never seen), and the counts after a miss and a hit."""
+    hits, times = _COUNTS >> _TIMES_BITS, _COUNTS & (1 << _TIMES_BITS) - 1
+    share = np.where(times > 0, ((2 * hits + 1) << 12) // (2 * times + 3), 0)
+    full = times == (1 << _TIMES_BITS) - 1
+    hits, times = np.where(full, hits >> 1, hits), np.where(full, times >> 1, times)
+    after = [hits + right << _TIMES_BITS | times + 1 for right in (0, 1)]
+    return share.astype(np.int32), np.concatenate(after).astype(np.int32)
+
+
+_SHARE, _AFTER = _counted()
+
+
+class _Model:
+    """The contexts of all lanes and their weights; arrays hold order 1 of all lanes and then order 2."""
+
+    def __init__(self, lanes: int, steps: int):
+        one, two = (min(most, max(steps - 1, 1).bit_length() + order) for order, most in enumerate(_CONTEXT_BITS))
+        self.shifts = np.array([[32 - one], [32 - two]], np.uint32)
+        lane = np.arange(lanes)
+        self.base = np.stack([lane << one, (lanes << one) + (lane << two)])
+        self.known = np.zeros((lanes << one) + (lanes << two), np.int32)
+        self.hashes = np.empty((2, lanes), np.uint32)
+        self.right, self.tried = np.zeros((2, lanes), np.int32), np.zeros((2, lanes), np.int32)
+        self.last = self.before = np.zeros(lanes, np.uint32)
+        self.step = 0
+
+    def _weigh(self) -> None:
+        weights = ((self.right + 1) << 12) // (self.tried + 2)
+        self.factors = ((weights << 12) // (_ORDER0 + weights[0] + weights[1])).astype(np.int32)
+
+    def predict(self):
+        """The guesses of order 1 and 2 (-1 if none), the range of order 2 and that of both; equal guesses share it."""
+        if self.step % SPAN == 0:
+            self._weigh()
+        self.step += 1
+        np.multiply(self.last, _MIXED[0], out=self.hashes[0])
+        np.add(self.hashes[0], self.before * _MIXED[1], out=self.hashes[1])
+        self.places = (self.base + (self.hashes >> self.shifts)).ravel()
+        states = self.known.take(self.places).reshape(2, -1)
+        self.counts = states & (1 << _COUNT_BITS) - 1
+        self.guesses = (states >> _COUNT_BITS) - 1
+        masses = (self.factors * _SHARE.take(self.counts)).astype(np.int64)
+        front = masses[0] + masses[1]
+        one, two = self.guesses
+        return one, two, np.where(one == two, front, masses[1]), front
+
+    def learn(self, ids: np.ndarray) -> None:
+        """Take the step's ids (int32)."""
+        same = self.guesses == ids
+        counts = _AFTER.take(same.astype(np.int32) << _COUNT_BITS | self.counts)
+        self.known[self.places] = (ids + 1 << _COUNT_BITS | counts).ravel()
+        self.right += same
+        self.tried += self.guesses >= 0
+        self.before, self.last = self.last, ids.view(np.uint32)
+
+
+class _Order0:
+    """How often the ids of a record occur, in ``_SLOTS`` parts; the last entry (id -1) stands for all others."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, plain_bits: int):
+        self.ids, self.counts, self.plain_bits = ids.astype(np.int64), counts.astype(np.int64), plain_bits
+        counts = np.append(self.counts, _SLOTS - self.counts.sum())
+        below = np.cumsum(counts) - counts
+        self.entries = (np.append(self.ids, -1) << SLOT_BITS | below) << SLOT_BITS + 1 | counts
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> _Order0:
+        times = np.bincount(ids, minlength=1)
+        known = np.flatnonzero(times > 1)
+        if len(known) > _ROOM:
+            known = np.sort(known[np.argsort(-times[known], kind="stable")[:_ROOM]])
+        times = times[known]
+        total = int(times.sum())
+        # every id has at least one part, at the cost of the others
+        left = _SLOTS - min(max(_SLOTS * (len(ids) - total) // max(len(ids), 1), 1), _SLOTS - len(known))
+        rare = np.count_nonzero(times * (left - len(known)) < total)
+        counts = np.maximum(times * (left - rare) // max(total, 1), 1)
+        return cls(known, counts, max(int(ids.max(initial=0)).bit_length(), 1))
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> _Order0:
+        values = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+        gaps, counts = values.reshape(2, -1)
+        return cls(np.cumsum(gaps, dtype=np.int64) - 1, counts, data[0])
+
+    def to_bytes(self) -> bytes:
+        values = np.concatenate([np.diff(self.ids, prepend=-1), self.counts]).astype("<u4")
+        return bytes([self.plain_bits]) + zlib.compress(values.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+    def by_id(self) -> np.ndarray:
+        found = np.full(1 << self.plain_bits, self.entries[-1])
+        found[self.ids] = self.entries[:-1]
+        return found
+
+    def by_slot(self) -> np.ndarray:
+        return np.repeat(self.entries, self.entries & 2 * _SLOTS - 1)
+
+
+def _range(entry: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and width of entries of order 0 in their part of the range."""
+    below = entry >> SLOT_BITS + 1 & _SLOTS - 1
+    start = below * rest >> SLOT_BITS
+    return start, ((below + (entry & 2 * _SLOTS - 1)) * rest >> SLOT_BITS) - start
 
 
 class _Encoder:
@@ -135,213 +155,164 @@ class _Encoder:
 
     def __init__(self, lanes: int, words: int):
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-        self.out, self.used = np.zeros((lanes, words), np.uint32), np.zeros(lanes, np.int64)
+        self.begin = np.arange(lanes) * words
+        self.out, self.at = np.zeros(lanes * words, np.uint32), self.begin.copy()
 
     def put(self, lanes, start: np.ndarray, size: np.ndarray) -> None:
         unit = self.range[lanes] >> np.uint64(TOTAL_BITS)
         old = self.low[lanes]
-        low, width = old + start * unit, size * unit
-        over = np.flatnonzero(low < old)
-        if len(over):
-            for lane in (np.arange(len(self.low))[lanes])[over]:
-                at = self.used[lane] - 1
-                while self.out[lane, at] == 0xFFFFFFFF:
-                    self.out[lane, at] = 0
+        low, width = old + start.view(np.uint64) * unit, size.view(np.uint64) * unit
+        over = low < old
+        if over.any():
+            for at in (self.at[lanes][over] - 1).tolist():
+                while self.out[at] == 0xFFFFFFFF:
+                    self.out[at] = 0
                     at -= 1
-                self.out[lane, at] += 1
-        short = width < np.uint64(1 << 32)
-        self.low[lanes], self.range[lanes] = low, width
-        due = (np.arange(len(self.low))[lanes])[short]
-        if len(due):
-            self._write(due)
-            self.range[due] <<= np.uint64(32)
-
-    def _write(self, lanes: np.ndarray) -> None:
-        self.out[lanes, self.used[lanes]] = self.low[lanes] >> np.uint64(32)
-        self.low[lanes] <<= np.uint64(32)
-        self.used[lanes] += 1
+                self.out[at] += 1
+        due = width < np.uint64(1 << 32)
+        at = self.at[lanes]
+        self.out[at] = low >> np.uint64(32)  # counts only where due, else the next word takes its place
+        self.at[lanes] = at + due
+        shift = due.astype(np.uint64) << np.uint64(5)
+        self.low[lanes], self.range[lanes] = low << shift, width << shift
 
     def finish(self) -> list[bytes]:
-        every = np.arange(len(self.low))
-        self._write(every)
-        self._write(every)
-        return [row[:n].tobytes() for row, n in zip(self.out, self.used)]
-
-
-def _steps(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and width of every id in the whole range, and which ids follow as plain bits."""
-    lanes, size = ids.shape
-    (guess1, share1, weight1), (guess2, share2, weight2) = (_predictions(ids, order) for order in (1, 2))
-    one, two = _masses((weight1, weight2), (share1, share2))
-    rest = _WHOLE - one - two
-    start, width = np.empty_like(ids), np.empty_like(ids)
-    is_new = np.zeros(ids.shape, bool)
-    lane = np.broadcast_to(np.arange(lanes)[:, None], ids.shape)
-    for a, b in _spans(size):
-        table = _Table(ids[:, :a], lanes)
-        entry = table.entries(lane[:, a:b].ravel(), ids[:, a:b].ravel()).reshape(lanes, b - a)
-        below, room = table.below[entry], rest[:, a:b]
-        start[:, a:b] = one[:, a:b] + two[:, a:b] + (below * room >> SLOT_BITS)
-        width[:, a:b] = ((below + table.counts[entry]) * room >> SLOT_BITS) - (below * room >> SLOT_BITS)
-        is_new[:, a:b] = table.ids[entry] < 0
-    for guess, low, mass in ((guess1, two, one), (guess2, np.zeros_like(two), two)):
-        right = (guess == ids) & (mass > 0)
-        start[right], width[right], is_new[right] = low[right], mass[right], False
-    return start, width, is_new
-
-
-def _encode_lanes(ids: np.ndarray) -> list[bytes]:
-    """Payloads of blocks of equal size, one for each row."""
-    lanes, size = ids.shape
-    start, width = (np.empty((size, lanes), np.uint32) for _ in range(2))
-    fresh = np.empty((size, lanes), bool)
-    for at in range(0, lanes, MODEL_LANES):
-        part = slice(at, at + MODEL_LANES)
-        start[:, part], width[:, part], fresh[:, part] = (x.T for x in _steps(ids[part].astype(np.int64)))
-    coder = _Encoder(lanes, 3 * size // 2 + 8)  # at most 24 + 20 bits an id
-    by_step = np.ascontiguousarray(ids.T)
+        self.out[self.at], self.out[self.at + 1] = self.low >> np.uint64(32), self.low & np.uint64(0xFFFFFFFF)
+        return [self.out[a:b + 2].tobytes() for a, b in zip(self.begin, self.at)]
+
+
+def _encode_lanes(ids: np.ndarray, table: _Order0, longest: int) -> list[bytes]:
+    """Payloads of blocks, one for each column."""
+    steps, lanes = ids.shape
+    coder, model = _Encoder(lanes, 3 * steps // 2 + 8), _Model(lanes, longest)  # at most 24 + 20 bits an id
+    entries, spare = table.by_id(), TOTAL_BITS - table.plain_bits
     every = slice(None)
-    for t in range(size):
-        coder.put(every, start[t].astype(np.uint64), width[t].astype(np.uint64))
-        new = np.flatnonzero(fresh[t])
+    for found in ids:
+        one, two, second, front = model.predict()
+        entry = entries.take(found)
+        start, width = _range(entry, _WHOLE - front)
+        by_two, by_one = (two == found) & (second > 0), (one == found) & (front > second)
+        start = np.where(by_two, 0, np.where(by_one, second, start + front))
+        width = np.where(by_two, second, np.where(by_one, front - second, width))
+        coder.put(every, start, width)
+        new = np.flatnonzero((entry < 0) & ~(by_two | by_one))
         if len(new):
-            plain = by_step[t, new].astype(np.uint64) << np.uint64(TOTAL_BITS - ID_BITS)
-            coder.put(new, plain, np.full(len(new), 1 << TOTAL_BITS - ID_BITS, np.uint64))
+            coder.put(new, found[new].astype(np.int64) << spare, np.full(len(new), 1 << spare))
+        model.learn(found)
     return coder.finish()
 
 
 class _Decoder:
-    def __init__(self, payloads: list[bytes]):
-        self.words = np.zeros((len(payloads), max(len(p) for p in payloads) // 4 + 2), np.uint32)
-        for row, payload in zip(self.words, payloads):
-            row[:len(payload) // 4] = np.frombuffer(payload, np.uint32)
-        self.at = np.full(len(payloads), 2)
-        self.code = self.words[:, 0].astype(np.uint64) << np.uint64(32) | self.words[:, 1]
+    def __init__(self, payloads: list[bytes], steps: int):
+        # words past the end only arise for damaged data, which the checksum then reports
+        self.words = np.frombuffer(b"".join([*payloads, bytes(8 * steps + 8)]), np.uint32).astype(np.uint64)
+        self.at = np.cumsum([0] + [len(p) // 4 for p in payloads[:-1]]) + 2
+        self.code = self.words[self.at - 2] << np.uint64(32) | self.words[self.at - 1]
         self.range = np.full(len(payloads), 2**64 - 1, np.uint64)
 
     def peek(self, lanes) -> tuple[np.ndarray, np.ndarray]:
         unit = self.range[lanes] >> np.uint64(TOTAL_BITS)
-        return unit, np.minimum(self.code[lanes] // unit, np.uint64(_WHOLE - 1)).astype(np.int64)
+        return unit, np.minimum(self.code[lanes] // unit, np.uint64(_WHOLE - 1)).view(np.int64)
 
     def take(self, lanes, unit: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        self.code[lanes] -= start.astype(np.uint64) * unit
-        width = size.astype(np.uint64) * unit
-        self.range[lanes] = width
-        due = np.arange(len(self.code))[lanes][width < np.uint64(1 << 32)]
-        if len(due):
-            # words past the end only arise for damaged data, which the checksum then reports
-            at = np.minimum(self.at[due], self.words.shape[1] - 1)
-            self.code[due] = self.code[due] << np.uint64(32) | self.words[due, at]
-            self.range[due] <<= np.uint64(32)
-            self.at[due] += 1
-
-
-def _decode_lanes(payloads: list[bytes], size: int) -> np.ndarray:
+        code, width = self.code[lanes] - start.view(np.uint64) * unit, size.view(np.uint64) * unit
+        due = width < np.uint64(1 << 32)
+        at, shift = self.at[lanes], due.astype(np.uint64) << np.uint64(5)
+        self.code[lanes], self.range[lanes] = code << shift | self.words.take(at) * due, width << shift
+        self.at[lanes] = at + due
+
+
+def _decode_lanes(payloads: list[bytes], steps: int, table: _Order0, longest: int) -> np.ndarray:
+    """The ids of blocks, one for each column."""
     lanes = len(payloads)
-    coder = _Decoder(payloads)
-    ids = np.zeros((size + 2, lanes), np.int32)  # two ids 0 come before
+    coder, model = _Decoder(payloads, steps), _Model(lanes, longest)
+    ids = np.empty((steps, lanes), np.int32)
+    slots, spare = table.by_slot(), TOTAL_BITS - table.plain_bits
     every = slice(None)
-    lane = np.arange(lanes)
-    base = [lane << bits for bits in _CONTEXTS]
-    # what a context knows, in one number: the id that followed plus 1, times seen, times right
-    known = [np.zeros(lanes << bits, np.int64) for bits in _CONTEXTS]
-    right, tried = (np.zeros((2, lanes), np.int64) for _ in range(2))
-    spans = dict(_spans(size))
-    for t in range(size):
-        if t in spans:
-            table = _Table(ids[2:t + 2].T, lanes)
-            slots = table.slots()
-            entries = (table.ids << SLOT_BITS + 1 | table.below) << SLOT_BITS + 1 | table.counts
-            slot_base = lane << SLOT_BITS
-        last, before = ids[t + 1].astype(np.int64), ids[t].astype(np.int64)
-        place = [base[k] + _context(k + 1, last, before) for k in (0, 1)]
-        state = [known[k][place[k]] for k in (0, 1)]
-        guess = [(s >> 32) - 1 for s in state]
-        n, h = [s >> 16 & 0xFFFF for s in state], [s & 0xFFFF for s in state]
-        one, two = _masses([_weight(right[k], tried[k]) for k in (0, 1)], [_share(h[k], n[k]) for k in (0, 1)])
-        front = one + two
-        rest = _WHOLE - front
+    for t in range(steps):
+        one, two, second, front = model.predict()
         unit, value = coder.peek(every)
-        inside = np.maximum(value - front, 0)
-        slot = np.minimum(((inside + 1 << SLOT_BITS) - 1) // rest, _SLOTS - 1)
-        entry = slots[slot_base + slot]
-        packed = entries[entry]
-        below = packed >> SLOT_BITS + 1 & 2 * _SLOTS - 1
-        begin = below * rest >> SLOT_BITS
-        width = ((below + (packed & 2 * _SLOTS - 1)) * rest >> SLOT_BITS) - begin
-        found = packed >> 2 * SLOT_BITS + 2
-        by_two, by_context = value < two, value < front
-        found = np.where(by_two, guess[1], np.where(by_context, guess[0], found))
-        begin = np.where(by_two, 0, np.where(by_context, two, begin + front))
-        width = np.where(by_two, two, np.where(by_context, one, width))
-        coder.take(every, unit, begin, width)
+        rest = _WHOLE - front
+        entry = slots.take(((np.maximum(value - front, 0) + 1 << SLOT_BITS) - 1) // rest)
+        start, width = _range(entry, rest)
+        by_two, by_context = value < second, value < front
+        found = np.where(by_two, two, np.where(by_context, one, entry >> 2 * SLOT_BITS + 1))
+        start = np.where(by_two, 0, np.where(by_context, second, start + front))
+        width = np.where(by_two, second, np.where(by_context, front - second, width))
+        coder.take(every, unit, start, width)
         new = np.flatnonzero(found < 0)
         if len(new):
             unit, value = coder.peek(new)
-            plain = value >> TOTAL_BITS - ID_BITS
-            coder.take(new, unit, plain << TOTAL_BITS - ID_BITS, np.full(len(new), 1 << TOTAL_BITS - ID_BITS))
+            plain = value >> spare
+            coder.take(new, unit, plain << spare, np.full(len(new), 1 << spare))
             found[new] = plain
-        ids[t + 2] = found
-        for k in (0, 1):
-            same = guess[k] == found
-            known[k][place[k]] = (found + 1 << 32) + (state[k] & 0xFFFFFFFF) + (1 << 16) + same
-            right[k] += same
-            tried[k] += n[k] > 0
-    return ids[2:].T
+        ids[t] = found
+        model.learn(ids[t])
+    return ids
 
 
-def _by_size(sizes: list[int]):
-    """Groups of up to LANES blocks of equal size, as lists of their numbers."""
-    for size in sorted(set(sizes), reverse=True):
-        members = [i for i, s in enumerate(sizes) if s == size]
-        for at in range(0, len(members), LANES):
-            yield size, members[at:at + LANES]
+def _block_sizes(n: int) -> np.ndarray:
+    """Lengths of the blocks of a record, equal but for one id."""
+    blocks = max(-(-n // BLOCK_IDS), min(LANES, -(-n // SHORT_IDS)))
+    return n // max(blocks, 1) + (np.arange(blocks) < n % max(blocks, 1))
 
 
-def encode_blocks(ids: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """(number of ids, crc32, payload) of each block."""
-    if len(ids) and int(ids.max()) >= 1 << ID_BITS:
-        raise ValueError(f"ids need more than {ID_BITS} bits")
-    blocks = [ids[at:at + BLOCK_IDS].astype(np.int32) for at in range(0, len(ids), BLOCK_IDS)]
-    found: list = [None] * len(blocks)
-    for size, members in _by_size([len(b) for b in blocks]):
-        for i, payload in zip(members, _encode_lanes(np.stack([blocks[i] for i in members]))):
-            found[i] = (size, zlib.crc32(blocks[i].astype("<u4").tobytes()), payload)
-    return found
+def _groups(sizes: np.ndarray):
+    """Up to LANES blocks at a time: their numbers, and which places of a table (blocks, steps) hold an id."""
+    for at in range(0, len(sizes), LANES):
+        part = slice(at, at + LANES)
+        yield part, np.arange(sizes[part].max()) < sizes[part, None]
 
 
-def decode_blocks(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
-    found: list = [None] * len(blocks)
-    for size, members in _by_size([b[0] for b in blocks]):
-        for i, ids in zip(members, _decode_lanes([blocks[i][2] for i in members], size)):
-            plain = ids.astype("<u4")
-            if zlib.crc32(plain.tobytes()) != blocks[i][1]:
-                raise ValueError(f"block {i}: checksum differs")
-            found[i] = plain
-    return np.concatenate(found) if found else np.zeros(0, np.uint32)
+def encode_blocks(ids: np.ndarray) -> tuple[bytes, list[tuple[int, int, bytes]]]:
+    """The order-0 table, and (number of ids, crc32, payload) of each block."""
+    if len(ids) and int(ids.max()) >= 1 << ID_BITS:
+        raise ValueError(f"ids need more than {ID_BITS} bits")
+    table, sizes = _Order0.of(ids), _block_sizes(len(ids))
+    ends = np.cumsum(sizes)
+    found = []
+    for part, places in _groups(sizes):
+        grid = np.zeros(places.shape, np.int32)
+        grid[places] = ids[ends[part][0] - sizes[part][0]:ends[part][-1]]
+        payloads = _encode_lanes(np.ascontiguousarray(grid.T), table, int(sizes.max()))
+        found += [(int(n), zlib.crc32(row[:n].astype("<u4").tobytes()), p) for n, row, p in zip(sizes[part], grid, payloads)]
+    return table.to_bytes(), found
+
+
+def decode_blocks(table: bytes, blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
+    order0, sizes = _Order0.from_bytes(table), np.array([n for n, _, _ in blocks], np.int64)
+    found = [np.zeros(0, np.uint32)]
+    for part, places in _groups(sizes):
+        ids = _decode_lanes([p for _, _, p in blocks[part]], places.shape[1], order0, int(sizes.max()))
+        grid = np.ascontiguousarray(ids.T).astype("<u4")
+        for i, (row, (n, crc, _)) in enumerate(zip(grid, blocks[part])):
+            if zlib.crc32(row[:n].tobytes()) != crc:
+                raise ValueError(f"block {part.start + i}: checksum differs")
+        found.append(grid[places])
+    return np.concatenate(found)
 
 
 def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """A record of whole documents."""
-    blocks = encode_blocks(ids)
+    table, blocks = encode_blocks(ids)
     directory = np.array([(n, crc, len(p)) for n, crc, p in blocks], "<u4").reshape(-1, 3)
-    head = MAGIC + struct.pack("<QQ", len(lengths), len(blocks))
-    body = doc_ids.astype("<i8").tobytes() + lengths.astype("<i8").tobytes() + directory.tobytes()
-    return head + body + struct.pack("<I", zlib.crc32(body)) + b"".join(p for _, _, p in blocks)
+    head = MAGIC + struct.pack("<QQQ", len(lengths), len(blocks), len(table))
+    body = head + doc_ids.astype("<i8").tobytes() + lengths.astype("<i8").tobytes() + directory.tobytes() + table
+    return body + struct.pack("<I", zlib.crc32(body)) + b"".join(p for _, _, p in blocks)
 
 
 def unpack(record: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document ids, lengths and all ids of a record."""
-    if record[:len(MAGIC)] != MAGIC:
+    at = len(MAGIC) + 24
+    if record[:len(MAGIC)] != MAGIC or len(record) < at:
         raise ValueError("not a record of token ids")
-    docs, blocks = struct.unpack_from("<QQ", record, len(MAGIC))
-    at = len(MAGIC) + 16
-    end = at + 16 * docs + 12 * blocks
-    if zlib.crc32(record[at:end]) != struct.unpack_from("<I", record, end)[0]:
+    docs, blocks, size = struct.unpack_from("<QQQ", record, len(MAGIC))
+    payloads = at + 16 * docs + 12 * blocks + size + 4
+    if payloads > len(record) or zlib.crc32(record[:payloads - 4]) != struct.unpack_from("<I", record, payloads - 4)[0]:
         raise ValueError("directory: checksum differs")
     doc_ids = np.frombuffer(record, "<i8", docs, at)
     lengths = np.frombuffer(record, "<i8", docs, at + 8 * docs)
     directory = np.frombuffer(record, "<u4", 3 * blocks, at + 16 * docs).reshape(-1, 3)
-    ends = end + 4 + np.cumsum(directory[:, 2].astype(np.int64))
+    ends = payloads + np.cumsum(directory[:, 2].astype(np.int64))
     found = [(int(n), int(crc), record[e - int(size):e]) for (n, crc, size), e in zip(directory, ends)]
-    return doc_ids, lengths, decode_blocks(found)
+    return doc_ids, lengths, decode_blocks(record[payloads - 4 - size:payloads - 4], found)

@@ -24,7 +24,8 @@ from tabwright.llm.arrays import slices
 from tabwright.llm.rows import arrow_schema, ddl, lean, text_key
 from tabwright.plans import storage
 
-RECORD_IDS = coder.LANES * coder.BLOCK_IDS
+RECORD_IDS = 1 << 23
+REMEMBERED = 3 << 19
 RECORD_DOCS = 1 << 17
 END = 0
 RECORD = {"part": "int", "first": "bigint", "n_ids": "bigint", "n_docs": "bigint", "record": "binary"}
@@ -42,7 +43,7 @@ def byte_level(path: str) -> chunks.Encoder:
     for token, number in tokenizer.get_vocab().items():
         token_bytes[number] = len(token)  # every letter of a token stands for a byte
     return chunks.Encoder(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)],
-                          token_bytes)
+                          token_bytes, remembered=REMEMBERED)
 
 
 def write(docs: DataFrame, tokenizer: str, path: str) -> None:

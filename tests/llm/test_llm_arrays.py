@@ -128,6 +128,28 @@ def test_coder_round_trip_and_damage():
         coder.encode_blocks(np.array([1 << coder.ID_BITS]))
 
 
+def test_coder_takes_few_steps_for_a_small_record(monkeypatch):
+    taken = []
+    take = coder._Decoder.take
+    monkeypatch.setattr(coder._Decoder, "take", lambda self, *step: taken.append(1) or take(self, *step))
+    ids = np.random.default_rng(6).zipf(1.3, 50_000) % 50_000
+    record = coder.pack(np.array([7]), np.array([len(ids)]), ids)
+    assert (coder.unpack(record)[2] == ids).all()
+    assert len(taken) < 3000  # one step for an id of each block, and one for its plain bits
+
+
+def test_coder_learns_the_order_0_table_once(monkeypatch):
+    rng = np.random.default_rng(7)
+    ids = rng.permutation(np.repeat(np.arange(2000), rng.integers(1, 20, 2000)))
+    shares = np.bincount(ids) / len(ids)
+    bits = 8 * len(coder.pack(np.array([7]), np.array([len(ids)]), ids)) / len(ids)
+    assert bits < 1.15 * -(shares * np.log2(shares)).sum()
+    monkeypatch.setattr(coder, "LANES", 4)  # many groups of blocks, in which a carry and a dropped id occur
+    monkeypatch.setattr(coder, "BLOCK_IDS", 500)
+    for n in (1, 1999, 2000, 2001, len(ids)):
+        assert (coder.unpack(coder.pack(np.array([7]), np.array([n]), ids[:n]))[2] == ids[:n]).all()
+
+
 def test_chunks_cut_where_tokens_end():
     texts = ["a b  c\n\n d", "x  y", "  z", " lead", "", "tail ", "a\u0085 b　 c  d"]
     column = texts_of(texts)[0]
@@ -138,6 +160,16 @@ def test_chunks_cut_where_tokens_end():
     assert different[:3] == ["a", " b", "  c"] and "x  y" in different
 
 
+def test_encoder_remembers_as_many_chunks_as_it_is_told():
+    calls = []
+    encoder = chunks.Encoder(lambda texts: [calls.append(t) or list(t.encode()) for t in texts], None, remembered=3)
+    for text in ("a b", "a b", "a c", "a d", "a b"):
+        column = arrays.Texts(0, np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        ids, begins, _ = encoder.encode(column.data, column.offsets, chunks.white_space_starts(column.data, column.offsets))
+        assert bytes(ids.tolist()).decode() == text and begins.tolist() == [0, len(text)]
+    assert sorted(calls) == [" b", " b", " c", " d", "a", "a"]
+
+
 def test_encoders_remember_and_forget(monkeypatch):
     monkeypatch.setattr(chunks, "REMEMBERED", 6)
     seen = []
