@@ -155,6 +155,24 @@ def test_full_joins_hold_no_pairs_of_a_key(spark, monkeypatch):
     assert sum(sizes) == 7000 and max(sizes) < 2500
 
 
+@pytest.mark.parametrize("wide", [0, 1])
+def test_full_joins_deal_both_sides_of_a_key_in_a_grid(spark, monkeypatch, wide):
+    narrow = spark.range(400).select("id", F.when(F.col("id") < 397, F.col("id") % 2 * 9).alias("k"))
+    rows = spark.range(390).select(F.col("id").cast("string").alias("w"), F.hex("id").alias("id"), (F.col("id") % 3 * 9).cast("int").alias("k"))
+    sides = (narrow, rows) if wide else (rows, narrow)
+    dealt, plain = [], type(rows).repartition
+    monkeypatch.setattr(relational, "PAIRS", 100)
+    monkeypatch.setattr(type(rows), "repartition", lambda self, *a: dealt.append(self.count()) or plain(self, *a))
+    found = relational.join_dataframes(*sides, "k", "outer")
+    expected = sides[0].join(sides[1], "k", "outer")
+    assert found.columns == expected.columns
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, map(tuple, expected.collect())))
+    # two keys of about 198 * 130 pairs: blocks of about 10 * 10, so each row goes to 12 to 20 of them, not to 130 or more
+    assert len(dealt) == 2 and max(dealt) < 9000
+    first = found._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1]
+    assert "hex(" in first  # the wider rows come first
+
+
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
 
 
