@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +109,81 @@ def test_lm_ranks_written_once_are_those_of_the_texts(spark, docs, rows, monkeyp
         assert whole == (expected if part is column else expected[3:])
 
 
+def test_lm_leaves_add_up_to_one():
+    rng = np.random.default_rng(0)
+    tokens = np.sort(rng.integers(1, 1 << 60, 1000, dtype=np.uint64))
+    counts = np.sort(rng.integers(1, 50, 1000))[::-1].copy()
+    words = lm.Vocabulary(tokens, counts, int(counts.sum()) + 700, 1400, np.array([100.0, 400, 350, 254]))
+    units = rng.integers(0, 1004, (4000, 1))
+    found = np.concatenate([words.classes_of(units), rng.integers(0, 1002, (4000, 2)), units], axis=1)
+    network = lm.Network(words)
+    network.learn(found, rng)
+    network.learn_leaves(found, rng)
+    model, every = network.model(), np.arange(1004)
+    assert words.groups == 3 and words.classes_of(every).max() == 257
+    seen = []
+    for one, two in ((0, 0), (1, 5), (301, 7)):
+        context = np.full(1004, one), np.full(1004, two)
+        log = model.log_probabilities(words.classes_of(every), *context)
+        log[255:] += model.leaves.log_in_group(every[255:] - 255, *context)
+        assert math.isclose(float((10.0 ** log).sum()), 1, abs_tol=1e-4)
+        seen.append(log[255:] - math.log10((10.0 ** log[255:]).sum()))
+    assert max(abs(seen[0] - seen[2])) > 1e-4  # beyond the classes too the context tells tokens apart
+
+
+def test_lm_predicts_words_beyond_the_classes(spark, monkeypatch):
+    rng = random.Random(4)
+    order, pairs = [], list(range(300))
+    for i in range(200):
+        rng.shuffle(pairs)
+        rare = " ".join(f"rare{i}x{j}" for j in range(10))
+        order.append(" ".join([*(f"f{j}" for j in range(255) for _ in range(2)), *(f"l{j} r{j}" for j in pairs), rare]))
+    right = " ".join(f"l{j} r{j}" for j in range(300))
+    wrong = " ".join(f"l{j} r{(j + 7) % 300}" for j in range(300))
+    texts = [*order, right, wrong, "rare1x1 never seen l5", "", None]
+    docs = spark.createDataFrame(enumerate(texts), "doc_id long, text string").repartition(1)
+    monkeypatch.setattr(lm, "HEAD", 1000)  # those set the vocabulary, which the tasks get
+    monkeypatch.setattr(lm, "OWN", 800)
+    kept, train = [], lm.trained
+    monkeypatch.setattr(lm, "trained", lambda docs, words: kept.extend([words, train(docs, words)]) or kept[1])
+    found = {r["doc_id"]: r for r in lm.scored(docs, F.col("doc_id") >= 200).collect()}
+    assert math.isclose(found[200]["base_score"], found[201]["base_score"], rel_tol=1e-9)
+    assert found[200]["score"] > found[201]["score"] + 30  # the same words, but no pair is known
+
+    counts = collections.Counter(w for t in order for w in [*t.split(), None])
+    codes = dict(zip(counts, (lm.tokens(lm.Texts(0, np.frombuffer((w or "").encode(), np.uint8), np.array([0, len(w or "")])))[0][0]
+                              for w in counts)))
+    words, network = kept
+    assert (words.own, len(words.tokens), len(words.masses)) == (800, 1000, 256)
+    places = {t: i for i, t in enumerate(words.tokens.tolist())}
+    rank = {w: places.get(int(codes[w]), 1000) for w in counts}
+    masses = [1] * 256
+    for w, n in counts.items():
+        if rank[w] >= 800:
+            masses[int(codes[w]) % 256] += n + 1
+    assert words.masses.tolist() == masses
+
+    def share(maps, own, bias, one, two, at):
+        x = network.vectors[one].astype(float) @ maps[0] + network.vectors[two].astype(float) @ maps[1]
+        scores = np.exp(own.astype(float) @ x + bias)
+        return scores[at] / scores.sum()
+
+    for i in (0, 200, 201, 203, 204):
+        expected, one, two = 0.0, 0, 0
+        for w in [*(texts[i] or "").split(), None]:
+            unit = rank[w] if rank[w] < 800 else 800 + int(codes[w]) % 256
+            leaf = unit - 255
+            p = share(network.maps, network.classes, network.bias, one, two, unit if leaf < 0 else 255 + leaf // 256)
+            if leaf >= 0:
+                of = slice(leaf // 256 * 256, leaf // 256 * 256 + 256)
+                p *= share(network.inner_maps, network.leaves[of], network.leaf_bias[of], one, two, leaf % 256)
+            if rank[w] >= 800:
+                p *= (counts[w] + 1) / masses[unit - 800]
+            expected += math.log10(p)
+            one, two = (rank[w] + 2 if rank[w] < 800 else 1), one
+        assert math.isclose(found[i]["score"], expected, rel_tol=1e-4, abs_tol=1e-3)
+
+
 def test_lm_of_nothing(none, docs):
     assert lm.scored(none, remainder(7) == 2).count() == 0
     alone = lm.scored(docs.where("doc_id is null"), remainder(7) == 2).collect()
